@@ -1 +1,4 @@
-"""plans"""
+"""Registered queries of the market operators and their SQL counterparts."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
