@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import media_avi, packing, secret_scan, sentencepiece_dropout
+from tickloom.llm import media_avi, ngram_join, packing, secret_scan, sentencepiece_dropout
 from tickloom.llm.common import table
 
 DROPOUT_RATE, DROPOUT_SEED = 0.1, 20_260
@@ -38,6 +38,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.describe(media_avi.to_avi(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_secret_scan": op2_secret_scan,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_avi": op6_media_avi,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
