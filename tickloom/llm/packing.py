@@ -29,7 +29,7 @@ from tickloom.llm.common import ids_and_text, parts, sliced, store, strings
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one rank bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Special tokens of the vocabulary; a text that holds one goes through the general tokenizer.
 SPECIAL = "<|endoftext|>"
 

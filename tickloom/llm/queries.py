@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import media_avi, ngram_join, packing, secret_scan, sentencepiece_dropout
-from tickloom.llm.common import table
+from tickloom.llm import line_dedup, media_avi, ngram_join, packing, quality, secret_scan, sentencepiece_dropout
+from tickloom.llm.common import ids_and_text, table
 
 DROPOUT_RATE, DROPOUT_SEED = 0.1, 20_260
+QUALITY_SEED = 7
 
 
 def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +51,24 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled documents; the others are rejected."""
+    docs = ids_and_text(table(spark, sf_dir, "documents"), "doc_id", "text")
+    kept, _ = quality.sample(docs, table(spark, sf_dir, "labels"), QUALITY_SEED)
+    return kept.drop("key_bits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_secret_scan": op2_secret_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_avi": op6_media_avi,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_quality_resampling": op10_quality_resampling,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -24,13 +24,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
+def _constants(split_marks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, and each byte's class: 0 space, 1 word, 2 mark."""
     byte = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
     lower = byte.copy()
     lower[65:91] = byte[97:123]
-    space = np.zeros(256, dtype=bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
-    return lower, space
+    kind = np.ones(256, dtype=np.int8)
+    if split_marks:
+        kind[:128] = 2
+        kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+    kind[[0x20, *range(0x09, 0x0E)]] = 0
+    return lower, kind
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -46,10 +50,10 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class WordHasher:
-    """Holds the constants of one task."""
+    """Holds the constants of one task. With split_marks, runs of ASCII punctuation are words of their own."""
 
-    def __init__(self) -> None:
-        self.byte, self.space = _constants()
+    def __init__(self, split_marks: bool = False) -> None:
+        self.byte, self.kind = _constants(split_marks)
         self.up = self.down = np.zeros(0, dtype=np.uint64)
 
     def words(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +77,12 @@ class WordHasher:
         n = len(joined)
         if len(self.up) < n:
             self.up, self.down = _powers(n, _BASE), _powers(n, _BASE_INVERSE)
-        gap = self.space[joined]
-        edge = np.diff(np.concatenate([[True], gap]).astype(np.int8))
-        first = np.flatnonzero(edge == -1)
-        last = np.flatnonzero(edge == 1)
+        kind = self.kind[joined]  # the last byte is a space
+        edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        first = edge[kind[edge] > 0]
+        last = edge[kind[edge - 1] > 0]
+        if kind[0]:
+            first = np.concatenate([[0], first])
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.byte[joined] * self.up[:n], out=total[1:])
         hashes = mix((total[last] - total[first]) * self.down[first])
@@ -99,7 +105,6 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
             full[: n - width + 1] += words[k : n - width + 1 + k] * multipliers[k]
         full = mix(full + _U(width))
     keep = np.zeros(n, dtype=bool)
-    owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - np.repeat(ends - counts, counts)
     keep[place < np.repeat(np.maximum(counts - width + 1, 0), counts)] = True
     short = np.flatnonzero((counts > 0) & (counts < width))
@@ -111,5 +116,4 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
                 total = total + x * multipliers[k]
             full[ends[i] - counts[i]] = mix(np.array([total + _U(len(w))], dtype=np.uint64))[0]
         keep[ends[i] - counts[i]] = True
-    del owner
     return full[keep], made
