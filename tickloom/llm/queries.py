@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import line_dedup, media_avi, ngram_join, packing, quality, secret_scan, sentencepiece_dropout
+from tickloom.llm import chat_format, fingerprints, html_consensus, line_dedup, media_avi, ngram_join, packing, quality, secret_scan, sentencepiece_dropout
 from tickloom.llm.common import ids_and_text, table
 
 DROPOUT_RATE, DROPOUT_SEED = 0.1, 20_260
@@ -39,6 +39,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -47,6 +55,10 @@ def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.describe(media_avi.to_avi(table(spark, sf_dir, "documents")))
 
 
+def op7_bottom_k_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path("byte_bpe_50k.json"))
 
@@ -65,10 +77,15 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_secret_scan": op2_secret_scan,
+    "op3_chat_format": op3_chat_format,
+    "op4_html_consensus": op4_html_consensus,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_avi": op6_media_avi,
+    "op7_bottom_k_fingerprint": op7_bottom_k_fingerprint,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_resampling": op10_quality_resampling,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.ORACLE,
+}
