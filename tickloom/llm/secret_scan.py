@@ -163,13 +163,20 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with every span of `text_col` replaced by `mark`; a null text stays null."""
+    """The same rows and columns with every span of `text_col` replaced by `mark`; a null text stays null.
+
+    A column n_chars, if there, gets the new length of each text that changes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            at = batch.schema.get_field_index(text_col)
-            texts = pa.array([None if t is None else cover(t, find_secrets(t), mark) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            old = columns[text_col].to_pylist()
+            new = [None if t is None else cover(t, find_secrets(t), mark) for t in old]
+            columns[text_col] = pa.array(new, columns[text_col].type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
 
     return df.mapInArrow(run, df.schema)
 
