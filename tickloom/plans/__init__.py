@@ -1,4 +1,6 @@
 """Registered queries of the market operators and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tickloom.plans import quality_queries  # noqa: F401
+from tickloom.plans.catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
