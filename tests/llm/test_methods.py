@@ -106,7 +106,7 @@ def test_jaccard_against_brute_force(spark, sf, texts):
             common = collections.Counter(j for t in s for j in inverted[t] if j < k)
             edges += [(k, j) for j, n in common.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)]
         expected = roots(sets, edges)
-        for rows in (20_000, 3):  # groups as a whole, and dealt into pairs of blocks
+        for rows in (8_000, 3):  # groups as a whole, and dealt into pairs of blocks
             out = ngram_join.jaccard_components(spark.read.parquet(f"{sf}/documents.parquet"), width=width, percent=percent, group_rows=rows).collect()
             assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == {k: (len(sets[k]), expected[k]) for k in sets}
 
@@ -221,7 +221,7 @@ def test_banded_distance():
         assert [line_dedup.within(a, b, e) for e in range(4)] == [d <= e for e in range(4)]
 
 
-@pytest.mark.parametrize("run_rows", [256, 4])
+@pytest.mark.parametrize("run_rows", [8192, 4])
 def test_lines_against_brute_force(spark, run_rows):
     rng = random.Random(4)
     lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(15, 60))) for _ in range(60)]

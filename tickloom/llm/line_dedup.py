@@ -30,7 +30,10 @@ from tickloom.llm.texthash import _powers, mix
 
 MOST_EDITS = 2
 LEAST_CHARS = 20
-RUN_ROWS = 256
+#: Rows of a meeting that are compared where they meet; larger meetings are dealt anew.
+RUN_ROWS = 8192
+#: Meetings up to this size are compared side by side, many at a time.
+FEW_ROWS = 64
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -217,17 +220,17 @@ def meet(rows: DataFrame, edits: int, run_rows: int, last: bool) -> DataFrame:
             return
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
-        large = size > run_rows
+        large = size > min(FEW_ROWS, run_rows)
         for f, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
             part = [x[f : f + n] for x in (line, sketch, indexed)]
-            if last:
+            if last or n <= run_rows:
                 yield from blocks(*part)
             else:
                 yield again(key[f : f + n], *part)
         small = np.repeat(~large & (size > 1), size)
         key, line, sketch, indexed = key[small], line[small], sketch[small], indexed[small]
         i = np.arange(len(key) - 1)
-        for step in range(1, run_rows):
+        for step in range(1, FEW_ROWS):
             i = i[i + step < len(key)]
             i = i[key[i] == key[i + step]]
             if not len(i):
