@@ -35,13 +35,24 @@ def staged(seconds: int) -> str:
     return f"{q.bars_with(seconds)}, {first}, {second}"
 
 
-def select(seconds: int, columns: dict[str, str], digits: int = 6) -> str:
-    return f"{staged(seconds)} SELECT symbol, time, {q.rounded(columns, digits)} FROM f1"
+def digits_of(name: str) -> int:
+    """Means of five-digit prices over 80 rows end at the ninth digit: fewer digits would meet rounding ties."""
+    return 10 if name.startswith(("sma_", "atr_", "hl_range")) else 6
 
 
-def block(spark, sf_dir, name: str, seconds: int, block_rows: int | None = None, digits: int = 6):
-    out = features.build(bars(spark, sf_dir, seconds), [name], block_rows).drop("bar_idx")
-    return rounded(out, *(c for c, t in out.dtypes if t == "double"), digits=digits)
+def select(seconds: int, columns: dict[str, str]) -> str:
+    parts = ", ".join(q.rounded({n: x}, digits_of(n)) for n, x in columns.items())
+    return f"{staged(seconds)} SELECT symbol, time, {parts} FROM f1"
+
+
+def round_all(df):
+    for d in (6, 10):
+        df = rounded(df, *(c for c, t in df.dtypes if t == "double" and digits_of(c) == d), digits=d)
+    return df
+
+
+def block(spark, sf_dir, name: str, seconds: int, block_rows: int | None = None):
+    return round_all(features.build(bars(spark, sf_dir, seconds), [name], block_rows).drop("bar_idx"))
 
 
 def cyclic(name: str, value: str, period: float) -> dict[str, str]:
@@ -115,12 +126,9 @@ for _id, _name, _seconds, _columns in (
     ("W04_activity", "activity", M15, ACTIVITY), ("W05_gap_state", "gaps", M15, GAPS), ("W06_extended", "extended", M15, EXTENDED), ("W07_swing", "swing", H4, SWING), ("W09_regime", "regime", H4, REGIME),
 ):
 
-    # means of five-digit prices over 80 rows end at the eighth digit: fewer would meet rounding ties
-    _digits = 8 if _name in ("trend", "volatility") else 6
-
-    @query(_id, select(_seconds, _columns, _digits))
-    def _features(spark, sf_dir, name=_name, seconds=_seconds, digits=_digits):
-        return block(spark, sf_dir, name, seconds, digits=digits)
+    @query(_id, select(_seconds, _columns))
+    def _features(spark, sf_dir, name=_name, seconds=_seconds):
+        return block(spark, sf_dir, name, seconds)
 
 
 @query("W06_extended_in_blocks", select(M15, EXTENDED))
@@ -132,7 +140,7 @@ def w06_blocks(spark, sf_dir):
 _P19 = ["return_1", "return_4", "dist_sma_20", "rsi_14", "atr_norm_14", "vol_ratio_5_20", "trend_regime"]
 
 
-@query("P19_baseline_features", f"{staged(H4)} SELECT symbol, time, {q.rounded({n: SWING[n] for n in _P19}, 6)} FROM f1")
+@query("P19_baseline_features", select(H4, {n: SWING[n] for n in _P19}))
 def p19(spark, sf_dir):
     return block(spark, sf_dir, "swing", H4).select("symbol", "time", *_P19)
 
@@ -140,10 +148,9 @@ def p19(spark, sf_dir):
 _J02 = {**PRICE, **VOLATILITY, **MOMENTUM}
 
 
-@query("J02_feature_matrix", f"{staged(M15)}, f2 AS (SELECT symbol, time, i, {q.rounded(_J02, 8)} FROM f1) SELECT * EXCLUDE (i) FROM f2 WHERE i >= 80")
+@query("J02_feature_matrix", f"WITH f2 AS ({select(M15, {'i': 'i', **_J02})}) SELECT * EXCLUDE (i) FROM f2 WHERE i >= 80")
 def j02(spark, sf_dir):
-    out = features.after_warmup(features.build(bars(spark, sf_dir), ["price", "volatility", "momentum"])).drop("bar_idx")
-    return rounded(out, *(c for c, t in out.dtypes if t == "double"), digits=8)
+    return round_all(features.after_warmup(features.build(bars(spark, sf_dir), ["price", "volatility", "momentum"])).drop("bar_idx"))
 
 
 _WIDE = f"coalesce(atr1 > ({q.roll('median', 'atr1', 100, 20)}), false)"
