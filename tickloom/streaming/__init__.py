@@ -1 +1,82 @@
-"""streaming"""
+"""Structured Streaming forms of ingestion, roll-up, sessions, deduplication and monitoring.
+
+Each function maps a streaming (or batch) DataFrame; `replay` runs it over files to the end and reads the result.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+WATERMARK = "1 day"
+
+
+def _folder(spark: SparkSession) -> str:
+    """Shared folder of checkpoints and replayed results; a temporary one only where the cluster names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tickloom-streams-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def read_quotes(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
+    """Quotes from a growing folder of Parquet files with the event schema."""
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rstrip("/").rpartition("/")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet" if path.endswith("/") else name if name.endswith(".parquet") else "*.parquet").parquet(folder)
+    ts = F.col("ts").cast("timestamp")
+    bid = F.lit(1.0) + F.col("value") / 1000.0
+    k = F.get_json_object("props", "$.k").cast("double")
+    return raw.select(F.col("event_type").alias("symbol"), "event_id", "user_id", ts.alias("ts"), bid.alias("bid"), (bid + k * F.lit(1e-5)).alias("ask"), k.alias("spread_points"))
+
+
+def completed_bars(quotes: DataFrame, width: str = "15 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """Tumbling bars, each emitted once, when the watermark has passed it; later ticks are dropped."""
+    bars = quotes.withWatermark("ts", watermark).groupBy("symbol", F.window("ts", width))
+    out = bars.agg(F.min_by("bid", "event_id").alias("open"), F.max("bid").alias("high"), F.min("bid").alias("low"), F.max_by("bid", "event_id").alias("close"), F.count("*").alias("tick_volume"))
+    return out.select("symbol", F.unix_timestamp("window.start").alias("time"), "open", "high", "low", "close", "tick_volume")
+
+
+def outages(quotes: DataFrame, gap: str = "300 seconds", watermark: str = WATERMARK) -> DataFrame:
+    """Runs of quotes no farther apart than the gap."""
+    runs = quotes.withWatermark("ts", watermark).groupBy("symbol", F.session_window("ts", gap)).agg(F.count("*").alias("n_ticks"))
+    return runs.select("symbol", F.unix_timestamp("session_window.start").alias("start_time"), "n_ticks")
+
+
+def once(quotes: DataFrame, keys: list[str], watermark: str = WATERMARK) -> DataFrame:
+    """The first row of each key within the watermark."""
+    return quotes.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def accepted(bars: DataFrame, now: int, step: int) -> DataFrame:
+    """Completed bars with sound prices; the others carry a reason for the quarantine."""
+    box = (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close"))
+    return bars.withColumn("reason", F.when(F.col("time") + step > now, "INCOMPLETE").when(~box, "BAD_OHLC"))
+
+
+def running_counts(quotes: DataFrame) -> DataFrame:
+    """Running counts and bounds of each symbol (update or complete mode)."""
+    return quotes.groupBy("symbol").agg(F.count("*").alias("n_ticks"), F.min("spread_points").alias("min_spread"), F.max("spread_points").alias("max_spread"), F.avg("spread_points").alias("mean_spread"))
+
+
+def with_slow_table(bars: DataFrame, slow: DataFrame) -> DataFrame:
+    """A static table of daily values joined to live bars by the day before, the last one that may be used."""
+    return bars.withColumn("day", F.date_sub(F.timestamp_seconds("time").cast("date"), 1)).join(slow, "day", "left")
+
+
+def replay(result: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a streaming DataFrame over all files that are there, with a checkpoint, and reads what it wrote."""
+    spark = result.sparkSession
+    folder = _folder(spark)
+    if mode == "append":
+        result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(result.schema).parquet(f"{folder}/out")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+
+    query = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    return spark.read.schema(result.schema).parquet(f"{folder}/out/{last}")
