@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSES = ((-1.0, "short"), (0.0, "neutral"), (1.0, "long"))
-TOP = F.greatest("p_short", "p_neutral", "p_long")
+
+
+def top() -> Column:
+    """The confidence of a prediction: its largest probability."""
+    return F.greatest("p_short", "p_neutral", "p_long")
 
 
 def confusion(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +73,7 @@ def one_vs_rest(preds: DataFrame) -> DataFrame:
 def probabilities(preds: DataFrame) -> DataFrame:
     """Distribution of the largest and of each class's probability, and rows that are no distribution."""
     off = F.abs(F.col("p_short") + F.col("p_neutral") + F.col("p_long") - 1.0) > 1e-4
-    rows = F.array(F.struct(F.lit("max").alias("class"), TOP.alias("p")), *(F.struct(F.lit(c).alias("class"), F.col(f"p_{c}").alias("p")) for _, c in CLASSES))
+    rows = F.array(F.struct(F.lit("max").alias("class"), top().alias("p")), *(F.struct(F.lit(c).alias("class"), F.col(f"p_{c}").alias("p")) for _, c in CLASSES))
     at = F.percentile("p", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     long = preds.select(off.alias("off"), F.explode(rows).alias("r")).select("off", "r.*")
     return long.groupBy("class").agg(F.avg("p").alias("mean_p"), F.stddev_pop("p").alias("std_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"), at[0].alias("p05"), at[1].alias("p50"), at[2].alias("p95"), F.count_if("off").alias("n_off"))
@@ -78,7 +82,7 @@ def probabilities(preds: DataFrame) -> DataFrame:
 def coverage(preds: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """Scores of the rows whose confidence reaches each threshold; thresholds that no row reaches stay, with 0."""
     levels = F.filter(F.array(*(F.lit(t) for t in thresholds)), lambda t: t <= F.col("_top"))
-    covered = preds.withColumn("_top", TOP).withColumn("threshold", F.explode(levels))
+    covered = preds.withColumn("_top", top()).withColumn("threshold", F.explode(levels))
     spine = preds.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
     total = preds.agg(F.count("*").alias("n_all"))
     out = F.broadcast(spine).join(scores(confusion(covered, ["threshold"]), ["threshold"]), "threshold", "left")
@@ -89,15 +93,15 @@ def buckets(preds: DataFrame, edges: tuple[float, ...]) -> DataFrame:
     """Accuracy by confidence in [low, high); the last bucket is open."""
     kind = F.lit(None).cast("int")
     for i, low in enumerate(edges):
-        kind = F.when(TOP >= low, i).otherwise(kind)
+        kind = F.when(top() >= low, i).otherwise(kind)
     hit = (F.col("y_true") == F.col("y_pred")).cast("double")
-    return preds.withColumn("bucket", kind).filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg(TOP).alias("mean_confidence"))
+    return preds.withColumn("bucket", kind).filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg(top()).alias("mean_confidence"))
 
 
 def errors(preds: DataFrame) -> DataFrame:
     """Every (actual, predicted) cell, empty ones too, with shares and confidence."""
     values = preds.sparkSession.createDataFrame([(a, b) for a, _ in CLASSES for b, _ in CLASSES], "y_true double, y_pred double")
-    cells = preds.withColumn("_c", TOP).groupBy("y_true", "y_pred").agg(F.count("*").alias("n"), F.avg("_c").alias("mean_confidence"), F.percentile("_c", F.lit(0.5)).alias("median_confidence"), F.min("_c").alias("min_confidence"), F.max("_c").alias("max_confidence"))
+    cells = preds.withColumn("_c", top()).groupBy("y_true", "y_pred").agg(F.count("*").alias("n"), F.avg("_c").alias("mean_confidence"), F.percentile("_c", F.lit(0.5)).alias("median_confidence"), F.min("_c").alias("min_confidence"), F.max("_c").alias("max_confidence"))
     full = F.broadcast(values).join(cells, ["y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     nine = Window.partitionBy(F.lit(0))
     wrong = F.when(F.col("y_true") != F.col("y_pred"), F.col("n")).otherwise(0)
@@ -135,7 +139,7 @@ def reliability(preds: DataFrame, n_bins: int = 10) -> DataFrame:
     own = F.when(F.col("y_true") == -1, F.col("p_short")).when(F.col("y_true") == 0, F.col("p_neutral")).otherwise(F.col("p_long"))
     clipped = lambda p: F.greatest(p, F.lit(1e-12))
     entropy = sum((-F.col(f"p_{c}") * F.log(clipped(F.col(f"p_{c}"))) for _, c in CLASSES), F.lit(0.0))
-    bins = preds.groupBy((F.ceil(TOP * n_bins) - 1).alias("bin")).agg(F.count("*").alias("n"), F.sum(TOP).alias("c"), F.sum(hit).alias("h"), F.sum(-F.log(clipped(own))).alias("loss"), F.sum(entropy).alias("entropy"))
+    bins = preds.groupBy((F.ceil(top() * n_bins) - 1).alias("bin")).agg(F.count("*").alias("n"), F.sum(top()).alias("c"), F.sum(hit).alias("h"), F.sum(-F.log(clipped(own))).alias("loss"), F.sum(entropy).alias("entropy"))
     gap = F.abs(F.col("h") - F.col("c"))
     return bins.agg((F.sum(gap) / F.sum("n")).alias("ece"), F.max(gap / F.col("n")).alias("mce"), (F.sum("loss") / F.sum("n")).alias("log_loss"), (F.sum("entropy") / F.sum("n")).alias("mean_entropy"))
 

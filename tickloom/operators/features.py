@@ -20,22 +20,24 @@ TINY, SMALL = 1e-12, 1e-8
 #: Fixed value: M15 bars of a year of 252 days.
 ANNUAL = math.sqrt(24192)
 LOOKBACK = 100
-O, H, L, C, V, S = (F.col(c) for c in ("open", "high", "low", "close", "tick_volume", "spread"))
 Block = Callable[[Frame], dict[str, Column]]
 
 
 def true_range(f: Frame) -> Column:
     """The first bar has no previous close: its range alone."""
+    H, L = F.col("high"), F.col("low")
     before = f.lag("close")
     return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
 
 
 def log_return(f: Frame) -> Column:
+    C = F.col("close")
     return F.log(C / f.lag("close"))
 
 
 def price(f: Frame) -> dict[str, Column]:
     """P01."""
+    O, H, L, C = F.col("open"), F.col("high"), F.col("low"), F.col("close")
     span, upper, lower = H - L, H - F.greatest(O, C), F.least(O, C) - L
     return {
         "return_1": C / f.lag("close") - 1,
@@ -69,6 +71,7 @@ def clock(f: Frame) -> dict[str, Column]:
 
 def trend(f: Frame) -> dict[str, Column]:
     """W01; needs the filters ema_10 to ema_80."""
+    C = F.col("close")
     ema = {w: F.col(f"ema_{w}") for w in (10, 20, 40, 80)}
     out = {f"sma_{w}": f.mean("close", w) for w in ema} | {f"ema_{w}": e for w, e in ema.items()} | {f"dist_ema_{w}": (C - e) / e for w, e in ema.items()}
     out |= {f"ema_spread_{a}_{b}": (ema[a] - ema[b]) / ema[b] for a, b in ((10, 40), (20, 80))}
@@ -83,12 +86,14 @@ def rsi(index: str = "bar_idx", period: int = 14) -> Column:
 
 def momentum(f: Frame) -> dict[str, Column]:
     """W02; needs the filters gain_14 and loss_14."""
+    C = F.col("close")
     out = {f"roc_{w}": (C - f.lag("close", w)) / f.lag("close", w) for w in (5, 10, 20, 40, 80)}
     return out | {f"dist_sma_{w}": (C - f.mean("close", w)) / f.mean("close", w) for w in (10, 20, 40, 80)} | {"rsi_14": rsi()}
 
 
 def volatility(f: Frame) -> dict[str, Column]:
     """W03; the ATR here is a simple mean."""
+    C = F.col("close")
     std = {w: f.std("_log_return", w) for w in (10, 20, 40, 80)}
     atr = {w: f.mean("_true_range", w) for w in (14, 40)}
     out = {f"vol_std_{w}": s for w, s in std.items()} | {f"vol_ann_{w}": std[w] * ANNUAL for w in (20, 80)}
@@ -99,6 +104,7 @@ def volatility(f: Frame) -> dict[str, Column]:
 
 def activity(f: Frame) -> dict[str, Column]:
     """W04."""
+    C, V, S = F.col("close"), F.col("tick_volume"), F.col("spread")
     v20, v80, s20 = f.mean(V, 20), f.mean(V, 80), f.mean(S, 20)
     return {
         "log_tick_volume": F.log1p(V),
@@ -131,6 +137,7 @@ def gap_state(f: Frame, step: int = 900, most: int = 96) -> dict[str, Column]:
 
 def extended(f: Frame) -> dict[str, Column]:
     """W06; needs the filters ema_10 and ema_20."""
+    O, H, L, C, V = F.col("open"), F.col("high"), F.col("low"), F.col("close"), F.col("tick_volume")
     near = C + TINY
     h20, l20, h80, l80 = f.max("high", 20), f.min("low", 20), f.max("high", 80), f.min("low", 80)
     s20, s80 = f.mean("close", 20), f.mean("close", 80)
@@ -173,6 +180,7 @@ def direction_run(f: Frame, most: int = 5) -> Column:
 
     The first bar of a series counts 0, and a run that starts there one less. Only the last `most` bars decide.
     """
+    O, C = F.col("open"), F.col("close")
     sign = F.signum(C - O)
     same = [F.coalesce(F.lag(sign, k).over(f.w) == sign, F.lit(False)) for k in range(1, most + 1)]
     run = F.lit(most)
@@ -184,6 +192,7 @@ def direction_run(f: Frame, most: int = 5) -> Column:
 
 def swing(f: Frame, hours: bool = True) -> dict[str, Column]:
     """W07; needs the filters ema_10, ema_20, gain_14 and loss_14."""
+    O, H, L, C, V = F.col("open"), F.col("high"), F.col("low"), F.col("close"), F.col("tick_volume")
     near = C + TINY
     span = H - L
     sma = {w: f.mean("close", w) for w in (10, 20, 50)}
@@ -233,6 +242,7 @@ def swing(f: Frame, hours: bool = True) -> dict[str, Column]:
 
 def regime(f: Frame) -> dict[str, Column]:
     """W09; needs the filter ema_50."""
+    C = F.col("close")
     atr = f.roll(F.avg, "_true_range", 14, least=1)
     realised = f.std("_log_return", 20, least=5)
     low, high = f.roll(F.min, "_vol", 100, least=20), f.roll(F.max, "_vol", 100, least=20)
@@ -263,6 +273,7 @@ def regime_states(f: Frame) -> dict[str, Column]:
 
 def range_estimators() -> dict[str, Column]:
     """Parkinson, Garman-Klass and Rogers-Satchell volatility of one bar."""
+    O, H, L, C = F.col("open"), F.col("high"), F.col("low"), F.col("close")
     low, opened, close = F.greatest(L, F.lit(TINY)), F.greatest(O, F.lit(TINY)), F.greatest(C, F.lit(TINY))
     high = F.greatest(H, F.lit(TINY))
     hl = F.log(F.greatest(high / low, F.lit(1.0)))
@@ -294,6 +305,7 @@ def realised_pair(f: Frame, horizon: int) -> dict[str, Column]:
 
 def base(df: DataFrame, f: Frame) -> DataFrame:
     """Columns that several blocks share, each computed once."""
+    C = F.col("close")
     out = df.withColumns({"_log_return": log_return(f), "_return": C / f.lag("close") - 1, "_true_range": true_range(f), "_up": flag(C > f.lag("close")), "_post_gap": F.when(F.col("time") - f.lag("time") > 900, 1).otherwise(0)})
     return out.withColumns({"_sma_10": f.mean("close", 10), "_sma_20": f.mean("close", 20), "_vol": f.std("_log_return", 20, least=5), "_atr": f.roll(F.avg, "_true_range", 14, least=1)})
 
@@ -303,6 +315,7 @@ SHARED = ("_log_return", "_return", "_true_range", "_up", "_post_gap", "_sma_10"
 
 def with_filters(bars: DataFrame, spans: tuple[int, ...] = (10, 20, 40, 50, 80), width: int = 86_400 * 30) -> DataFrame:
     """Bars with the row index and the exponential filters: ema_* of closes, Wilder filters of gains, losses and range."""
+    C = F.col("close")
     indexed = with_row_index(bars, ["symbol"], "time", width)
     f = Frame("symbol")
     change = C - f.lag("close")

@@ -13,10 +13,10 @@ from tickloom.operators.frames import Frame
 #: Horizons in bars, and the fixed return thresholds of each.
 HORIZONS = (1, 4, 8, 16)
 THRESHOLDS = {1: 0.00025, 4: 0.0005, 8: 0.00075, 16: 0.001}
-C = F.col("close")
 
 
 def future_return(f: Frame, h: int) -> Column:
+    C = F.col("close")
     return f.lead("close", h) / C - 1.0
 
 
@@ -32,6 +32,7 @@ def two_way(value: Column, band: Column) -> Column:
 
 def returns(f: Frame, horizons: tuple[int, ...] = HORIZONS) -> dict[str, Column]:
     """W15; needs _atr_norm."""
+    C = F.col("close")
     out = {}
     for h in horizons:
         r = future_return(f, h)
@@ -51,6 +52,7 @@ def directions(f: Frame, horizons: tuple[int, ...] = HORIZONS, thresholds: dict[
 
 def swing_targets(f: Frame, horizons: tuple[int, ...] = (4, 8, 12)) -> dict[str, Column]:
     """Two-way targets, and the sign of the past return as the persistence baseline."""
+    C = F.col("close")
     out = {}
     for h in horizons:
         r, past = future_return(f, h), C / f.lag("close", h) - 1.0
@@ -66,6 +68,7 @@ def alternatives(h: int = 4) -> dict[str, Column]:
 
 def label(bars: DataFrame, *blocks, f: Frame | None = None) -> DataFrame:
     """Symbol, time and the labels of the blocks."""
+    C = F.col("close")
     f = f or Frame("symbol")
     ranged = bars.withColumn("_true_range", true_range(f)).withColumn("_atr_norm", f.mean("_true_range", 14) / C)
     columns: dict[str, Column] = {}

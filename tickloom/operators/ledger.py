@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PNL = F.col("net_pnl")
 
 
 def drawdown(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -16,21 +15,23 @@ def drawdown(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def performance(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Counts, averages, profit factor, expectancy, sides, holding, drawdown of each key."""
-    win, loss = F.sum(F.when(PNL > 0, PNL)), F.sum(F.when(PNL < 0, -PNL))
+    pnl = F.col("net_pnl")
+    win, loss = F.sum(F.when(pnl > 0, pnl)), F.sum(F.when(pnl < 0, -pnl))
     n = F.count("*")
     return drawdown(trades, keys, order).groupBy(*keys).agg(
-        n.alias("n_trades"), F.count_if(PNL > 0).alias("n_wins"), F.count_if(PNL < 0).alias("n_losses"), F.count_if(PNL == 0).alias("n_even"), F.sum(PNL).alias("total_pnl"), F.avg(PNL).alias("expectancy"),
-        F.avg(F.when(PNL > 0, PNL)).alias("mean_win"), F.avg(F.when(PNL < 0, PNL)).alias("mean_loss"), (F.count_if(PNL > 0) * 100.0 / n).alias("win_rate"), (win / loss).alias("profit_factor"),
-        F.sum(F.when(F.col("direction") == "LONG", PNL)).alias("long_pnl"), F.sum(F.when(F.col("direction") == "SHORT", PNL)).alias("short_pnl"), F.avg("holding_bars").alias("mean_holding"), F.max("drawdown").alias("max_drawdown"), F.stddev_samp(PNL).alias("std_pnl"),
+        n.alias("n_trades"), F.count_if(pnl > 0).alias("n_wins"), F.count_if(pnl < 0).alias("n_losses"), F.count_if(pnl == 0).alias("n_even"), F.sum(pnl).alias("total_pnl"), F.avg(pnl).alias("expectancy"),
+        F.avg(F.when(pnl > 0, pnl)).alias("mean_win"), F.avg(F.when(pnl < 0, pnl)).alias("mean_loss"), (F.count_if(pnl > 0) * 100.0 / n).alias("win_rate"), (win / loss).alias("profit_factor"),
+        F.sum(F.when(F.col("direction") == "LONG", pnl)).alias("long_pnl"), F.sum(F.when(F.col("direction") == "SHORT", pnl)).alias("short_pnl"), F.avg("holding_bars").alias("mean_holding"), F.max("drawdown").alias("max_drawdown"), F.stddev_samp(pnl).alias("std_pnl"),
     )
 
 
 def concentration(trades: DataFrame, tops: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Share of the best trades in the total, and the total without them. Only the best few rows are ranked."""
-    total = trades.agg(F.sum(PNL).alias("total_pnl"))
+    pnl = F.col("net_pnl")
+    total = trades.agg(F.sum(pnl).alias("total_pnl"))
     best = trades.select("trade_id", "net_pnl").orderBy(F.desc("net_pnl"), "trade_id").limit(max(tops))
     ranked = best.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("net_pnl"), "trade_id")))  # at most ten rows
-    sums = ranked.agg(*(F.sum(F.when(F.col("_rank") <= k, PNL)).alias(f"top_{k}") for k in tops))
+    sums = ranked.agg(*(F.sum(F.when(F.col("_rank") <= k, pnl)).alias(f"top_{k}") for k in tops))
     out = total.crossJoin(F.broadcast(sums))  # one row each
     for k in tops:
         out = out.withColumn(f"without_top_{k}", F.col("total_pnl") - F.col(f"top_{k}")).withColumn(f"top_{k}_pct", F.col(f"top_{k}") * 100.0 / F.col("total_pnl")).withColumn(f"flips_{k}", F.signum(f"without_top_{k}") != F.signum("total_pnl"))
@@ -46,16 +47,18 @@ def time_blocks(trades: DataFrame, time: Column, start: int, end: int, n_blocks:
 
 def exits(trades: DataFrame) -> DataFrame:
     """By exit reason."""
-    per = trades.groupBy("exit_reason").agg(F.count("*").alias("n_trades"), F.sum(PNL).alias("total_pnl"), F.avg(PNL).alias("mean_pnl"), F.percentile(PNL, F.lit(0.5)).alias("median_pnl"), F.count_if(PNL > 0).alias("n_wins"))
+    pnl = F.col("net_pnl")
+    per = trades.groupBy("exit_reason").agg(F.count("*").alias("n_trades"), F.sum(pnl).alias("total_pnl"), F.avg(pnl).alias("mean_pnl"), F.percentile(pnl, F.lit(0.5)).alias("median_pnl"), F.count_if(pnl > 0).alias("n_wins"))
     return per.withColumn("trade_pct", F.col("n_trades") * 100.0 / F.sum("n_trades").over(Window.partitionBy(F.lit(0)))).withColumn("win_share", F.col("n_wins") / F.sum("n_wins").over(Window.partitionBy(F.lit(0))))  # a few reasons
 
 
 def rollover(trades: DataFrame, hour_minute: Column, wide: float) -> DataFrame:
     """Classes by wide spread and by the minutes around the daily rollover, with their exit reasons."""
+    pnl = F.col("net_pnl")
     late = hour_minute.between(21 * 60 + 50, 22 * 60 + 20)
     spread = F.greatest("entry_spread_pts", "exit_spread_pts") > wide
     kind = F.when(late & spread, "A").when(late | spread, "B").otherwise("C")
-    counts = trades.withColumn("rollover_class", kind).groupBy("rollover_class", "exit_reason").agg(F.count("*").alias("n"), F.sum(PNL).alias("p"), F.sum(F.col("entry_spread_pts")).alias("s"))
+    counts = trades.withColumn("rollover_class", kind).groupBy("rollover_class", "exit_reason").agg(F.count("*").alias("n"), F.sum(pnl).alias("p"), F.sum(F.col("entry_spread_pts")).alias("s"))
     return counts.groupBy("rollover_class").agg(F.sum("n").alias("n_trades"), F.sum("p").alias("total_pnl"), (F.sum("s") / F.sum("n")).alias("mean_entry_spread"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "exit_reason", "n"))), ",").alias("exits"))
 
 

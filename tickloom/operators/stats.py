@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def autocorrelation(df: DataFrame, names: list[str], lags: tuple[int, ...]) -> DataFrame:
@@ -41,12 +42,12 @@ def t_p_value(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p(t: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([t_p_value(a, b - 1) if a == a and b > 1 else float("nan") for a, b in zip(t, n, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sign_p(wins: pd.Series, n: pd.Series) -> pd.Series:
     def p(k: int, n: int) -> float:
         tail = sum(math.comb(n, i) for i in range(max(k, n - k), n + 1)) / 2**n if n <= 1000 else 0.5 * math.erfc((abs(2 * k - n) - 1) / math.sqrt(2 * n))
@@ -55,7 +56,7 @@ def _sign_p(wins: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([p(int(a), int(b)) if b > 0 else 1.0 for a, b in zip(wins, n, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _signed_rank_p(w: pd.Series, n: pd.Series) -> pd.Series:
     def p(w: float, n: int) -> float:
         if n > 25:

@@ -103,8 +103,8 @@ _MASKS = {"all": "true", "confident": "top >= 0.5::DOUBLE", "night": "hour(ts) <
 
 @query("M18_directional_regimes", f"{_P}, r AS (SELECT y_true, y_pred, unnest(list_filter([{', '.join(f'CASE WHEN {m} THEN {chr(39)}{n}{chr(39)} END' for n, m in _MASKS.items())}], lambda x: x IS NOT NULL)) AS regime FROM p WHERE y_true <> 0), g AS (SELECT regime, count(*) AS n_moved, {q.count_if('y_pred <> 0')} AS n_called, avg(CASE WHEN y_pred<>0 THEN (y_true=y_pred)::INT END) AS a, avg(CASE WHEN y_pred<>0 AND y_true=1 THEN (y_true=y_pred)::INT END) AS u, avg(CASE WHEN y_pred<>0 AND y_true=-1 THEN (y_true=y_pred)::INT END) AS d FROM r GROUP BY 1) SELECT regime, n_moved, n_called, round(a,8)+0.0 AS accuracy, round((u+d)/2,8)+0.0 AS balanced_accuracy, CASE WHEN n_called=0 THEN 'NO_SAMPLES' WHEN u+d IS NULL THEN 'SINGLE_CLASS' ELSE 'OK' END AS status FROM g")
 def m18(spark, sf_dir):
-    sure, night = evaluate.TOP >= 0.5, F.hour("ts") < 7
-    masks = {"all": F.lit(True), "confident": sure, "night": night, "monday": F.weekday("ts") == 0, "sure_and_night": sure & night, "never": evaluate.TOP > 1.0}
+    sure, night = evaluate.top() >= 0.5, F.hour("ts") < 7
+    masks = {"all": F.lit(True), "confident": sure, "night": night, "monday": F.weekday("ts") == 0, "sure_and_night": sure & night, "never": evaluate.top() > 1.0}
     return rounded(evaluate.directional(preds(spark, sf_dir), masks), "accuracy", "balanced_accuracy")
 
 
