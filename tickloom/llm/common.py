@@ -12,7 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy step holds; temporaries are about ten times that.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
+#: Rows that Spark hands to Python at once, where the session has Spark's own default; texts are long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, so that the two copies of a batch stay small beside the work on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +56,7 @@ def store(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,4 +101,36 @@ def strings(column: pa.Array) -> list[str]:
 
 def ids_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names, whatever else the table holds."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: Bits of the filter that `maybe_in` sends to every task (4 MiB), whatever the size of the tables.
+FILTER_BITS = 1 << 25
+
+
+def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of `df` whose long `column` may be among those of `ids`: all that are, and few others.
+
+    For a join that follows: rows that cannot match are not shuffled. One hash bit stands for each id; when there are
+    many more ids than bits, most rows stay and the join decides as before.
+    """
+    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    numbered = ids.select((bit + 1).alias("_bit"))
+    words = numbered.groupBy(F.bitmap_bucket_number("_bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("bits"))
+    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for row in words.collect():  # at most FILTER_BITS / 32768 rows of 4 KiB
+        at = (row["b"] - 1) * 4096
+        table[at : at + 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    handle = df.sparkSession.sparkContext.broadcast(table)
+    name = f"_bit_{uuid.uuid4().hex}"
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = handle.value
+        for batch in batches:
+            at = batch.column(name).to_numpy(zero_copy_only=False)
+            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.drop_columns([name]).filter(pa.array(keep.astype(bool)))
+
+    return df.withColumn(name, bit).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ document whose every line goes is dropped by `drop_repeated_lines`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ids_and_text, parts, sliced, store, strings
+from tickloom.llm.common import ids_and_text, maybe_in, parts, sliced, small_batches, store, strings
 from tickloom.llm.components import components
 from tickloom.llm.texthash import _powers, mix
 
@@ -184,7 +185,7 @@ def meet(rows: DataFrame, edits: int, run_rows: int, last: bool) -> DataFrame:
 
     def blocks(line: np.ndarray, sketch: np.ndarray, indexed: np.ndarray) -> Iterator[pa.RecordBatch]:
         probes, own = np.flatnonzero(~indexed), np.flatnonzero(indexed)
-        step = max(1, 1_000_000 // max(1, len(own)))
+        step = max(1, 250_000 // max(1, len(own)))
         for at in range(0, len(probes), step):
             some = probes[at : at + step]
             if (found := pairs_of(line, sketch, indexed, np.repeat(some, len(own)), np.tile(own, len(some)))) is not None:
@@ -326,7 +327,7 @@ def contents(docs: DataFrame, places: DataFrame) -> DataFrame:
                         found.append(split[w["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["line_id", "content"])
 
-    return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(run, "line_id long, content string").dropDuplicates(["line_id"])
+    return maybe_in(docs, places, "doc_id").join(wanted, "doc_id").select("text", "wanted").mapInArrow(run, "line_id long, content string").dropDuplicates(["line_id"])
 
 
 def repeated_lines(docs: DataFrame, edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS, run_rows: int = RUN_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -369,14 +370,16 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 def drop_repeated_lines(df: DataFrame, edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows of `df` (with doc_id, text, and n_chars if there) without the lines that go; see the module."""
+    small_batches(df.sparkSession)
     _, gone = repeated_lines(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), edits, least_chars)
-    lost = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line", "line_id")).alias("_lost"))
-    joined = df.join(lost, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    doc_name, lost_name = (f"{n}_{uuid.uuid4().hex}" for n in ("doc", "lost"))  # no name of the table's
+    lost = gone.groupBy(F.col("doc_id").alias(doc_name)).agg(F.collect_list(F.struct("line", "line_id")).alias(lost_name))
+    joined = df.join(lost, F.col("doc_id") == F.col(doc_name), "left").drop(doc_name)
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            lost = batch.column("_lost").to_pylist()
+            lost = batch.column(lost_name).to_pylist()
             texts = batch.column("text").to_pylist()
             lines = Lines([t or "" for t in texts])
             hashes = lines.ids().astype(np.int64)
@@ -396,7 +399,7 @@ def drop_repeated_lines(df: DataFrame, edits: int = MOST_EDITS, least_chars: int
             if "n_chars" in columns:
                 sizes = [None if t is None else len(t) for t in texts]
                 columns["n_chars"] = pa.array([s if w else n for s, w, n in zip(sizes, lost, columns["n_chars"].to_pylist(), strict=True)], batch.schema.field("n_chars").type)
-            order = [n for n in names if n != "_lost"]
+            order = [n for n in names if n != lost_name]
             yield pa.RecordBatch.from_arrays([columns[n] for n in order], order).filter(pa.array(keep))
 
     return joined.mapInArrow(run, schema)

@@ -6,11 +6,12 @@ links. The prefixes of the sets form inverted lists, whose entries lie in two bl
 entries, where the first common shingle of a linked pair must lie in the smaller set, and the rest. Lists without
 leading entries, and rest entries whose size no leading entry can match, are skipped.
 
-Each list has a pivot, its smallest set; every linked pair shares a list, so it shares a pivot. The members of a
-pivot are compared through their differences from it: for sets y and z with differences Dy and Dz, the symmetric
-difference of y and z is that of Dy and Dz. So a set's answers come from those of the similar pivot, and cost the
-edits rather than the sets. Members of one pivot beyond `group_rows` are dealt into pairs of blocks. A group gives
-a spanning forest of its links, not its pairs; components follow.
+Each list has a pivot, its smallest set; every linked pair shares a list, so it shares a pivot. Counts of a set's
+shingles by hash range bound its difference from another from below; sets of one pivot that the bounds tie together
+get a common head, and the others go. The members of a head are compared through their differences from it: for
+sets y and z with differences Dy and Dz, the symmetric difference of y and z is that of Dy and Dz. So a set's
+answers come from those of the similar head, and cost the edits rather than the sets. Members beyond `group_rows`
+are dealt into pairs of blocks. A group gives a spanning forest of its links, not its pairs; components follow.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a row with a null id is
 counted, has a null component and links with nothing; repeated rows are copies; other columns are not read.
@@ -18,6 +19,7 @@ counted, has a null component and links with nothing; repeated rows are copies;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ids_and_text, parts, sliced, store, texts_of
+from tickloom.llm.common import ids_and_text, maybe_in, parts, sliced, store, texts_of
 from tickloom.llm.components import components
 from tickloom.llm.texthash import WordHasher, mix, shingles
 
@@ -33,6 +35,8 @@ from tickloom.llm.texthash import WordHasher, mix, shingles
 MOST_FREQUENT = 1 << 18
 #: Bytes of text that are counted together, and the least count there that makes a shingle a candidate.
 COUNT_BYTES, LEAST_COUNT = 12_000_000, 4
+#: Hash ranges of the counts that bound differences.
+RANGES = 64
 _U = np.uint64
 
 
@@ -51,15 +55,16 @@ def set_hash(values: np.ndarray) -> int:
 
 
 def sets_of(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, set_id, n of each row."""
+    """doc_id, set_id, n, counts of each row; counts are by hash range, one byte each, at most 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in sliced(batches, "text"):
             sets = text_sets(hasher, batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "set_id", "n"])
+            counts = [np.minimum(np.bincount((s >> _U(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "set_id", "n", "counts"])
 
-    return df.mapInArrow(run, "doc_id long, set_id long, n long")
+    return df.mapInArrow(run, "doc_id long, set_id long, n long, counts binary")
 
 
 def frequent(df: DataFrame, width: int, most: int = MOST_FREQUENT) -> np.ndarray:
@@ -144,14 +149,45 @@ def postings(df: DataFrame, width: int, percent: int, last: np.ndarray) -> DataF
 
 
 def pivots(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct (pivot_id, pivot_n, set_id, n): which sets meet at which pivot."""
-    lead = F.when(F.col("leading"), F.col("n"))
-    # a list with one set has equal bounds; partial aggregation folds copies and hot lists before the shuffle
-    heads = lists.groupBy("token").agg(F.min(F.struct("set_id", "n")).alias("low"), F.max(F.struct("set_id", "n")).alias("high"), F.min(lead).alias("lead_from"), F.max(lead).alias("lead_to"))
-    heads = heads.filter("low != high and lead_from is not null").select("token", "low", "lead_from", "lead_to")
-    fits = F.col("leading") | ((F.col("n") >= F.col("lead_from")) & (F.col("n") * percent <= F.col("lead_to") * 100))
-    met = lists.join(heads, "token").filter(fits).select(F.col("low.set_id").alias("pivot_id"), F.col("low.n").alias("pivot_n"), "set_id", "n")
-    return met.distinct()
+    """Distinct (pivot_id, pivot_n, set_id, n): which sets meet at which pivot, among them each pivot itself.
+
+    A list is read in ascending size, leading entries first. It falls into blocks where the size jumps beyond what
+    can link. An entry of the rest is skipped unless a leading entry before it is large enough. The first entry
+    that is not skipped is the block's pivot, so a list streams through its task whatever its length.
+    """
+    dealt = lists.repartition(parts(lists), "token").sortWithinPartitions("token", "n", F.desc("leading"), "set_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the last entry: token, size; of the open block: size of the last leading entry, pivot
+        token, size, lead, pivot = None, 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, i, n, leads = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "set_id", "n", "leading"))
+            n = n.astype(np.int64)
+            new = np.ones(len(t), dtype=bool)
+            new[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
+            new[0] = t[0] != token or 100 * size < percent * n[0]
+            block = np.cumsum(new)  # 0: the block that was open
+            first = np.searchsorted(block, block)
+            last_lead = np.maximum.accumulate(np.where(leads, np.arange(len(t)), -1))
+            lead_n = np.where(last_lead >= first, n[last_lead], np.where(block == 0, lead, 0))
+            keep = leads | (100 * lead_n >= percent * n)
+            at = np.flatnonzero(keep)
+            pivot_id, pivot_n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            head = np.searchsorted(block[at], block[at])
+            pivot_id[:], pivot_n[:] = i[at][head], n[at][head]
+            if pivot is not None:
+                pivot_id[block[at] == 0], pivot_n[block[at] == 0] = pivot
+            met = (pivot_id != i[at]) | (pivot_n != n[at])
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (pivot_id, pivot_n, i[at], n[at])], ["pivot_id", "pivot_n", "set_id", "n"])
+            open_ = block[at] == block[-1]
+            pivot = (pivot_id[open_][0], pivot_n[open_][0]) if open_.any() else (pivot if block[-1] == 0 else None)
+            token, size, lead = t[-1], n[-1], int(lead_n[-1])
+
+    met = dealt.mapInArrow(run, "pivot_id long, pivot_n long, set_id long, n long").distinct()
+    return met.unionByName(met.select("pivot_id", "pivot_n", F.col("pivot_id").alias("set_id"), F.col("pivot_n").alias("n")).distinct())
 
 
 class Forest:
@@ -209,47 +245,101 @@ def group_links(sets: list[np.ndarray], pivot: np.ndarray, percent: int) -> list
     return [(int(order[k]), int(order[forest.root(k)])) for k in range(n) if forest.root(k) != k]
 
 
-def links(df: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int, group_rows: int) -> DataFrame:
-    """Edges (a, b) between the first documents of different sets."""
-    involved = pairs.select("set_id", "n").union(pairs.select("pivot_id", "pivot_n")).distinct()
-    wanted = involved.join(sets.groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id")), ["set_id", "n"])
-    texts = df.join(wanted, "doc_id")
+def in_cells(members: DataFrame, group_rows: int) -> DataFrame:
+    """Members (pivot_id, pivot_n, set_id, n, ...) in cells (i, j): two of one pivot share a cell, the pivot is in all.
+
+    A pivot with up to group_rows / 2 members has one cell; of a larger one, each cell holds two blocks.
+    """
+    blocks = members.groupBy("pivot_id", "pivot_n").agg(F.ceil(2 * F.count("*") / group_rows).cast("int").alias("k"))
+    is_pivot = (F.col("set_id") == F.col("pivot_id")) & (F.col("n") == F.col("pivot_n"))
+    mine = F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")
+    numbers = F.sequence(F.lit(0), F.col("k") - 1)
+    every = F.flatten(F.transform(numbers, lambda i: F.transform(F.sequence(i, F.col("k") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    own = F.transform(numbers, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    spread = members.join(blocks, ["pivot_id", "pivot_n"]).withColumn("is_pivot", is_pivot).withColumn("cell", F.explode(F.when(is_pivot, every).otherwise(own)))
+    return spread.select(*members.columns, "is_pivot", "cell.i", "cell.j")
+
+
+CELL = ["pivot_id", "pivot_n", "i", "j"]
+
+
+def tied(counts: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Groups (places, two at least) of sets that chains of possible links tie together."""
+    table = counts.astype(np.int16)
+    left = np.arange(len(sizes))
+    groups = []
+    while len(left):
+        group, front, left = [left[:1]], left[:1], left[1:]
+        while len(front) and len(left):
+            some, front = front[:16], front[16:]
+            apart = np.abs(table[some][:, None, :] - table[left][None, :, :]).sum(axis=2, dtype=np.int64)
+            a, b = sizes[some][:, None], sizes[left][None, :]
+            ok = ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            hit = ok.any(axis=0)
+            group.append(left[hit])
+            front = np.concatenate([front, left[hit]])
+            left = left[~hit]
+        if sum(map(len, group)) > 1:
+            groups.append(np.concatenate(group))
+    return groups
+
+
+def heads(pairs: DataFrame, sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
+    """Members (pivot_id, pivot_n, set_id, n, rep) that may link, the head of their tied group being the new pivot."""
+    reps = sets.groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"), F.first("counts").alias("counts"))
+    rows = in_cells(pairs, group_rows).join(reps, ["set_id", "n"])
+    dealt = rows.repartition(parts(pairs), *CELL).sortWithinPartitions(*CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in sliced(batches, "text"):
-            found = text_sets(hasher, batch.column("text"), width)
-            same = [set_hash(s) == i and len(s) == n for s, i, n in zip(found, batch.column("set_id").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            made = pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("n"), batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "n", "rep", "tokens"])
-            yield made.filter(pa.array(same))  # an id may stand for several texts
+        cell, held = None, []
 
-    tokens = store(texts.mapInArrow(run, "set_id long, n int, rep long, tokens binary").dropDuplicates(["set_id", "n"]))
-    blocks = pairs.groupBy("pivot_id", "pivot_n").agg(F.ceil(2 * F.count("*") / group_rows).cast("int").alias("k"))
-    spread = pairs.join(blocks, ["pivot_id", "pivot_n"])
-    mine = F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")
-    spread = spread.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spread = spread.select("pivot_id", "pivot_n", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "set_id", "n")
-    cells = spread.select("pivot_id", "pivot_n", "i", "j").distinct()
-    everyone = spread.unionByName(cells.withColumn("set_id", F.col("pivot_id")).withColumn("n", F.col("pivot_n"))).distinct()
-    rows = everyone.join(tokens, ["set_id", "n"]).withColumn("is_pivot", (F.col("set_id") == F.col("pivot_id")) & (F.col("n") == F.col("pivot_n")))
-    rows = rows.select("pivot_id", "pivot_n", "i", "j", "is_pivot", "rep", "tokens")
-    dealt = rows.repartition(parts(df), "pivot_id", "pivot_n", "i", "j").sortWithinPartitions("pivot_id", "pivot_n", "i", "j", F.desc("is_pivot"))
+        def finish() -> Iterator[pa.RecordBatch]:
+            counts = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint8).reshape(-1, RANGES)
+            for group in tied(counts, np.array([h[1] for h in held], dtype=np.int64), percent):
+                some = [held[k] for k in group.tolist()]
+                head = min(some)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(some), pa.int64()) for x in head[:2]] + [pa.array([h[k] for h in some], pa.int64()) for k in range(3)], ["pivot_id", "pivot_n", "set_id", "n", "rep"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*CELL, "set_id", "n", "rep", "counts")]
+            for *now, set_id, n, rep, counts in zip(*columns, strict=True):
+                if now != cell:
+                    if len(held) > 1:
+                        yield from finish()
+                    cell, held = now, []
+                held.append((set_id, n, rep, counts))
+        if len(held) > 1:
+            yield from finish()
+
+    wanted = dealt.select(*CELL, "set_id", "n", "rep", "counts")
+    return wanted.mapInArrow(run, "pivot_id long, pivot_n long, set_id long, n long, rep long").distinct()
+
+
+def links(df: DataFrame, members: DataFrame, width: int, percent: int, group_rows: int) -> DataFrame:
+    """Edges (a, b) between the first documents of different sets."""
+    wanted = in_cells(members, group_rows).select(F.col("rep").alias("doc_id"), "set_id", "is_pivot", *CELL)
+    # texts are smaller than sets, so texts travel and sets are made where they are compared
+    some = maybe_in(df, members.select(F.col("rep").alias("doc_id")), "doc_id")
+    dealt = some.join(wanted, "doc_id").repartition(parts(df), *CELL).sortWithinPartitions(*CELL, F.desc("is_pivot"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivot, held, reps = None, None, [], []
+        hasher = WordHasher()
+        cell, pivot, held, reps = None, None, [], []
 
         def finish() -> pa.RecordBatch:
-            found = group_links(held, pivot, percent)
+            found = group_links(held, held[0] if pivot is None else pivot, percent)
             return pa.RecordBatch.from_arrays([pa.array([reps[a] for a, _ in found], pa.int64()), pa.array([reps[b] for _, b in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("pivot_id", "pivot_n", "i", "j", "is_pivot", "rep", "tokens")]
-            for *now, first, rep, raw in zip(*columns, strict=True):
-                if now != key:
+        for batch in sliced(batches, "text"):
+            found = text_sets(hasher, batch.column("text"), width)
+            columns = [batch.column(c).to_pylist() for c in (*CELL, "is_pivot", "doc_id", "set_id")]
+            for (*now, first, rep, set_id), values in zip(zip(*columns, strict=True), found, strict=True):
+                if now != cell:
                     if len(held) > 1:
                         yield finish()
-                    key, held, reps = now, [], []
-                values = np.frombuffer(raw, dtype=np.uint64)
+                    cell, pivot, held, reps = now, None, [], []
+                if set_hash(values) != set_id:
+                    continue  # an id may stand for several texts
                 if first:
                     pivot = values
                 held.append(values)
@@ -257,21 +347,21 @@ def links(df: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent:
         if len(held) > 1:
             yield finish()
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.select("doc_id", "text", "set_id", "is_pivot", *CELL).mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, group_rows: int = 20_000) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, group_rows: int = 8_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     docs = ids_and_text(df, id_col, text_col)
     sets = store(sets_of(docs, width))
     linked = docs.filter("doc_id is not null")
-    lists = store(postings(linked, width, percent, frequent(linked, width)))
-    pairs = store(pivots(lists, percent).filter("set_id != pivot_id or n != pivot_n"))
+    pairs = store(pivots(postings(linked, width, percent, frequent(linked, width)), percent))
     first = sets.filter("doc_id is not null and n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"))
-    edges = links(linked, sets.filter("doc_id is not null"), pairs, width, percent, group_rows)
+    members = store(heads(pairs, sets.filter("doc_id is not null"), percent, group_rows))
+    edges = links(linked, members, width, percent, group_rows)
     found = components(edges)
     named = first.join(found, F.col("rep") == F.col("node"), "left").select("set_id", "n", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, ["set_id", "n"], "left")
+    out = sets.drop("counts").join(named, ["set_id", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -281,5 +371,6 @@ def keep_first(df: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     Of repeated ids the rows stay or go together.
     """
-    drop = jaccard_components(df, width=width, percent=percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(drop, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = f"gone_{uuid.uuid4().hex}"  # no name of the table's
+    drop = jaccard_components(df, width=width, percent=percent).filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(drop, F.col("doc_id") == F.col(gone), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import sliced, store, texts_of
+from tickloom.llm.common import sliced, small_batches, store, texts_of
 from tickloom.llm.texthash import WordHasher, mix
 
 BUCKETS = 1 << 16
@@ -207,6 +207,7 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[DataFrame
 
 def keep_good(df: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of `df` (with doc_id and text) that the sample holds, with all columns."""
+    small_batches(df.sparkSession)
     _, model = sample(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, seed)
     handle = df.sparkSession.sparkContext.broadcast(model.parts())
 

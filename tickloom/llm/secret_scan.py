@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ids_and_text, sliced, strings
+from tickloom.llm.common import ids_and_text, sliced, small_batches, strings
 
 #: Fixed values of the query contract: kind, pattern, group that is measured, least length.
 BASE_PATTERNS = (
@@ -167,6 +167,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
 
     A column n_chars, if there, gets the new length of each text that changes.
     """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
