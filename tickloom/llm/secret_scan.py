@@ -33,7 +33,7 @@ KINDS = ("assign", "access", "hex", "literal")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "private": 0.6, "auth": 0.6, "bearer": 0.8, "signing": 0.5,
-    "access": 0.4, "encryption": 0.5, "api": 0.3, "key": 0.5, "pin": 0.4, "cookie": 0.4, "session": 0.4,
+    "cred": 0.7, "creds": 0.7, "access": 0.4, "encryption": 0.5, "api": 0.3, "key": 0.5, "pin": 0.4, "cookie": 0.4, "session": 0.4,
 }
 #: Values that stand for a secret without being one.
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your", "dummy", "sample", "none", "null", "true", "false", "xxx", "***", "...")
