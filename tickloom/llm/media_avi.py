@@ -6,7 +6,8 @@ the all-ones word that JPEG reserves), so each sample takes exactly nine bits, a
 array operations. The container is RIFF AVI with an MJPG stream and an idx1 index; readers follow the index.
 
 Shots: the distance of the grey histograms of neighbouring frames; a cut is where it exceeds the mean plus
-`spread` standard deviations of the distances in a sliding window. Clips are the runs between cuts, with times.
+`spread` standard deviations of the distances in a sliding window, and twice the distance that chance gives two
+frames of one source. Clips are the runs between cuts, with times.
 
 Defined results: a null text is the empty text; the empty text gives one frame of padding; equal texts give equal
 media and features; repeated rows give repeated results; other columns are not read.
@@ -159,6 +160,8 @@ def shot_starts(frames: np.ndarray) -> list[int]:
     grey = (frames.reshape(n, -1) >> 3).astype(np.int64) + np.arange(n)[:, None] * BINS
     histogram = np.bincount(grey.ravel(), minlength=n * BINS).reshape(n, BINS)
     change = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / (2.0 * FRAME)
+    # of two counts with one mean the expected distance is about sqrt(2 / pi) standard deviations of their difference
+    chance = np.sqrt(2 / np.pi * (histogram[1:] + histogram[:-1])).sum(axis=1) / (2.0 * FRAME)
     total = np.concatenate([[0.0], np.cumsum(change)])
     square = np.concatenate([[0.0], np.cumsum(change * change)])
     i = np.arange(n - 1)
@@ -166,7 +169,7 @@ def shot_starts(frames: np.ndarray) -> list[int]:
     count = high - low
     mean = (total[high] - total[low]) / count
     spread = np.sqrt(np.maximum(0.0, (square[high] - square[low]) / count - mean * mean))
-    return [0, *(np.flatnonzero((change > mean + SPREAD * spread) & (change > LEAST_CUT)) + 1).tolist()]
+    return [0, *(np.flatnonzero((change > mean + SPREAD * spread) & (change > np.maximum(LEAST_CUT, 2 * chance))) + 1).tolist()]
 
 
 def to_avi(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
