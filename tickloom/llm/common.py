@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,41 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = end
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """doc_id, text with each text as zstd bytes, for texts that travel through shuffles; `unpacked` reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else squeeze(t.encode()) for t in texts], pa.binary())], ["doc_id", "text"])
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches with the texts of `packed`, each of about `most` bytes of text (a single row may have more)."""
+    expand = zstandard.ZstdDecompressor().decompress
+
+    def made(batch: pa.RecordBatch, texts: list[bytes | None], end: int) -> pa.RecordBatch:
+        some = batch.slice(end - len(texts), len(texts))
+        return some.set_column(some.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
+
+    for batch in batches:
+        texts: list[bytes | None] = []
+        held = 0
+        for end, raw in enumerate(batch.column("text")):
+            text = None if raw.as_py() is None else expand(raw.as_py())
+            size = len(text or b"")
+            if texts and held + size > most:
+                yield made(batch, texts, end)
+                texts, held = [], 0
+            texts.append(text)
+            held += size
+        if texts:
+            yield made(batch, texts, batch.num_rows)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes, starts and lengths of a string column; a null has length 0."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ids_and_text, maybe_in, parts, sliced, store, texts_of
+from tickloom.llm.common import ids_and_text, maybe_in, packed, parts, sliced, store, texts_of, unpacked
 from tickloom.llm.components import components
 from tickloom.llm.texthash import WordHasher, mix, shingles
 
@@ -318,8 +318,8 @@ def heads(pairs: DataFrame, sets: DataFrame, percent: int, group_rows: int) -> D
 def links(df: DataFrame, members: DataFrame, width: int, percent: int, group_rows: int) -> DataFrame:
     """Edges (a, b) between the first documents of different sets."""
     wanted = in_cells(members, group_rows).select(F.col("rep").alias("doc_id"), "set_id", "is_pivot", *CELL)
-    # texts are smaller than sets, so texts travel and sets are made where they are compared
-    some = maybe_in(df, members.select(F.col("rep").alias("doc_id")), "doc_id")
+    # texts are smaller than sets, so texts travel, compressed, and sets are made where they are compared
+    some = packed(maybe_in(df, members.select(F.col("rep").alias("doc_id")), "doc_id"))
     dealt = some.join(wanted, "doc_id").repartition(parts(df), *CELL).sortWithinPartitions(*CELL, F.desc("is_pivot"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def links(df: DataFrame, members: DataFrame, width: int, percent: int, group_row
             found = group_links(held, held[0] if pivot is None else pivot, percent)
             return pa.RecordBatch.from_arrays([pa.array([reps[a] for a, _ in found], pa.int64()), pa.array([reps[b] for _, b in found], pa.int64())], ["a", "b"])
 
-        for batch in sliced(batches, "text"):
+        for batch in unpacked(batches):
             found = text_sets(hasher, batch.column("text"), width)
             columns = [batch.column(c).to_pylist() for c in (*CELL, "is_pivot", "doc_id", "set_id")]
             for (*now, first, rep, set_id), values in zip(zip(*columns, strict=True), found, strict=True):
