@@ -1,13 +1,15 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 An agenda holds the candidate merges of a segment, best score first, then leftmost. A candidate taken from the
-agenda is skipped when a hash keyed by seed, variant, segment, place and pieces falls under the dropout rate; it
-returns only as a new candidate, when a neighbour changes. Rate 0 gives the plain encoding.
+agenda is skipped when a hash keyed by seed, row id, place of the segment in its text, and candidate (place and
+pieces) falls under the dropout rate; it returns only as a new candidate, when a neighbour changes. Rate 0 gives the
+plain encoding.
 
 No piece has a space mark after another character, so a text is cut before each run of space marks and around
-characters that no piece holds, and segments are encoded alone. Each occurrence of a segment has one of
-`variants` variants (a hash of seed, row id and place), and a batch encodes each (segment, variant) once, all of
-them together: one round takes the best candidate of every segment. Long segments use a heap.
+characters that no piece holds, and segments are encoded alone. A batch encodes each distinct segment once without
+skips and notes the candidates taken. Every occurrence draws for these candidates under its own key: where it skips
+none, the plain encoding is its encoding; the others run their own agenda, all of them together: one round takes the
+best candidate of every segment. Long segments use a heap.
 
 Lossless for every text: characters outside the vocabulary, and space marks (U+2581) of the text itself, become
 byte pieces. Defined results: a null or empty text has no ids and decodes to the empty text; rows with a null id
@@ -95,16 +97,27 @@ class Pieces:
         return out
 
 
+def candidate(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of each candidate in its segment."""
+    return mix((place.astype(np.uint64) << _U(40)) ^ (left.astype(np.uint64) << _U(20)) ^ right.astype(np.uint64))
+
+
+def skipped(key: np.ndarray, candidates: np.ndarray, rate: float) -> np.ndarray:
+    return (mix(key ^ candidates) >> _U(11)).astype(np.float64) * 2.0**-53 < rate
+
+
 def dropped(key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, rate: float) -> np.ndarray:
     """Whether the keyed hash skips each candidate."""
     if rate <= 0:
         return np.zeros(len(key), dtype=bool)
-    h = mix(key ^ mix((place.astype(np.uint64) << _U(40)) ^ (left.astype(np.uint64) << _U(20)) ^ right.astype(np.uint64)))
-    return (h >> _U(11)).astype(np.float64) * 2.0**-53 < rate
+    return skipped(key, candidate(place, left, right), rate)
 
 
-def merge_block(symbols: np.ndarray, keys: np.ndarray, pieces: Pieces, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Runs the agenda of many segments (rows, padded with -1 on the right). Symbols, and which of them are left."""
+def merge_block(symbols: np.ndarray, keys: np.ndarray, pieces: Pieces, rate: float, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs the agenda of many segments (rows, padded with -1 on the right). Symbols, and which of them are left.
+
+    `taken` gets, for each round, the rows and the hashes of the candidates that they took from the agenda.
+    """
     rows, width = symbols.shape
     symbols = symbols.astype(np.int64)
     alive = np.ones((rows, width), dtype=bool)
@@ -123,6 +136,8 @@ def merge_block(symbols: np.ndarray, keys: np.ndarray, pieces: Pieces, rate: flo
         if not len(active):
             return symbols, alive
         right = after[active, best]
+        if taken is not None:
+            taken.append((active, candidate(best, symbols[active, best], symbols[active, right])))
         skip = dropped(keys[active], best, symbols[active, best], symbols[active, right], rate)
         score[active[skip], best[skip]] = NONE
         row, at, gone = active[~skip], best[~skip], right[~skip]
@@ -183,12 +198,11 @@ def merge_long(symbols: np.ndarray, key: int, pieces: Pieces, rate: float) -> np
 
 
 class Encoder:
-    """Encodes batches of texts."""
+    """Encodes batches of texts. Callers may still give `variants`; it has no effect, as every occurrence draws for itself."""
 
-    def __init__(self, path: str, rate: float, seed: int, variants: int) -> None:
+    def __init__(self, path: str, rate: float, seed: int, variants: int = 0) -> None:
         self.pieces, self.rate = Pieces(path), rate
         self.seed = int(mix(np.array([seed & (2**64 - 1)], dtype=np.uint64))[0])
-        self.variants = variants if rate > 0 else 1
         with np.errstate(over="ignore"):
             self.letter = mix(np.arange(1, 0x110001, dtype=np.uint64))
 
@@ -216,26 +230,56 @@ class Encoder:
         length = np.diff(np.concatenate([start, [n]]))
         owner = np.searchsorted(ends, start, side="right")
         place = start - (ends - sizes)[owner]
-        # the key of a segment: its letters, then its variant
         powers = _powers_of(int(length.max()))
         within = np.arange(n) - np.repeat(start, length)
         letters = mix(np.add.reduceat(self.letter[code] * powers[within], start) + length.astype(np.uint64))
         ids = np.array([(i or 0) & (2**64 - 1) for i in row_ids], dtype=np.uint64)
-        occurrence = mix(mix(ids ^ _U(self.seed))[owner] + place.astype(np.uint64))
-        variant = occurrence % _U(self.variants)
-        key = mix(letters ^ mix(_U(self.seed) + variant + _U(1)))
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        flat_ids, out_start, out_length = self._segments(symbol, start[first], length[first], key[first])
+        key = mix(mix(ids ^ _U(self.seed))[owner] + place.astype(np.uint64))
+        own = length > WIDE if self.rate > 0 else np.zeros(len(start), dtype=bool)  # nearly every long one skips something
+        shared = np.flatnonzero(~own)
+        _, first, which = np.unique(letters[shared], return_index=True, return_inverse=True)
+        taken: list | None = [] if self.rate > 0 else None
+        some = shared[first]
+        flat_ids, begin, size = self._segments(symbol, start[some], length[some], key[some], 0.0, taken)
+        out_start, out_length = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+        out_start[shared], out_length[shared] = begin[which], size[which]
+        if taken is not None:
+            own[shared] = self._skips(key[shared], which, len(some), taken)
+            some = np.flatnonzero(own)
+            more, begin, size = self._segments(symbol, start[some], length[some], key[some], self.rate)
+            out_start[some], out_length[some] = begin + len(flat_ids), size
+            flat_ids = np.concatenate([flat_ids, more])
         # put the segments of each text in order
-        count = out_length[which]
+        count = out_length
         total = np.cumsum(count)
-        source = np.repeat(out_start[which] - (total - count), count) + np.arange(int(total[-1]))
+        source = np.repeat(out_start - (total - count), count) + np.arange(int(total[-1]))
         stream = flat_ids[source]
         per_text = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return np.split(stream, np.cumsum(per_text)[:-1])
 
-    def _segments(self, symbol: np.ndarray, start: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of distinct segments: one array, and where each segment's are."""
+    def _skips(self, key: np.ndarray, which: np.ndarray, kinds: int, taken: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which occurrences (of segment `which` of `kinds`) skip any of the candidates that the plain agenda takes."""
+        out = np.zeros(len(key), dtype=bool)
+        if not taken:
+            return out
+        segment, candidates = (np.concatenate(x) for x in zip(*taken, strict=True))
+        candidates = candidates[np.argsort(segment, kind="stable")]
+        count = np.bincount(segment, minlength=kinds)
+        begin = np.cumsum(count) - count
+        for at in range(0, len(key), CELLS // 8):
+            some = which[at : at + CELLS // 8]
+            n = count[some]
+            row = np.repeat(np.arange(len(some)), n)
+            place = np.arange(len(row)) + np.repeat(begin[some] - (np.cumsum(n) - n), n)
+            out[at + row[skipped(key[at + row], candidates[place], self.rate)]] = True
+        return out
+
+    def _segments(
+        self, symbol: np.ndarray, start: np.ndarray, length: np.ndarray, key: np.ndarray, rate: float, taken: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of segments: one array, and where each segment's are. `taken` as in merge_block, by segment."""
+        if not len(start):
+            return (np.zeros(0, dtype=np.int64),) * 3
         chunks: list[np.ndarray] = []
         size = np.zeros(len(start), dtype=np.int64)
         order: list[np.ndarray] = []
@@ -248,13 +292,16 @@ class Encoder:
                 pad = np.arange(high) >= length[some][:, None]
                 block = symbol[np.minimum(where, len(symbol) - 1)]
                 block[pad] = -1
-                done, alive = merge_block(block, key[some], self.pieces, self.rate)
+                rounds: list | None = None if taken is None else []
+                done, alive = merge_block(block, key[some], self.pieces, rate, rounds)
+                if taken is not None:
+                    taken += [(some[row], c) for row, c in rounds]
                 alive &= ~pad
                 chunks.append(done[alive])
                 size[some] = alive.sum(axis=1)
                 order.append(some)
         for i in np.flatnonzero(length > WIDE).tolist():
-            done = merge_long(symbol[start[i] : start[i] + length[i]], int(key[i]), self.pieces, self.rate)
+            done = merge_long(symbol[start[i] : start[i] + length[i]], int(key[i]), self.pieces, rate)
             chunks.append(done)
             size[i] = len(done)
             order.append(np.array([i]))
@@ -283,11 +330,11 @@ def _powers_of(n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def encode(df: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, rate: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids, as little-endian 32-bit numbers in a binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, rate, seed, variants)
+        encoder = Encoder(path, rate, seed)
         for batch in sliced(batches, "text", 2_000_000):
             found = encoder.encode(strings(batch.column("text")), batch.column("doc_id").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], ["doc_id", "ids"])
