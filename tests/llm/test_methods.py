@@ -133,6 +133,40 @@ def test_assignments_carry_constants():
     assert {"q8Zk2LmN9x", "Zx81", "kkq02MMsT"} == found
 
 
+def test_secrets_are_read_to_their_end():
+    rng = random.Random(3)
+    long_ = "".join(rng.choice("abcXYZ019+/") for _ in range(5000))
+    parts = ["".join(rng.choice("abcXYZ019") for _ in range(8)) for _ in range(300)]
+    joined = ("\n" + " " * 20 + "+ ").join(f'"{p}"' for p in parts)
+    cases = {
+        f'signing_key = "{long_}"': {long_},
+        f"signing_key = -{long_} next": {f"-{long_}"},
+        'signing_key' + " " * 40 + "=" + " " * 40 + '"q8Zk2LmN9x"': {"q8Zk2LmN9x"},
+        f"signing_key = {joined}": set(parts),
+        f"base = {joined}\nsigning_key = base": set(parts),
+        'signing_key: str = "q8Zk2LmN9x"': {"q8Zk2LmN9x"},
+        "const signingKey: string | undefined = 'q8Zk2LmN9x';": {"q8Zk2LmN9x"},
+        'note: signing_key = "q8Zk2LmN9x"': {"q8Zk2LmN9x"},
+        f'signing_{"part_" * 30}key = "q8Zk2LmN9x"': {"q8Zk2LmN9x"},
+        'signing_key = "q8ZktrueLmN9x"': {"q8ZktrueLmN9x"},
+        'signing_key = "your-key-goes-here1"': set(),
+        'signing_key = "********"': set(),
+    }
+    for text, expected in cases.items():
+        assert {text[s:e] for _, s, e, _ in secret_scan.literal_spans(text)} == expected, text[:60]
+
+
+def test_long_texts_scan_in_linear_time():
+    import time
+
+    begin = time.monotonic()
+    for text in ("key=" * 100_000, "key:" + " " * 400_000, "key = '" * 50_000, "a1 = 'x'\n" + "a1 = a1 + a1\n" * 20_000, "x" * 400_000 + "=", 'auth_key = "' + "k=" * 200_000):
+        secret_scan.find_secrets(text)
+    assert time.monotonic() - begin < 60
+    tail = secret_scan.Tails("ab1=Cd2=" * 20, 0, 160)
+    assert all(abs(tail.of(k) - secret_scan.randomness(("ab1=Cd2=" * 20)[k:])) < 1e-9 for k in range(160))
+
+
 def test_jaccard_against_brute_force(spark, sf, texts):
     for width, percent in ((3, 90), (5, 80)):
         sets = word_sets(texts, width)

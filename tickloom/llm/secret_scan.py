@@ -2,7 +2,8 @@
 
 The lexer turns `name = "literal"`, `name: literal`, `"name" => 'a' + "b"` and `name = other_name` into
 name-literal pairs, carries constants from the names they were first given to the names that use them, and
-scores each literal by how sensitive the names are that it reaches and by how random it looks.
+scores each literal by how sensitive the names are that it reaches and by how random it looks. A separator after
+`name: type` counts for the name as well. Blanks, names, literals and concatenations are read to their real end.
 
 Defined results: a null text is the empty text and has no spans; rows with a null id stay; repeated rows give
 repeated results; other columns are not read. Spans count code points, the end is exclusive. Every text is
@@ -13,7 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,17 +39,21 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "private": 0.6, "auth": 0.6, "bearer": 0.8, "signing": 0.5,
     "cred": 0.7, "creds": 0.7, "access": 0.4, "encryption": 0.5, "api": 0.3, "key": 0.5, "pin": 0.4, "cookie": 0.4, "session": 0.4,
 }
-#: Values that stand for a secret without being one.
-PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your", "dummy", "sample", "none", "null", "true", "false", "xxx", "***", "...")
+#: Whole words, and runs of marks, of values that stand for a secret without being one.
+_PLACEHOLDER = re.compile(r"(?<![^\W_])(?:changeme|example|placeholder|redacted|your|dummy|sample|none|null|true|false|x{3,})(?![^\W_])|\*{3}|\.{3}", re.I)
 #: A literal of at least this score is reported.
 LEAST_SCORE = 1.2
 
 SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
-_NAME_BEFORE = re.compile(r"(?:[\"'`]([A-Za-z_][\w.\- ]{0,63})[\"'`]|([A-Za-z_$][\w.\-]{0,63}))\s{0,8}$", re.A)
+# for the text backwards: a quoted or a bare name that ends at a separator
+_NAME_BEFORE = re.compile(r"\s*+(?:[\"'`]([\w.\- ]*+)[\"'`]|([\w.\-]*+\$?))", re.A)
+_NOT_FIRST = re.compile(r"[^A-Za-z_$]*")
+_TYPE = re.compile(r"[ \t]*+(?=[^\n]*?[A-Za-z])[\w \t.,&*?!|<>()\[\]']++", re.A)
 _SEPARATOR = re.compile(r":=|=>|[:=]")
-_QUOTED = re.compile(r"\s{0,8}(?:\"((?:[^\"\\\n]|\\.){0,4096})\"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`)")
-_BARE = re.compile(r"\s{0,8}([^\s\"'`,;(){}\[\]<>]{1,4096})")
-_JOIN = re.compile(r"\s{0,8}[+.]\s{0,8}(?=[\"'`A-Za-z_$])|\s{1,8}(?=[\"'])")
+_QUOTED = re.compile(r"\s*+(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)")
+_BARE = re.compile(r"\s*+([^\s\"'`,;(){}\[\]<>])")
+_BARE_END = re.compile(r"[\s\"'`,;(){}\[\]<>]|\Z")
+_JOIN = re.compile(r"\s*+[+.]\s*+(?=[\"'`A-Za-z_$])|\s++(?=[\"'])")
 _PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w.]*\Z", re.A)
 
@@ -57,15 +65,43 @@ def name_weight(name: str) -> float:
     return max([sum(SENSITIVE.get(w, 0.0) for w in dict.fromkeys(words)), *(v for k, v in SENSITIVE.items() if v >= 0.8 and k in joined)], default=0.0)
 
 
+def _random(bits: float, kinds: int) -> float:
+    return min(1.0, bits / 80) * (0.4 + 0.2 * kinds)
+
+
 def randomness(value: str) -> float:
     """0 to 1: bits of entropy over the whole value, with credit for mixed character classes."""
     n = len(value)
     if n < 6:
         return 0.0
-    counts = {c: value.count(c) for c in set(value)}
-    bits = -sum(v * math.log2(v / n) for v in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
-    return min(1.0, bits / 80) * (0.4 + 0.2 * kinds)
+    bits = -sum(v * math.log2(v / n) for v in Counter(value).values())
+    return _random(bits, sum(bool(re.search(p, value)) for p in _CLASSES))
+
+
+_CLASSES = (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]")
+
+
+class Tails:
+    """What literal_spans asks of values that end where one bare run ends, from one pass over a long run."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.start, self.end = start, end
+        self.score: list[float] = []
+        counts: Counter[str] = Counter()
+        logs, kinds = 0.0, [False] * 4
+        tests = [re.compile(p).match for p in _CLASSES]
+        for n, c in enumerate(reversed(text[start:end]), 1):
+            v = counts[c] = counts[c] + 1
+            if v == 1:
+                kinds = [k or bool(t(c)) for k, t in zip(kinds, tests, strict=True)]
+            else:
+                logs += v * math.log2(v) - (v - 1) * math.log2(v - 1)
+            self.score.append(_random(n * math.log2(n) - logs, sum(kinds)) if n >= 6 else 0.0)
+        self.placeholder = max((m.start() for m in _PLACEHOLDER.finditer(text, start, end)), default=-1)
+
+    def of(self, start: int) -> float | None:
+        """Randomness of the value, None for a placeholder."""
+        return None if self.placeholder >= start else self.score[self.end - start - 1]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, float]]:
@@ -83,70 +119,121 @@ def _compiled() -> tuple[re.Pattern, ...]:
     return re.compile(BASE_PATTERNS[0][1], re.I | re.A), re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """Name, literal parts (value, start, end) and referred names of each assignment, in text order."""
+class Value:
+    """Literals of an assignment (start, end), and the values of the names that it refers to."""
+
+    __slots__ = ("parts", "used")
+
+    def __init__(self, parts: list[tuple[int, int]], used: list[Value]) -> None:
+        self.parts, self.used = parts, used
+
+    def literals(self) -> list[tuple[int, int]]:
+        """All literals that it reaches, each once, own ones first."""
+        out: dict[tuple[int, int], None] = {}
+        seen, stack = {id(self)}, [self]
+        while stack:
+            value = stack.pop()
+            out.update(dict.fromkeys(value.parts))
+            for u in reversed(value.used):
+                if id(u) not in seen:
+                    seen.add(id(u))
+                    stack.append(u)
+        return list(out)
+
+
+def assignments(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[str]]]:
+    """Names, literal parts (start, end) and referred names of each assignment, in text order."""
     if "=" not in text and ":" not in text:
         return
+    back = text[::-1]
+    bare_end = -1
+    declared, after = "", -1  # name before the last colon, and the colon's end
     for m in _SEPARATOR.finditer(text):
-        before = text[max(0, m.start() - 80) : m.start()]
-        name = _NAME_BEFORE.search(before)
-        if not name:
+        found = _NAME_BEFORE.match(back, len(text) - m.start())
+        name = (found.group(1) or found.group(2) or "")[::-1]
+        if found.group(1) is None:
+            name = name[_NOT_FIRST.match(name).end() :]
+        elif name[:1].isdigit() or name[:1] in ".- ":
+            name = ""
+        owners = [name.lstrip("$")] if name else []
+        if m.group() in ("=", ":=") and declared and _TYPE.fullmatch(text, after, m.start()):
+            owners.append(declared)
+        declared, after = (owners[0] if m.group() == ":" and name else ""), m.end()
+        if not owners:
             continue
-        parts: list[tuple[str, int, int]] = []
+        parts: list[tuple[int, int]] = []
         names: list[str] = []
         at = m.end()
-        for _ in range(64):  # parts of one concatenation
+        while True:  # parts of one concatenation
             if q := _QUOTED.match(text, at):
                 g = q.lastindex
                 if g and q.end(g) > q.start(g):
-                    parts.append((q.group(g), q.start(g), q.end(g)))
+                    parts.append(q.span(g))
+                at = q.end()
             elif q := _BARE.match(text, at):
-                word = q.group(1)
-                if _IDENTIFIER.match(word):
-                    names.append(word.lstrip("$"))
+                start = q.start(1)
+                if start >= bare_end:  # else within the run that was read last
+                    bare_end = _BARE_END.search(text, start).start()
+                if _IDENTIFIER.match(text, start, bare_end):
+                    names.append(text[start:bare_end].lstrip("$"))
                 elif not parts and not names:
-                    parts.append((word, q.start(1), q.end(1)))
+                    parts.append((start, bare_end))
                 else:
                     break
+                at = bare_end
             else:
                 break
-            at = q.end()
             more = _JOIN.match(text, at)
             if not more:
                 break
             at = more.end()
-        yield (name.group(1) or name.group(2)).lstrip("$"), parts, names
+        yield owners, parts, names
+
+
+#: Bare values longer than this share one pass with the other values that end there.
+LONG = 4096
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int, float]]:
     """Literals that reach a sensitive name, directly or through constants."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, Value] = {}
     best: dict[tuple[int, int], float] = {}
-    for name, parts, names in assignments(text):
-        value = parts + [p for n in names for p in known.get(n, ())]
-        if not value:
+    tails: Tails | None = None
+    for owners, parts, names in assignments(text):
+        used = [known[n] for n in names if n in known]
+        if not parts and not used:
             # a bare word after a sensitive name is its value
             continue
-        if len(value) <= 256:
-            known[name] = value
-        weight = name_weight(name)
+        value = used[0] if not parts and len(used) == 1 else Value(parts, used)
+        known.update(dict.fromkeys(owners, value))
+        weight = max(map(name_weight, owners))
         if weight < 0.4:
             continue
-        whole = "".join(v for v, _, _ in value)
-        low = whole.lower()
-        if len(whole) < 6 or any(p in low for p in PLACEHOLDERS) or " " in whole.strip():
+        spans = value.literals()
+        if len(spans) == 1 and spans[0][1] - spans[0][0] > LONG and (text[spans[0][0] - 1] not in "\"'`"):
+            start, end = spans[0]
+            if tails is None or tails.end != end or start < tails.start:
+                tails = Tails(text, start, end)
+            random = tails.of(start)
+        else:
+            whole = "".join(text[a:b] for a, b in spans)
+            if len(whole) < 6 or " " in whole.strip():
+                continue
+            random = None if _PLACEHOLDER.search(whole) else randomness(whole)
+        if random is None:
             continue
-        score = min(weight, 1.2) + randomness(whole)
+        score = min(weight, 1.2) + random
         if score >= LEAST_SCORE:
-            for _, start, end in value:
-                best[start, end] = max(score, best.get((start, end), 0.0))
+            for span in spans:
+                best[span] = max(score, best.get(span, 0.0))
     return [("literal", s, e, score) for (s, e), score in best.items()]
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int, float]]:
     """All spans: the base ones, and literals that no base span covers; by start, then kind."""
-    base = base_spans(text)
-    more = [x for x in literal_spans(text) if not any(b[1] <= x[1] and x[2] <= b[2] for b in base)]
+    base = sorted(base_spans(text), key=lambda b: b[1])
+    starts, ends = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
+    more = [x for x in literal_spans(text) if not (k := bisect_right(starts, x[1])) or ends[k - 1] < x[2]]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
