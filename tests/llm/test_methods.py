@@ -221,6 +221,37 @@ def test_media_round_trip_and_shots():
     assert media_avi.shot_starts(frames) == [0, 20]
 
 
+def test_cuts_of_short_films_and_dense_cuts():
+    rng = np.random.default_rng(4)
+
+    def film(sizes):
+        return np.concatenate([(rng.integers(0, 64, (k, 24, 24)) + 90 * (i % 3 % 2) + 45 * (i % 3)).astype(np.uint8) for i, k in enumerate(sizes)])
+
+    for n in range(2, 7):
+        assert media_avi.shot_starts(film([n])) == [0]
+        for at in range(1, n):
+            assert media_avi.shot_starts(film([at, n - at])) == [0, at]
+    assert media_avi.shot_starts(film([1, 1, 1])) == [0, 1, 2]
+    for size in (2, 3, 4):
+        assert media_avi.shot_starts(film([size] * 20)) == list(range(0, 20 * size, size))
+    assert media_avi.shot_starts(film([200])) == [0]
+    assert media_avi.shot_starts(film([50, 2, 3, 40])) == [0, 50, 52, 55]
+
+
+def test_clips_query(spark, sf):
+    frames = {r["doc_id"]: r["payload_bytes"] // 576 for r in queries.op6_media_avi(spark, sf).collect()}
+    clips = collections.defaultdict(list)
+    for r in queries.op6_media_clips(spark, sf).collect():
+        clips[r["doc_id"]].append((r["clip"], r["first_frame"], r["frames"], r["start_ms"], r["end_ms"]))
+    assert clips.keys() == frames.keys()
+    for i, rows in clips.items():
+        at = 0
+        for k, (clip, first, n, start, end) in enumerate(sorted(rows)):
+            assert (clip, first, start, end) == (k, at, at * 40, (at + n) * 40) and n > 0
+            at += n
+        assert at == frames[i]
+
+
 def test_media_query(spark, sf, texts):
     for r in queries.op6_media_avi(spark, sf).collect():
         raw = texts[r["doc_id"]].encode()

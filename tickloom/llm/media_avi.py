@@ -5,9 +5,10 @@ samples are the payload itself. The Huffman lengths are 9 minus the difference c
 the all-ones word that JPEG reserves), so each sample takes exactly nine bits, and coding and decoding are
 array operations. The container is RIFF AVI with an MJPG stream and an idx1 index; readers follow the index.
 
-Shots: the distance of the grey histograms of neighbouring frames; a cut is where it exceeds the mean plus
-`spread` standard deviations of the distances in a sliding window, and twice the distance that chance gives two
-frames of one source. Clips are the runs between cuts, with times.
+Shots: the distance of the grey histograms of neighbouring frames; a cut is where it exceeds twice the distance that
+chance gives two frames of one source, and the median plus `spread` standard deviations (from the median absolute
+deviation) of the other distances in a sliding window. So up to half of a window's distances may be cuts; films of at
+most `SHORT` frames go by chance alone. Clips are the runs between cuts, with times.
 
 Defined results: a null text is the empty text; the empty text gives one frame of padding; equal texts give equal
 media and features; repeated rows give repeated results; other columns are not read.
@@ -33,6 +34,10 @@ BINS = 32
 WINDOW = 12
 SPREAD = 2.0
 LEAST_CUT = 0.05
+#: Frames of films that have too few distances for a median.
+SHORT = 6
+#: Standard deviations of normal values in one median absolute deviation.
+DEVIATION = 1.4826
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +167,24 @@ def shot_starts(frames: np.ndarray) -> list[int]:
     change = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / (2.0 * FRAME)
     # of two counts with one mean the expected distance is about sqrt(2 / pi) standard deviations of their difference
     chance = np.sqrt(2 / np.pi * (histogram[1:] + histogram[:-1])).sum(axis=1) / (2.0 * FRAME)
-    total = np.concatenate([[0.0], np.cumsum(change)])
-    square = np.concatenate([[0.0], np.cumsum(change * change)])
-    i = np.arange(n - 1)
-    low, high = np.maximum(0, i - WINDOW), np.minimum(n - 1, i + WINDOW + 1)
-    count = high - low
-    mean = (total[high] - total[low]) / count
-    spread = np.sqrt(np.maximum(0.0, (square[high] - square[low]) / count - mean * mean))
-    return [0, *(np.flatnonzero((change > mean + SPREAD * spread) & (change > np.maximum(LEAST_CUT, 2 * chance))) + 1).tolist()]
+    cut = change > np.maximum(LEAST_CUT, 2 * chance)
+    if n > SHORT:
+        cut &= change > usual(change)
+    return [0, *(np.flatnonzero(cut) + 1).tolist()]
+
+
+def usual(change: np.ndarray) -> np.ndarray:
+    """Median plus spread of the other distances in the window of each; of an even number, the lower median."""
+    padded = np.concatenate([np.full(WINDOW, np.inf), change, np.full(WINDOW, np.inf)])
+    offsets = np.delete(np.arange(2 * WINDOW + 1), WINDOW)
+    out = np.empty(len(change))
+    for at in range(0, len(change), 1 << 14):
+        others = padded[np.arange(at, min(at + (1 << 14), len(change)))[:, None] + offsets]
+        middle = ((np.isfinite(others).sum(axis=1) - 1) // 2)[:, None]
+        median = np.take_along_axis(np.sort(others, axis=1), middle, axis=1)
+        deviation = np.take_along_axis(np.sort(np.abs(others - median), axis=1), middle, axis=1)
+        out[at : at + len(others)] = (median + SPREAD * DEVIATION * deviation)[:, 0]
+    return out
 
 
 def to_avi(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,6 +55,11 @@ def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.describe(media_avi.to_avi(table(spark, sf_dir, "documents")))
 
 
+def op6_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed clips of the stored media of each document."""
+    return media_avi.clips(media_avi.to_avi(table(spark, sf_dir, "documents")))
+
+
 def op7_bottom_k_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_consensus": op4_html_consensus,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_avi": op6_media_avi,
+    "op6_media_clips": op6_media_clips,
     "op7_bottom_k_fingerprint": op7_bottom_k_fingerprint,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
