@@ -399,6 +399,17 @@ def test_host_consensus_overrides_a_page():
     assert html_consensus.main_text(page, None).startswith("Long other words.")
 
 
+def test_titles_and_sibling_sections_stay():
+    for n in (10, 1000):
+        long_ = "<p>" + "Words of the article. " * n + "</p>"
+        for outer in ("content", "wrap"):
+            page = f"<body><div class='{outer}'><h1>Title</h1><div class='body'>{long_}</div><p>Last.</p></div><div class='rail'><p>Rail.</p></div></body>"
+            text = html_consensus.main_text(page, None)
+            assert text.startswith("Title\n") and text.endswith("\nLast.") and "Rail" not in text
+    page = "<body><div class='x'><section><p>One one.</p></section><section><p>Two.</p></section><section><a href='/'>Link</a></section></div></body>"
+    assert html_consensus.main_text(page, "/body/div.x/section") == "One one.\nTwo."
+
+
 def test_odd_markup():
     page = """<html><body class="home"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="wrap"><div class="sidebar">Side</div>
 <div class="post-content7"><h2>Title &amp; more</h2><p>One<p>Two <b>bold</b>

@@ -3,7 +3,9 @@
 First pass: each page's containers are scored by their paragraph text, less links, with hints from tag and class
 names; the best container votes, with its score's logarithm, for its generalised path (tags and first classes with digits
 folded) on its host. Spark sums the votes and takes the winner of each host. Second pass: each page is extracted
-again from its container at the host's winning path, or from its own best one where the page has none there.
+again from its container at the host's winning path, or from its own best one where the page has none there, with
+the siblings on the same path that hold more text than links. A name's hint counts for the containers around it, so an
+inner container beats an outer one only where that adds no text outside links, or is no article where the inner one is.
 
 The text of a container leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 hidden parts and reader comments. Character references are decoded, white space inside a block becomes one space, blocks
@@ -54,10 +56,11 @@ _ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 class Node:
     """An element: its path, whether it is main text, and its place in the page's list of text pieces."""
 
-    __slots__ = ("begin", "drop", "end", "good", "path", "tag")
+    __slots__ = ("begin", "drop", "end", "good", "path", "tag", "up")
 
     def __init__(self, tag: str, path: str, drop: bool, good: bool, begin: int) -> None:
         self.tag, self.path, self.drop, self.good, self.begin, self.end = tag, path, drop, good, begin, -1
+        self.up: Node | None = None  # the container around a container
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[str | None, bool, bool]]]:
@@ -130,8 +133,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str | None, bool, bool]]]:
         if name in CONTAINERS:
             first = attributes.get("class", "").split()
             step = f"{name}.{re.sub(r'[0-9]+', '0', first[0].lower())}" if first else name
-            parent = next((n.path for n in reversed(stack) if n.path), "")
-            node.path = f"{parent}/{step}"
+            node.up = next((n for n in reversed(stack) if n.path), None)
+            node.path = f"{node.up.path if node.up else ''}/{step}"
             containers.append(node)
         stack.append(node)
         if m.group(3).endswith("/") and name not in BLOCKS:
@@ -156,22 +159,32 @@ def text_of(node: Node, pieces: list[tuple[str | None, bool, bool]]) -> str:
 
 def scores(containers: list[Node], pieces: list[tuple[str | None, bool, bool]]) -> list[float]:
     """Score of each container: characters of its text blocks outside links, with hints."""
-    plain, linked, edges = [0], [0], [0]
+    plain, linked = [0], [0]
     for text, drop, link in pieces:
         n = len(text.strip()) if text is not None and not drop else 0
         plain.append(plain[-1] + (0 if link else n))
         linked.append(linked[-1] + (n if link else 0))
-        edges.append(edges[-1] + (text is None))
+    size = {c: plain[c.end] - plain[c.begin] for c in containers}
+    inner: dict[Node, list[int]] = {}
+    good = set()
+    for c in reversed(containers):  # inner ones first
+        if c.good and not c.drop and size[c]:
+            good.add(c)
+        if c.up:
+            inner.setdefault(c.up, []).append(size[c])
+            if c in good:
+                good.add(c.up)
     out = []
     for c in containers:
-        body, links = plain[c.end] - plain[c.begin], linked[c.end] - linked[c.begin]
-        if c.drop or body + links == 0:
+        body, links = size[c], linked[c.end] - linked[c.begin]
+        own = inner.get(c, [0])
+        # the page as a whole stands for an article only if it adds text to a single container
+        whole = c.tag == "body" and c in inner and (body == sum(own) or sum(own) != max(own))
+        if c.drop or whole or body + links == 0:
             out.append(0.0)
             continue
         score = body * (1 - links / (body + links))
-        # an inner container that holds nearly all of the text beats the outer one
-        depth = c.path.count("/")
-        out.append(score * (1 + 0.02 * min(depth, 10)) * (1.3 if c.tag in ("article", "main") else 1.1 if c.good else 1.0))
+        out.append(score * (1.3 if c.tag in ("article", "main") else 1.1 if c in good else 1.0))
     return out
 
 
@@ -181,17 +194,36 @@ def best(containers: list[Node], pieces: list[tuple[str | None, bool, bool]]) ->
     return containers[k], found[k]
 
 
+def article_at(node: Node, containers: list[Node], pieces: list[tuple[str | None, bool, bool]]) -> str:
+    """Text of a container and of its siblings on the same path that hold more text than links, in page order."""
+    texts = []
+    for c in containers:
+        if c is not node:
+            if c.path != node.path or c.up is not node.up or c.drop:
+                continue
+            sizes = [0, 0]
+            for text, drop, link in pieces[c.begin : c.end]:
+                if text is not None and not drop:
+                    sizes[link] += len(text.strip())
+            if sizes[0] <= sizes[1]:
+                continue
+        if text := text_of(c, pieces):
+            texts.append(text)
+    return "\n".join(texts)
+
+
 def main_text(page: str, path: str | None) -> str:
-    """Text at the winning path; of several containers there, the one with the best score."""
+    """Text at the winning path; of several containers there, the one with the best score and its siblings."""
     if not page:
         return ""
     containers, pieces = parse(page)
-    there = [c for c in containers if c.path == path and not c.drop] if path else []
+    there = [k for k, c in enumerate(containers) if c.path == path and not c.drop] if path else []
     if there:
-        node, score = best(there, pieces)
-        if score > 0:
-            return text_of(node, pieces)
-    return text_of(best(containers, pieces)[0], pieces)
+        found = scores(containers, pieces)
+        k = max(there, key=lambda i: (found[i], i))
+        if found[k] > 0:
+            return article_at(containers[k], containers, pieces)
+    return article_at(best(containers, pieces)[0], containers, pieces)
 
 
 def host_of(url: Column) -> Column:
