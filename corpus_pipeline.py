@@ -45,7 +45,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Not expressible in SQL; tests/llm holds each stage against a brute-force version.
+#: Not expressible in SQL. tests/llm checks columns, counts and labels of each stage; a brute-force run of all five is open.
 ORACLE_SQL = None
 
 
