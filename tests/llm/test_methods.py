@@ -325,24 +325,52 @@ def test_banded_distance():
         assert [line_dedup.within(a, b, e) for e in range(4)] == [d <= e for e in range(4)]
 
 
-@pytest.mark.parametrize("run_rows", [8192, 4])
-def test_lines_against_brute_force(spark, run_rows):
-    rng = random.Random(4)
-    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(15, 60))) for _ in range(60)]
-    pool = lines + [edited(rng, rng.choice(lines), rng.randint(1, 4), "abcdefgh ") for _ in range(200)]
-    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5)))) for i in range(150)]
+def gone_by_brute_force(docs):
+    """(doc, line) of the lines that go."""
     first = {}
-    places = [(t, i, n) for i, x in docs for n, t in enumerate(x.split("\n")) if len(t) >= 20]
+    places = [(t, i, n) for i, x in docs for n, t in enumerate(x.split("\n")) if t.strip()]
     for t, i, n in places:
-        first.setdefault(t, (i, n))
+        first[t] = min(first.get(t, (i, n)), (i, n))
     known = sorted(first)
-    root = roots(known, [(a, b) for k, a in enumerate(known) for b in known[:k] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2])
+    long_ = [t for t in known if len(t) >= 20]
+    root = {t: t for t in known} | roots(long_, [(a, b) for k, a in enumerate(long_) for b in long_[:k] if abs(len(a) - len(b)) <= 2 and line_dedup.within(a, b, 2)])
     kept = {}
     for t in known:
         kept[root[t]] = min(kept.get(root[t], (10**9, 0)), first[t])
-    expected = {(i, n) for t, i, n in places if (i, n) != kept[root[t]]}
+    return {(i, n) for t, i, n in places if (i, n) != kept[root[t]]}
+
+
+@pytest.mark.parametrize("run_rows", [1024, 16])
+def test_lines_against_brute_force(spark, run_rows):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(15, 60))) for _ in range(60)]
+    pool = lines + [edited(rng, rng.choice(lines), rng.randint(1, 4), "abcdefgh ") for _ in range(200)] + ["short", "", "  "]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5)))) for i in range(150)]
     _, gone = line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), run_rows=run_rows)
-    assert {(r["doc_id"], r["line"]) for r in gone.collect()} == expected
+    assert {(r["doc_id"], r["line"]) for r in gone.collect()} == gone_by_brute_force(docs)
+
+
+def test_lines_of_templates_against_brute_force(spark):
+    """Large meetings: variants of a few passages, with edits near each other, so that lines are dealt anew several times."""
+    rng = random.Random(8)
+    made = [f"Order {rng.randint(0, 10**6):07d} was shipped to the customer" for _ in range(150)]
+    made += [f"x{a}{b} a line that has two free places only" for a in "abcdefghi" for b in "abcdefghi"]
+    made += [edited(rng, rng.choice(made), rng.randint(1, 3), "0123456789 abc") for _ in range(150)]
+    docs = [(i, t) for i, t in enumerate(made)]
+    _, gone = line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), run_rows=24)
+    assert {(r["doc_id"], r["line"]) for r in gone.collect()} == gone_by_brute_force(docs)
+
+
+def test_short_remainders_meet_exactly():
+    """Rows of a meeting whose remainders are short share a proving key if and only if they are within the edits."""
+    rng = random.Random(5)
+    for _ in range(400):
+        y = "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))
+        x = edited(rng, y, rng.randint(0, 4), "ab")
+        shorter = len(x) - len(y)
+        if 0 <= shorter <= 2:
+            own, probes = ({k for _, k, _ in line_dedup.dealt_keys(1, t, s, [len(y)], 2)} for t, s in ((y, None), (x, shorter)))
+            assert bool(own & probes) == (distance(x, y) <= 2), (x, y)
 
 
 def test_components(spark):

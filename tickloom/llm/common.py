@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tickloom-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -141,6 +143,23 @@ def ids_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: A key with more than one row in so many is hot; so there are at most as many hot keys.
+HOT_SHARE = 4096
+#: A key with up to so many rows is never hot.
+COLD_ROWS = 256
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row per key, whose column `count` bounds the key's number of rows.
+
+    `total` bounds the sum of the counts. Hot keys, at most HOT_SHARE of them, reach the rows by broadcast, so that
+    their rows stay where they are; the others are shuffled.
+    """
+    is_hot = F.col(count) > max(COLD_ROWS, total // HOT_SHARE)
+    hot, cold = F.broadcast(table.filter(is_hot)), table.filter(~is_hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 #: Bits of the filter that `maybe_in` sends to every task (4 MiB), whatever the size of the tables.
 FILTER_BITS = 1 << 25
 

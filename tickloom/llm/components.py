@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, hot_join
 
 
-def _lowest(edges: DataFrame) -> DataFrame:
-    """Each edge (a, b) with the smallest b of its a."""
-    return edges.join(edges.groupBy("a").agg(F.min("b").alias("low")), "a")
+def _lowest(edges: DataFrame, total: int) -> DataFrame:
+    """Each edge (a, b) with the smallest b of its a; the edges of a hub stay where they are."""
+    low = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    return hot_join(edges, low, "a", "n", total).drop("n")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(pairs)) != before:
         before = now
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _lowest(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
+        large = _lowest(both, 2 * now[0]).filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
         large = large.distinct()
-        small = _lowest(large)
+        small = _lowest(large, 2 * now[0])
         star = small.filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         pairs = cut(star.unionByName(small.select("a", F.col("low").alias("b"))).distinct())
     members = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
