@@ -289,8 +289,9 @@ def remaining(content: str, way: int, path: bytes, edits: int) -> tuple[str, int
         shorter = way - edits - 1
     else:
         i, shorter, move = ways(edits)[way]
-        at, size = segment(np.array([len(content) - shorter]), i, edits)
-        taken = [(int(at[0]) + move, int(size[0]))]
+        base, extra = divmod(len(content) - shorter, edits + 1)
+        short = edits + 1 - extra  # as in `segment`
+        taken = [(i * base + max(0, i - short) + move, base + (i >= short))]
     rest = content
     for begin, size in taken:
         rest = rest[:begin] + HOLE + rest[begin + size :]
@@ -387,12 +388,12 @@ def dealt_anew(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "content"):
-            contents = batch.column("content").to_pylist()
-            lines = Lines(contents)
-            sketches = lines.sketch(np.arange(len(contents))).astype(np.int64).tolist()
-            for at in range(0, len(contents), 200):
+            lines = Lines(batch.column("content").to_pylist())
+            sketches = lines.sketch(np.arange(batch.num_rows)).astype(np.int64)
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
                 rows = set()
-                for line, text, sketch, places in zip(batch.column("line_id").to_pylist()[at : at + 200], contents[at : at + 200], sketches[at : at + 200], batch.column("places").to_pylist()[at : at + 200], strict=True):
+                for line, text, sketch, places in zip(*(some.column(c).to_pylist() for c in ("line_id", "content")), sketches[at : at + 200].tolist(), some.column("places").to_pylist(), strict=True):
                     for p in places:
                         rest, shorter, taken = remaining(text, p["way"], p["path"], edits)
                         way = 0 if shorter is None else edits + 1 + shorter
@@ -403,7 +404,8 @@ def dealt_anew(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
                 kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["proof", "key", "line_id", "sketch", "way", "path"])
 
-    return texts.join(mine, "line_id").select("line_id", "content", "places").mapInArrow(deal, DEALT)
+    # little data and much work, so the number of tasks is not left to the data's size
+    return texts.join(mine, "line_id").select("line_id", "content", "places").repartition(parts(texts), "line_id").mapInArrow(deal, DEALT)
 
 
 def proven(rows: DataFrame, edits: int) -> DataFrame:
