@@ -369,7 +369,7 @@ def test_short_remainders_meet_exactly():
         x = edited(rng, y, rng.randint(0, 4), "ab")
         shorter = len(x) - len(y)
         if 0 <= shorter <= 2:
-            own, probes = ({k for _, k, _ in line_dedup.dealt_keys(1, t, s, [len(y)], 2)} for t, s in ((y, None), (x, shorter)))
+            own, probes = ({k for _, k, _, _ in line_dedup.dealt_keys(1, t, s, [len(y)], 2)} for t, s in ((y, None), (x, shorter)))
             assert bool(own & probes) == (distance(x, y) <= 2), (x, y)
 
 

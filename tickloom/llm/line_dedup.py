@@ -86,8 +86,10 @@ class Lines:
 
     def filled(self) -> np.ndarray:
         """Places of the lines that are not blank."""
-        marks = np.concatenate([[0], np.cumsum(~np.isin(self.code, _BLANK))])
-        return np.flatnonzero(marks[self.start + self.length] > marks[self.start])
+        filled = (self.length > 0) & ~np.isin(self.code[self.start], _BLANK)
+        for k in np.flatnonzero(~filled & (self.length > 1)).tolist():  # lines that begin with a blank
+            filled[k] = not np.isin(self.code[self.start[k] : self.start[k] + self.length[k]], _BLANK).all()
+        return np.flatnonzero(filled)
 
     def sketch(self, some: np.ndarray) -> np.ndarray:
         """Counts of 16 kinds of characters modulo 16, in 64 bits, of some lines."""
@@ -123,8 +125,11 @@ def _tag(value: np.ndarray, number: int, length: np.ndarray) -> np.ndarray:
 
 
 def ways(edits: int) -> list[tuple[int, int, int]]:
-    """Segment number, how much shorter the partner is, and move, of the index entries (the first edits + 1) and the probes."""
-    probes = [(i, shorter, move) for i in range(edits + 1) for shorter in range(edits + 1) for move in range(-i, i + 1) if abs(move - shorter) <= edits - i]
+    """Segment number, how much shorter the partner is, and move, of the index entries (the first edits + 1) and the probes.
+
+    An index entry is its own probe for partners of the same length without a move.
+    """
+    probes = [(i, shorter, move) for i in range(edits + 1) for shorter in range(edits + 1) for move in range(-i, i + 1) if abs(move - shorter) <= edits - i and (shorter or move)]
     return [(i, 0, 0) for i in range(edits + 1)] + probes
 
 
@@ -190,7 +195,7 @@ MET = "again boolean, key long, line_id long, way byte"
 
 def near(line: np.ndarray, sketch: np.ndarray, indexed: np.ndarray, i: np.ndarray, j: np.ndarray, edits: int) -> np.ndarray:
     """Which of the pairs (i, j) of rows are candidates."""
-    ok = (line[i] != line[j]) & (indexed[i] != indexed[j])
+    ok = (line[i] != line[j]) & (indexed[i] | indexed[j])
     i, j, place = i[ok], j[ok], np.flatnonzero(ok)
     return place[sketch_distance(sketch[i], sketch[j]) <= 2 * edits]
 
@@ -212,11 +217,14 @@ def meet(rows: DataFrame, edits: int, run_rows: int) -> DataFrame:
         return _met(False, both[0], both[1], np.zeros(both.shape[1], np.int8))
 
     def blocks(line: np.ndarray, sketch: np.ndarray, indexed: np.ndarray) -> Iterator[pa.RecordBatch]:
-        probes, own = np.flatnonzero(~indexed), np.flatnonzero(indexed)
+        own = np.flatnonzero(indexed)
+        rows = np.concatenate([own, np.flatnonzero(~indexed)])  # row k meets the index entries before it
         step = max(1, 250_000 // max(1, len(own)))
-        for at in range(0, len(probes), step):
-            some = probes[at : at + step]
-            if (found := pairs_of(line, sketch, indexed, np.repeat(some, len(own)), np.tile(own, len(some)))) is not None:
+        for at in range(0, len(rows), step):
+            some = np.arange(at, min(at + step, len(rows)))
+            i, j = np.repeat(some, len(own)), np.tile(np.arange(len(own)), len(some))
+            before = j < i
+            if (found := pairs_of(line, sketch, indexed, rows[i[before]], own[j[before]])) is not None:
                 yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +342,11 @@ def variants(text: str, deleted: int, masked: int) -> set[str]:
     return out
 
 
-def dealt_keys(key: int, rest: str, shorter: int | None, cuts: list[int], edits: int) -> Iterator[tuple[bool, int, tuple[int, int]]]:
-    """Whether a meeting proves links, new key, and the cut-out segment, for one row of a large meeting."""
+def dealt_keys(key: int, rest: str, shorter: int | None, cuts: list[int], edits: int) -> Iterator[tuple[bool, int, bool, tuple[int, int]]]:
+    """Whether a meeting proves links, new key, whether the row is an index entry, and the cut-out, for one row of a large meeting.
+
+    `shorter` is None for an index entry, which is a probe for partners of the same length as well.
+    """
 
     def named(number: int, text: str) -> int:
         value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), (key * 31 + number) & (2**64 - 1))
@@ -347,14 +358,14 @@ def dealt_keys(key: int, rest: str, shorter: int | None, cuts: list[int], edits:
             for i in range((edits - less) // 2 + 1):
                 masked = edits - less - 2 * i
                 for text in variants(rest, i if shorter is None else i + less, masked):
-                    yield True, named(64 + 8 * less + i, text), (0, 0)
+                    yield True, named(64 + 8 * less + i, text), shorter is None, (0, 0)
         return
     for i in range(edits + 1):
         at, size = cuts[i], cuts[i + 1] - cuts[i]
-        for move in (0,) if shorter is None else range(-i, i + 1):
+        for move in range(-i, i + 1):
             begin = at + move
-            if shorter is None or (abs(move - shorter) <= edits - i and begin >= 0 and begin + size <= len(rest)):
-                yield False, named(i, rest[begin : begin + size]), (begin, size)
+            if abs(move - (shorter or 0)) <= edits - i and begin >= 0 and begin + size <= len(rest):
+                yield False, named(i, rest[begin : begin + size]), shorter is None and move == 0, (begin, size)
 
 
 DEALT = "proof boolean, key long, line_id long, sketch long, way byte, path binary"
@@ -396,8 +407,8 @@ def dealt_anew(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
                 for line, text, sketch, places in zip(*(some.column(c).to_pylist() for c in ("line_id", "content")), sketches[at : at + 200].tolist(), some.column("places").to_pylist(), strict=True):
                     for p in places:
                         rest, shorter, taken = remaining(text, p["way"], p["path"], edits)
-                        way = 0 if shorter is None else edits + 1 + shorter
-                        for proof, key, out in dealt_keys(p["key"], rest, shorter, p["cuts"], edits):
+                        for proof, key, index, out in dealt_keys(p["key"], rest, shorter, p["cuts"], edits):
+                            way = 0 if index else edits + 1 + (shorter or 0)
                             path = b"" if proof else struct.pack(f"<{2 * len(taken) + 2}i", *(x for pair in (*taken, out) for x in pair))
                             rows.add((proof, key, line, sketch, way, path))
                 columns = list(zip(*sorted(rows), strict=True)) or [()] * 6
@@ -555,7 +566,8 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))), ",").alias("dropped"),
         F.coalesce(F.sum(F.when(F.col("gone"), F.col("n_chars"))), F.lit(0)).cast("long").alias("n_chars_dropped"),
     )
-    n_lines = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).otherwise(0)
+    size = F.octet_length("text")
+    n_lines = F.when(size > 0, size - F.octet_length(F.replace("text", F.lit("\n"))) + 1).otherwise(0)
     sizes = docs.filter("doc_id is not null").select("doc_id", n_lines.cast("long").alias("n_lines")).groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
     empty = {"n_filled": 0, "n_dropped": 0, "dropped": "", "n_chars_dropped": 0}
     return sizes.join(per, "doc_id", "left").fillna(empty).select("doc_id", "n_lines", *empty)
