@@ -438,6 +438,49 @@ def test_titles_and_sibling_sections_stay():
     assert html_consensus.main_text(page, "/body/div.x/section") == "One one.\nTwo."
 
 
+def test_articles_are_not_lost():
+    long_ = "Words of the article. " * 30
+    assert html_consensus.main_text(f"<p>{long_}</p><div>x</div>", None).startswith("Words")
+    for names in ("post comments-open", "search-result share"):
+        for tag in ("article", "div"):
+            page = f"<body><div class='menu'>Menu</div><{tag} class='{names}'><p>{long_}</p></{tag}></body>"
+            assert html_consensus.main_text(page, None) == long_.strip()
+    page = f"<body><header>Site</header><article><header class='entry-header'><h1>Title</h1></header><p>{long_}</p><footer>Tags</footer></article></body>"
+    assert html_consensus.main_text(page, None) == f"Title\n{long_.strip()}"
+    page = f"<body><article><p>Short.</p></article><div id='comments' class='content'><p>{long_}</p></div></body>"
+    assert html_consensus.main_text(page, None) == "Short."
+    page = f"<body><div><p>Short.</p></div><div class='sidebar-content'><p>{long_}</p></div></body>"
+    assert html_consensus.main_text(page, None) == "Short."
+    assert html_consensus.main_text(f"<body><p>{long_}</p><div>One.</div><div>Two.</div></body>", None) == f"{long_.strip()}\nOne.\nTwo."
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<p>" + "<span>" * 30_000 + "</b>" * 30_000 + "End.", "<b><p>" + "<span>x" * 20_000 + "</b><h1>y</h1>" * 20_000, "<div class='a'>" * 10_000 + "Deep."):
+        assert html_consensus.main_text(page, None)
+    assert time.time() - start < 20
+
+
+def test_winners_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        words = [" ".join(rng.choice(["one", "two", "three."]) for _ in range(rng.randint(1, 60))) for _ in range(3)]
+        inner = "".join(f"<div class='{rng.choice('xyz')}{rng.randint(0, 9)}'><p>{w}</p></div>" for w in words)
+        rows.append((i, f"https://www.{rng.choice('abc')}.example/{i}", f"<body><div class='{rng.choice('pq')}'>{inner}</div></body>"))
+    votes = collections.defaultdict(float)
+    for _, url, page in rows:
+        node, score = html_consensus.best(*html_consensus.parse(page))
+        votes[re.search(r"www\.(.*?)/", url)[1], node.path] += 1 + np.log1p(score)
+    expected = {h: max((v, p) for (g, p), v in votes.items() if g == h)[1] for h, _ in votes}
+    out = {r["page_id"]: r for r in html_consensus.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, url, page in rows:
+        path = expected[re.search(r"www\.(.*?)/", url)[1]]
+        assert out[i]["path"] == path and out[i]["text"] == html_consensus.main_text(page, path)
+
+
 def test_odd_markup():
     page = """<html><body class="home"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="wrap"><div class="sidebar">Side</div>
 <div class="post-content7"><h2>Title &amp; more</h2><p>One<p>Two <b>bold</b>

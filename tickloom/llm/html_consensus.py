@@ -6,9 +6,13 @@ folded) on its host. Spark sums the votes and takes the winner of each host. Sec
 again from its container at the host's winning path, or from its own best one where the page has none there, with
 the siblings on the same path that hold more text than links. A name's hint counts for the containers around it, so an
 inner container beats an outer one only where that adds no text outside links, or is no article where the inner one is.
+The page itself stands for an article where most of its text lies in none of several containers. Of equal scores the
+last in page order counts, of equal votes the last path in alphabetical order.
 
 The text of a container leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-hidden parts and reader comments. Character references are decoded, white space inside a block becomes one space, blocks
+hidden parts and reader comments. A header within an article belongs to it. Class words do not drop an article or
+main element, nor an element that holds most of the page's text and is named as content in another word, nor the
+largest one that is not of comments where otherwise no text would be left. Character references are decoded, white space inside a block becomes one space, blocks
 are joined by one newline in page order.
 
 Defined results: a null html is the empty page, with an empty text; a null or odd url has no host, so the page goes
@@ -18,12 +22,14 @@ repeated rows give repeated results; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +47,12 @@ CONTAINERS = frozenset("article body div main section td".split())
 DROPPED = frozenset("nav header footer aside form button select option input label fieldset dialog menu object audio video canvas map head".split())
 #: Class, id or role words that mark what is not main text.
 _BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|header|footer|side-?bar|aside|widget|breadcrumbs?|pagination|pager|toolbar|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|"
+    r"(?:^|[\s_-])(?!comments?-(?:open|closed|off)(?:$|\s))(?:nav(?:bar|igation)?|menu|header|footer|side-?bar|aside|widget|breadcrumbs?|pagination|pager|toolbar|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|"
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|comment-?\w+|disqus|respond|replies|reply|masthead|skip|search|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
+_HEADER = re.compile(r"header|masthead", re.I)
 _GOOD = re.compile(r"article|content|main|post|entry|story|body|text", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -53,30 +61,76 @@ _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 _ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption"}
 
 
+#: Tags that an implied end tag does not reach across.
+_FENCES = CONTAINERS | frozenset(("ul", "ol", "dl", "table", "tbody", "thead", "blockquote"))
+#: Paths longer than this are named by a hash, so that deep nesting costs no more than its depth.
+LONG_PATH = 400
+#: Share of the page's text that lets an element named as content stay in spite of a class word.
+MOST_TEXT = 0.6
+
+
 class Node:
     """An element: its path, whether it is main text, and its place in the page's list of text pieces."""
 
-    __slots__ = ("begin", "drop", "end", "good", "path", "tag", "up")
+    __slots__ = ("begin", "drop", "end", "good", "named", "path", "tag", "up")
 
     def __init__(self, tag: str, path: str, drop: bool, good: bool, begin: int) -> None:
         self.tag, self.path, self.drop, self.good, self.begin, self.end = tag, path, drop, good, begin, -1
         self.up: Node | None = None  # the container around a container
+        self.named = ""  # class, id and role of an element that these drop
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[str | None, bool, bool]]]:
     """Containers in page order, and the pieces of the page: text (None: a block edge), whether dropped, whether in a link."""
+    containers, pieces, dropped = _parse(page, frozenset())
+    if dropped:
+        left = sum(len(t.strip()) for t, drop, link in pieces if t is not None and not drop and not link)
+        sizes = [sum(len(t.strip()) for t, _, link in pieces[n.begin : n.end] if t is not None and not link) for n in dropped]
+        k = max(range(len(dropped)), key=lambda i: (not _COMMENTS.search(dropped[i].named), sizes[i]))
+        words = [w for w in dropped[k].named.split() if not _BOILERPLATE.search(w)]
+        content = any(_GOOD.search(w) for w in words)
+        if sizes[k] and not _COMMENTS.search(dropped[k].named) and (not left or (content and sizes[k] >= MOST_TEXT * (left + sum(sizes)))):
+            containers, pieces, _ = _parse(page, frozenset((k,)))
+    return containers, pieces
+
+
+def _drops(name: str, names: str, in_article: bool) -> bool:
+    """Whether class, id or role say that an element is no main text."""
+    if name in ("html", "body", "article", "main") or not names.strip():
+        return False
+    return any(not (in_article and _HEADER.search(m.group(0))) for m in _BOILERPLATE.finditer(names.replace(" ", "  ")))
+
+
+def _parse(page: str, kept: frozenset[int]) -> tuple[list[Node], list[tuple[str | None, bool, bool]], list[Node]]:
+    """As `parse`, and the outermost elements that their names drop; those with the numbers in `kept` are not dropped."""
     pieces: list[tuple[str | None, bool, bool]] = []
     containers: list[Node] = []
+    dropped: list[Node] = []
     root = Node("#", "", False, False, 0)
     stack = [root]
-    links = 0
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
+    blocks, fences, around = [0], [0], [root]  # places of blocks and fences, and the open containers
+    links = articles = found = 0
     at, size = 0, len(page)
 
-    def close(node: Node) -> None:
-        nonlocal links
-        node.end = len(pieces)
-        if node.tag == "a":
-            links -= 1
+    def close_from(k: int) -> None:
+        nonlocal links, articles
+        while len(stack) > k:
+            node = stack.pop()
+            node.end = len(pieces)
+            opened[node.tag].pop()
+            links -= node.tag == "a"
+            articles -= node.tag in ("article", "main")
+            if around[-1] is node:
+                around.pop()
+        while blocks[-1] >= k:
+            blocks.pop()
+        while fences[-1] >= k:
+            fences.pop()
+
+    def last(tag: str) -> int:
+        places = opened.get(tag)
+        return places[-1] if places else 0
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -97,51 +151,61 @@ def parse(page: str) -> tuple[list[Node], list[tuple[str | None, bool, bool]]]:
         elif name == "br":
             pieces.append((" ", stack[-1].drop, links > 0))
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    for node in reversed(stack[k:]):
-                        close(node)
-                    del stack[k:]
-                    break
-                if name not in BLOCKS and stack[k].tag in BLOCKS:
-                    break  # an inline end tag does not close blocks
+            k = last(name)
+            if k and (name in BLOCKS or blocks[-1] < k):  # an inline end tag does not close blocks
+                close_from(k)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = _raw_end(name).search(page, at)
             at = end.end() if end else size
             continue
         if name in VOID:
             continue
         enders = _CLOSED_BY.get(name, ())
         if enders or name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = stack[k].tag
-                if tag in enders or (tag == "p" and name in _ENDS_P):
-                    for node in reversed(stack[k:]):
-                        close(node)
-                    del stack[k:]
-                    break
-                if tag in CONTAINERS or tag in ("ul", "ol", "dl", "table", "tbody", "thead", "blockquote"):
-                    break
+            k = max(map(last, (*enders, "p") if name in _ENDS_P else enders))
+            if k and k >= fences[-1]:
+                close_from(k)
         attributes = {a.group(1).lower(): a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTRIBUTE.finditer(m.group(3))} if m.group(3) else {}
         names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        drop = stack[-1].drop or name in DROPPED or hidden or bool(names.strip() and name not in ("html", "body") and _BOILERPLATE.search(names))
+        drop = stack[-1].drop or hidden or (name in DROPPED and not (name == "header" and articles))
         node = Node(name, "", drop, bool(_GOOD.search(names)), len(pieces))
-        if name == "a":
-            links += 1
+        if not drop and _drops(name, names, articles > 0):
+            node.drop = found not in kept
+            node.named = names
+            dropped.append(node)
+            found += 1
+        place = len(stack)
+        links += name == "a"
+        articles += name in ("article", "main")
         if name in CONTAINERS:
             first = attributes.get("class", "").split()
             step = f"{name}.{re.sub(r'[0-9]+', '0', first[0].lower())}" if first else name
-            node.up = next((n for n in reversed(stack) if n.path), None)
-            node.path = f"{node.up.path if node.up else ''}/{step}"
+            node.up = around[-1]
+            node.path = f"{node.up.path}/{step}"
+            if len(node.path) > LONG_PATH:
+                node.path = f"~{xxhash.xxh3_64_hexdigest(node.path.encode('utf-8', 'replace'))}"
             containers.append(node)
+            around.append(node)
+        if name in BLOCKS:
+            blocks.append(place)
+        if name in _FENCES:
+            fences.append(place)
+        opened.setdefault(name, []).append(place)
         stack.append(node)
         if m.group(3).endswith("/") and name not in BLOCKS:
-            close(stack.pop())
-    for node in reversed(stack):
-        close(node)
-    return ([root] if not containers else containers), pieces
+            close_from(place)
+    close_from(1)
+    root.end = len(pieces)
+    if not any(c.tag == "body" for c in containers):
+        containers.insert(0, root)
+    return containers, pieces, dropped
+
+
+@functools.cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
 
 
 def text_of(node: Node, pieces: list[tuple[str | None, bool, bool]]) -> str:
@@ -178,8 +242,9 @@ def scores(containers: list[Node], pieces: list[tuple[str | None, bool, bool]])
     for c in containers:
         body, links = size[c], linked[c.end] - linked[c.begin]
         own = inner.get(c, [0])
-        # the page as a whole stands for an article only if it adds text to a single container
-        whole = c.tag == "body" and c in inner and (body == sum(own) or sum(own) != max(own))
+        # the page as a whole stands for an article only if it adds text to a single container, or most lies directly in it
+        adds = body - sum(own)
+        whole = c.tag in ("body", "#") and c in inner and (not adds or (sum(own) != max(own) and adds <= max(own)))
         if c.drop or whole or body + links == 0:
             out.append(0.0)
             continue
