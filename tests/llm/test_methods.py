@@ -497,6 +497,49 @@ def test_quality_parts_labelled_documents(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_against_brute_force(spark):
+    rng = random.Random(6)
+    good, bad = "the of a river water stone light on under".split(), "buy now cheap pills casino win $$$ !!!".split()
+    docs, marks = [], []
+    for i in range(300):
+        kind = rng.random() < 0.6
+        mixed = [rng.choice(good if (rng.random() < 0.75) == kind else bad) for _ in range(rng.randint(0, 30))]
+        docs.append((i if i % 50 else None, " ".join(mixed) if i % 40 else None))
+        marks.append((i, int(kind)))
+    marks = [m for m in marks if m[0] % 2] + [(-1, 1), (4, 1), (4, 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept, model = quality.sample(frame, spark.createDataFrame(marks, "doc_id long, quality int"), seed=3)
+    kept = [(r["doc_id"], r["log_weight"]) for r in kept.collect()]
+    # plain loops over buckets; the constant and the temperature follow from the held-out scores
+    grams = quality.Grams(quality.BUCKETS)
+    buckets = [grams(quality.pa.array([t]))[0].tolist() for _, t in docs]
+    truth = {i: q for i, q in marks if i not in (4,)}
+    held = lambda i: bool(quality.held_out(np.array([i], dtype=np.int64))[0])
+    raw, target = collections.Counter(), collections.Counter()
+    for (i, _), some in zip(docs, buckets, strict=True):
+        raw.update(some)
+        if i is not None and truth.get(i) == 1 and not held(i):
+            target.update(some)
+    size = quality.BUCKETS * quality.SMOOTHING
+    ratio = lambda b: np.log((target[b] + 0.5) / (target.total() + size)) - np.log((raw[b] + 0.5) / (raw.total() + size))
+    sums = [(sum(map(ratio, some)), len(some)) for some in buckets]
+    constant, temperature = quality.line_of([(s / max(n, 1), n, truth[i]) for (i, _), (s, n) in zip(docs, sums, strict=True) if i is not None and i in truth and held(i)])
+    assert abs(constant - model.constant) < 1e-9 and abs(temperature - model.temperature) < 1e-9
+    weights = [(s - n * constant) / temperature for s, n in sums]
+    noisy = []
+    for (i, t), w in zip(docs, weights, strict=True):
+        n, weight, key = model.score(grams, quality.pa.array([i], quality.pa.int64()), quality.pa.array([t], quality.pa.string()))
+        assert abs(weight[0] - w) < 1e-6
+        noisy.append((key[0], i, w))
+    k = sum(w >= 0 for w in weights)
+    least = sorted((x for x, _, _ in noisy), reverse=True)[k - 1]
+    expected = [(i, w) for x, i, w in noisy if x >= least]
+    assert sorted(str(i) for i, _ in kept) == sorted(str(i) for i, _ in expected)
+    assert {i for _, i, w in noisy if w >= 0} != {i for i, _ in expected}  # noise decides
+    some, _ = quality.sample(frame, spark.createDataFrame(marks, "doc_id long, quality int"), seed=3, share=0.25)
+    assert some.count() >= 75
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     keys = np.concatenate([rng.normal(0, 1e3, 500), rng.normal(0, 1e-3, 500), [0.0, 0.0, -0.5]])

@@ -160,6 +160,26 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
+    """The k-th largest value of a long column, exactly: counts by 16-bit digits, four times. None if there is none."""
+    if k <= 0:
+        return None
+    known, above = 0, 0
+    for shift in (48, 32, 16, 0):
+        # the first digit is signed, the others are not
+        value = F.shiftright(column, shift)
+        inside, digit = (rows, value) if shift == 48 else (rows.filter(F.shiftright(column, shift + 16) == known), value.bitwiseAND(F.lit(0xFFFF)))
+        counts = sorted(((r["d"], r["count"]) for r in inside.groupBy(digit.alias("d")).count().collect()), reverse=True)  # at most 65,536 rows
+        for d, n in counts:
+            if above + n >= k:
+                known = d if shift == 48 else (known << 16) | d
+                break
+            above += n
+        else:
+            return None
+    return known
+
+
 #: Bits of the filter that `maybe_in` sends to every task (4 MiB), whatever the size of the tables.
 FILTER_BITS = 1 << 25
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ids_and_text, maybe_in, packed, parts, sliced, store, texts_of, unpacked
+from tickloom.llm.common import hot_join, ids_and_text, kth_largest, maybe_in, packed, parts, sliced, store, texts_of, unpacked
 from tickloom.llm.components import components
 from tickloom.llm.texthash import WordHasher, mix, shingles
 
@@ -98,8 +98,9 @@ def frequent(df: DataFrame, width: int, most: int = MOST_FREQUENT) -> np.ndarray
         if held:
             yield report()
 
-    rows = df.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()["token"]
+    rows = store(df.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    least = kth_largest(rows, "n", most + 1)  # fewer than `most` lie above, all where there are no more
+    top = (rows if least is None else rows.filter(F.col("n") > least)).select("token").toPandas()["token"]
     return np.sort(top.to_numpy(dtype=np.int64).astype(np.uint64))
 
 
@@ -250,13 +251,15 @@ def in_cells(members: DataFrame, group_rows: int) -> DataFrame:
 
     A pivot with up to group_rows / 2 members has one cell; of a larger one, each cell holds two blocks.
     """
-    blocks = members.groupBy("pivot_id", "pivot_n").agg(F.ceil(2 * F.count("*") / group_rows).cast("int").alias("k"))
+    pivot = F.struct("pivot_id", "pivot_n")
+    blocks = members.groupBy(pivot.alias("pivot")).agg(F.count("*").alias("members"), F.ceil(2 * F.count("*") / group_rows).cast("int").alias("k"))
     is_pivot = (F.col("set_id") == F.col("pivot_id")) & (F.col("n") == F.col("pivot_n"))
     mine = F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")
     numbers = F.sequence(F.lit(0), F.col("k") - 1)
     every = F.flatten(F.transform(numbers, lambda i: F.transform(F.sequence(i, F.col("k") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     own = F.transform(numbers, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    spread = members.join(blocks, ["pivot_id", "pivot_n"]).withColumn("is_pivot", is_pivot).withColumn("cell", F.explode(F.when(is_pivot, every).otherwise(own)))
+    known = hot_join(members.withColumn("pivot", pivot), blocks, "pivot", "members", members.count())
+    spread = known.withColumn("is_pivot", is_pivot).withColumn("cell", F.explode(F.when(is_pivot, every).otherwise(own)))
     return spread.select(*members.columns, "is_pivot", "cell.i", "cell.j")
 
 
