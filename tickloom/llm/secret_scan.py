@@ -1,9 +1,13 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
 The lexer turns `name = "literal"`, `name: literal`, `"name" => 'a' + "b"` and `name = other_name` into
-name-literal pairs, carries constants from the names they were first given to the names that use them, and
+name-literal pairs, carries constants from the names they were given to the names that use them, and
 scores each literal by how sensitive the names are that it reaches and by how random it looks. A separator after
 `name: type` counts for the name as well. Blanks, names, literals and concatenations are read to their real end.
+Literals may have a prefix (f, r, b, u), three quotes, or be an indented block after `name: |`; the text of an element
+`<name>`, and the value beside a `key` or `name` attribute, count as assigned. A name holds what it was last given (a
+call or an unknown name clears it); a name that has no value yet takes its first later one. A literal of several
+words counts only as a passphrase: under a name that ends in a word for one, and without words of messages.
 
 Defined results: a null text is the empty text and has no spans; rows with a null id stay; repeated rows give
 repeated results; other columns are not read. Spans count code points, the end is exclusive. Every text is
@@ -17,7 +21,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,7 +44,10 @@ SENSITIVE = {
     "cred": 0.7, "creds": 0.7, "access": 0.4, "encryption": 0.5, "api": 0.3, "key": 0.5, "pin": 0.4, "cookie": 0.4, "session": 0.4,
 }
 #: Whole words, and runs of marks, of values that stand for a secret without being one.
-_PLACEHOLDER = re.compile(r"(?<![^\W_])(?:changeme|example|placeholder|redacted|your|dummy|sample|none|null|true|false|x{3,})(?![^\W_])|\*{3}|\.{3}", re.I)
+_PLACEHOLDER = re.compile(r"(?<![^\W_])(?:changeme|example|placeholder|redacted|your|dummy|sample|none|null|true|false|x{3,})(?![^\W_])|\*{3}|\.{3}|\A\s*[$#%]?\{[^{}]*\}\s*\Z|\A\s*<[^<>]*>\s*\Z", re.I)
+#: Last words of names that may hold several words, and words that make such a value a message.
+_PASSPHRASE = frozenset("passphrase password passwd pwd secret".split())
+_MESSAGE = re.compile(r"\b(?:enter|please|must|invalid|required|incorrect|wrong|forgot|reset|missing|is|are|not|should|cannot|the|for|to)\b|[?!.:]\s*\Z", re.I)
 #: A literal of at least this score is reported.
 LEAST_SCORE = 1.2
 
@@ -50,7 +57,12 @@ _NAME_BEFORE = re.compile(r"\s*+(?:[\"'`]([\w.\- ]*+)[\"'`]|([\w.\-]*+\$?))", re
 _NOT_FIRST = re.compile(r"[^A-Za-z_$]*")
 _TYPE = re.compile(r"[ \t]*+(?=[^\n]*?[A-Za-z])[\w \t.,&*?!|<>()\[\]']++", re.A)
 _SEPARATOR = re.compile(r":=|=>|[:=]")
-_QUOTED = re.compile(r"\s*+(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)")
+_QUOTED = re.compile(r"\s*+(?:[A-Za-z]{0,2}(?:\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)')|`([^`\n]*+)`)", re.S)
+_BLOCK = re.compile(r"[ \t]*+[|>][-+0-9]*+[ \t]*+\n")
+_LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?>\s*+([^<>]*[^<>\s])\s*+</")
+_ATTRIBUTES = re.compile(r"<[A-Za-z_][\w.\-]*+\s[^<>]*?\b(?:key|name)\s*=\s*[\"']([\w.\- ]++)[\"'][^<>]*+>([^<>]*+)")
+_VALUE = re.compile(r"\bvalue\s*=\s*(?:\"([^\"<>]++)\"|'([^'<>]++)')")
 _BARE = re.compile(r"\s*+([^\s\"'`,;(){}\[\]<>])")
 _BARE_END = re.compile(r"[\s\"'`,;(){}\[\]<>]|\Z")
 _JOIN = re.compile(r"\s*+[+.]\s*+(?=[\"'`A-Za-z_$])|\s++(?=[\"'])")
@@ -141,8 +153,42 @@ class Value:
         return list(out)
 
 
-def assignments(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[str]]]:
-    """Names, literal parts (start, end) and referred names of each assignment, in text order."""
+def _mixed(text: str, start: int, end: int) -> bool:
+    """Whether a bare word changes between cases and digits too often for a name."""
+    return end - start >= 12 and text[end : end + 1] != "(" and 3 * len(_PIECES.findall(text, start, end)) >= end - start and any(c.isdigit() for c in text[start:end])
+
+
+def block_after(text: str, separator: int, start: int) -> tuple[int, int]:
+    """Span of the lines from `start` that are indented more than the line of the separator."""
+    line = text.rfind("\n", 0, separator) + 1
+    indent = len(text[line:separator]) - len(text[line:separator].lstrip())
+    first, last, at = -1, -1, start
+    while at < len(text):
+        m = _LINE.match(text, at)
+        if m.group(2).strip():
+            if len(m.group(1)) <= indent:
+                break
+            first, last = (m.start(2) if first < 0 else first), m.start(2) + len(m.group(2).rstrip())
+        at = m.end()
+    return first, last
+
+
+def markup(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[str], bool]]:
+    """The same as `assignments` for elements and attributes."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield [m.group(1)], [m.span(2)], [], False
+    if "<" in text and ("key" in text or "name" in text):
+        for m in _ATTRIBUTES.finditer(text):
+            if v := _VALUE.search(text, m.start(), m.end()):
+                yield [m.group(1)], [v.span(v.lastindex)], [], False
+            elif m.group(2).strip():
+                start = m.start(2) + len(m.group(2)) - len(m.group(2).lstrip())
+                yield [m.group(1)], [(start, start + len(m.group(2).strip()))], [], False
+
+
+def assignments(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[str], bool]]:
+    """Names, literal parts (start, end) and referred names of each assignment, and whether names lose what they held; in text order."""
     if "=" not in text and ":" not in text:
         return
     back = text[::-1]
@@ -164,6 +210,11 @@ def assignments(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], l
         parts: list[tuple[int, int]] = []
         names: list[str] = []
         at = m.end()
+        if m.group() == ":" and (b := _BLOCK.match(text, at)):
+            span = block_after(text, m.start(), b.end())
+            if span[0] >= 0:
+                yield owners, [span], [], True
+            continue
         while True:  # parts of one concatenation
             if q := _QUOTED.match(text, at):
                 g = q.lastindex
@@ -174,7 +225,7 @@ def assignments(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], l
                 start = q.start(1)
                 if start >= bare_end:  # else within the run that was read last
                     bare_end = _BARE_END.search(text, start).start()
-                if _IDENTIFIER.match(text, start, bare_end):
+                if _IDENTIFIER.match(text, start, bare_end) and not (not parts and not names and _mixed(text, start, bare_end)):
                     names.append(text[start:bare_end].lstrip("$"))
                 elif not parts and not names:
                     parts.append((start, bare_end))
@@ -187,37 +238,62 @@ def assignments(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], l
             if not more:
                 break
             at = more.end()
-        yield owners, parts, names
+        compared = text[m.end() : m.end() + 1] == "=" or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">", "+")
+        yield owners, parts, names, m.group() != ":" and not compared
 
 
 #: Bare values longer than this share one pass with the other values that end there.
 LONG = 4096
 
 
+def _passes(name: str, value: str) -> bool:
+    """Whether a value of several words may be a secret under the name."""
+    lines = [x.split() for x in value.split("\n") if x.strip()]
+    if all(len(x) == 1 for x in lines) or value.lstrip().startswith("-----BEGIN "):
+        return True
+    words = _PIECES.findall(name)
+    return bool(words) and words[-1].lower() in _PASSPHRASE and len(lines) == 1 and len(lines[0]) <= 12 and not _MESSAGE.search(value)
+
+
 def literal_spans(text: str) -> list[tuple[str, int, int, float]]:
     """Literals that reach a sensitive name, directly or through constants."""
     known: dict[str, Value] = {}
-    best: dict[tuple[int, int], float] = {}
-    tails: Tails | None = None
-    for owners, parts, names in assignments(text):
+    waiting: dict[str, list[Value]] = {}  # values that use a name before it has one
+    sensitive: list[tuple[float, str, Value]] = []
+    for owners, parts, names, replaces in chain(assignments(text), markup(text)):
         used = [known[n] for n in names if n in known]
-        if not parts and not used:
-            # a bare word after a sensitive name is its value
-            continue
-        value = used[0] if not parts and len(used) == 1 else Value(parts, used)
-        known.update(dict.fromkeys(owners, value))
-        weight = max(map(name_weight, owners))
-        if weight < 0.4:
+        if not parts and not names and not replaces:
             continue
+        if not parts and len(used) == 1 == len(names):
+            value = used[0]
+        else:
+            value = Value(parts, used)
+            for n in names:
+                if n not in known and n not in owners:
+                    waiting.setdefault(n, []).append(value)
+        if parts or used or replaces:
+            for o in owners:
+                known[o] = value
+                if parts or used:
+                    for w in waiting.pop(o, ()):
+                        w.used.append(value)
+        weight, name = max((name_weight(o), o) for o in owners)
+        if weight >= 0.4:
+            sensitive.append((weight, name, value))
+    best: dict[tuple[int, int], float] = {}
+    tails: Tails | None = None
+    for weight, name, value in sensitive:
         spans = value.literals()
-        if len(spans) == 1 and spans[0][1] - spans[0][0] > LONG and (text[spans[0][0] - 1] not in "\"'`"):
+        if not spans:
+            continue
+        if len(spans) == 1 and spans[0][1] - spans[0][0] > LONG and (text[spans[0][0] - 1] not in "\"'`\n >"):
             start, end = spans[0]
             if tails is None or tails.end != end or start < tails.start:
                 tails = Tails(text, start, end)
             random = tails.of(start)
         else:
             whole = "".join(text[a:b] for a, b in spans)
-            if len(whole) < 6 or " " in whole.strip():
+            if len(whole) < 6 or not _passes(name, whole):
                 continue
             random = None if _PLACEHOLDER.search(whole) else randomness(whole)
         if random is None:
