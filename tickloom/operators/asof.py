@@ -176,9 +176,9 @@ def barrier_outcomes(bars: DataFrame, take: float, stop: float, most_bars: int)
 def event_study(events: DataFrame, bars: DataFrame, windows: tuple[int, ...], step: int, bucket: int) -> DataFrame:
     """Per event and window (seconds): bar before, bar after, move, and extremes between."""
     before = asof(events, bars, ["symbol"], "event_time", "time", ["close"], bucket, prefix="before_")
-    wide = before.withColumn("window", F.explode(F.array(*map(F.lit, windows)))).withColumn("after_time", F.col("event_time") + F.greatest("window", F.lit(step)))
-    after = asof(wide, bars, ["symbol"], "after_time", "time", ["close"], bucket, forward=True, prefix="after_")
-    usable = after.filter("before_close is not null and after_close is not null").withColumn("until", F.col("after_after_time") if "after_after_time" in after.columns else F.col("after_time"))
+    wide = before.withColumn("window", F.explode(F.array(*map(F.lit, windows)))).withColumn("due_time", F.col("event_time") + F.greatest("window", F.lit(step)))
+    after = asof(wide, bars, ["symbol"], "due_time", "time", ["close"], bucket, forward=True, prefix="after_")
+    usable = after.filter("before_close is not null and after_close is not null").withColumn("until", F.col("after_time"))
     spans = usable.select("symbol", "event_id", "window", "event_time", "until")
     between = in_windows(bars.select("symbol", "time", "high", "low"), spans, ["symbol"], "time", "event_time", "until", bucket)
     extremes = between.groupBy("symbol", "event_id", "window").agg(F.max("high").alias("highest"), F.min("low").alias("lowest"), F.count("*").alias("n_bars"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,23 +113,28 @@ def local_to_utc(date: Column, clock: Column, zone: Column) -> Column:
     return F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", date.cast("string"), clock)), zone)
 
 
-def non_overlapping(candidates: DataFrame, keys: list[str], start: str, end: str, cooldown: int) -> DataFrame:
+def non_overlapping(candidates: DataFrame, keys: list[str], start: str, end: str, cooldown: int, bucket: int) -> DataFrame:
     """Greedy pass in start order: a candidate is taken if it starts after the last taken one's end and the cooldown.
 
-    One group is the candidates of one key, not its bars.
+    Of candidates with one start the one that ends first counts. Each candidate points to the first one that starts
+    late enough (an as-of join by time buckets); the chain from a key's first candidate is followed by doubling, so the
+    rounds grow with the logarithm of its length and no key is walked in one task.
     """
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([start, end])
-        free, keep = None, []
-        for s, e in zip(rows[start], rows[end], strict=True):
-            ok = free is None or s > free
-            keep.append(ok)
-            if ok:
-                free = e + cooldown
-        return rows[keep]
-
-    return candidates.groupBy(*keys).applyInPandas(take, candidates.schema)
+    from tickloom.operators.asof import asof
+    from tickloom.streaming import stored
+
+    others = [c for c in candidates.columns if c not in (*keys, start)]
+    first = candidates.groupBy(*keys, start).agg(F.min(F.struct(end, *(c for c in others if c != end))).alias("_c")).select(*keys, start, "_c.*")
+    starts = first.select(*keys, F.col(start).alias("_to"))
+    free = first.select(*keys, F.col(start).alias("_from"), (F.col(end) + cooldown + 1).alias("_free"))
+    jump = stored(asof(free, starts, keys, "_free", "_to", [], bucket, forward=True).filter("_to is not null").select(*keys, "_from", "_to"))
+    taken = stored(first.groupBy(*keys).agg(F.min(start).alias("_from")))
+    while not jump.isEmpty():
+        # the chain's first 2^k members reach the next 2^k by one jump
+        taken = stored(taken.unionByName(taken.join(jump, [*keys, "_from"]).select(*keys, F.col("_to").alias("_from"))))
+        further = jump.withColumnRenamed("_to", "_via").join(jump.withColumnRenamed("_from", "_via"), [*keys, "_via"])
+        jump = stored(further.select(*keys, "_from", "_to"))
+    return first.join(taken.withColumnRenamed("_from", start), [*keys, start], "left_semi")
 
 
 def first_touch(trades: DataFrame, ticks: DataFrame, minutes: int, bucket: int) -> DataFrame:

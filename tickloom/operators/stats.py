@@ -107,15 +107,14 @@ def bootstrap(trades: DataFrame, value: str, iterations: int, seed: int = 0) ->
     Each trade's number of draws in an iteration is Poisson with mean 1, from a hash of seed, iteration and trade, so
     no resample is gathered: the counts weight the sums. The median is of the drawn values, weighted.
     """
-    numbers = trades.sparkSession.range(iterations).withColumnRenamed("id", "iteration")
     u = (F.xxhash64(F.lit(seed), "iteration", "trade_id") + F.lit(2.0**63)) / F.lit(2.0**64)
     draws = F.lit(0)
     total, p = 0.0, math.exp(-1)
-    for k in range(8):
+    for k in range(16):  # more draws than that have a chance of 1e-14
         total += p
         draws = draws + F.when(u >= total, 1).otherwise(0)
         p /= k + 1
-    drawn = trades.select("trade_id", F.col(value).alias("_v")).join(F.broadcast(numbers)).withColumn("_n", draws.cast("long")).filter("_n > 0")
+    drawn = trades.select("trade_id", F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")).withColumn("_n", draws.cast("long")).filter("_n > 0")
     return drawn.groupBy("iteration").agg(F.sum("_n").alias("n_drawn"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean_value"), F.percentile("_v", F.lit(0.5), F.col("_n")).alias("median_value"), F.sum(F.col("_v") * F.col("_n")).alias("total"))
 
 

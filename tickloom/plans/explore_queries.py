@@ -90,11 +90,11 @@ def v25(spark, sf_dir):
     return ticks(spark, sf_dir).groupBy(F.coalesce(reason, F.lit("OK")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("P20_marked_positions", f"WITH {q.TICKS}, pr AS (SELECT symbol, arg_max(bid,(time_msc,event_id)) AS price FROM ticks GROUP BY 1), po AS (SELECT event_id, symbol, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END AS sd, bid AS entry, CASE WHEN event_id % 2 = 0 THEN bid*0.95::DOUBLE ELSE bid*1.05::DOUBLE END AS st, CASE WHEN event_id % 2 = 0 THEN bid*1.05::DOUBLE ELSE bid*0.95::DOUBLE END AS tg FROM ticks WHERE user_id % 10 = 0) SELECT event_id, round(sd*(price-entry)*1000,6)+0.0 AS unrealised, sd*(price-st) <= 0 AS stop_hit, sd*(price-tg) >= 0 AS target_hit FROM po JOIN pr USING (symbol)")
+@query("P20_marked_positions", f"WITH {q.TICKS}, pr AS (SELECT symbol, arg_max(bid,(time_msc,event_id)) AS price FROM ticks GROUP BY 1), po AS (SELECT event_id, symbol, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END AS sd, bid AS entry, CASE WHEN event_id % 2 = 0 THEN bid*0.95::DOUBLE ELSE bid*1.05::DOUBLE END AS st, CASE WHEN event_id % 2 = 0 THEN bid*1.05::DOUBLE ELSE bid*0.95::DOUBLE END AS tg FROM ticks) SELECT event_id, round(sd*(price-entry)*1000,6)+0.0 AS unrealised, sd*(price-st) <= 0 AS stop_hit, sd*(price-tg) >= 0 AS target_hit FROM po JOIN pr USING (symbol)")
 def p20(spark, sf_dir):
     t = ticks(spark, sf_dir)
     even = F.col("event_id") % 2 == 0
-    po = t.filter("user_id % 10 = 0").select("event_id", "symbol", F.when(even, "BUY").otherwise("SELL").alias("side"), F.col("bid").alias("entry"), F.when(even, F.col("bid") * 0.95).otherwise(F.col("bid") * 1.05).alias("stop"), F.when(even, F.col("bid") * 1.05).otherwise(F.col("bid") * 0.95).alias("target"), F.lit(1000.0).alias("units"))
+    po = t.select("event_id", "symbol", F.when(even, "BUY").otherwise("SELL").alias("side"), F.col("bid").alias("entry"), F.when(even, F.col("bid") * 0.95).otherwise(F.col("bid") * 1.05).alias("stop"), F.when(even, F.col("bid") * 1.05).otherwise(F.col("bid") * 0.95).alias("target"), F.lit(1000.0).alias("units"))
     return rounded(explore.marked(po, t).select("event_id", "unrealised", "stop_hit", "target_hit"), "unrealised", digits=6)
 
 
@@ -105,11 +105,11 @@ def p14(spark, sf_dir):
     return o.select("o_orderkey", F.unix_timestamp(explore.local_to_utc(F.col("o_orderdate").cast("date"), F.lit("08:30:00"), zone)).alias("utc"))
 
 
-@query("W22_non_overlapping", f"WITH RECURSIVE {q.bars_with(H1)[5:]}, c AS (SELECT symbol, row_number() OVER ({q.W}) - 1 AS i FROM bars), k AS (SELECT symbol, i, i + 1 + i % 4 AS e, row_number() OVER (PARTITION BY symbol ORDER BY i) AS rn FROM c WHERE i % 3 = 0), r(symbol, rn, i, free, taken) AS (SELECT symbol, rn, i, e + 2, true FROM k WHERE rn = 1 UNION ALL SELECT k.symbol, k.rn, k.i, CASE WHEN k.i > r.free THEN k.e + 2 ELSE r.free END, k.i > r.free FROM r JOIN k ON k.symbol = r.symbol AND k.rn = r.rn + 1) SELECT symbol, i AS start_idx FROM r WHERE taken")
+@query("W22_non_overlapping", f"WITH RECURSIVE {q.bars_with(H1)[5:]}, c AS (SELECT symbol, row_number() OVER ({q.W}) - 1 AS i FROM bars), k AS (SELECT symbol, i, i + 1 + i % 4 AS e, row_number() OVER (PARTITION BY symbol ORDER BY i) AS rn FROM c), r(symbol, rn, i, free, taken) AS (SELECT symbol, rn, i, e + 2, true FROM k WHERE rn = 1 UNION ALL SELECT k.symbol, k.rn, k.i, CASE WHEN k.i > r.free THEN k.e + 2 ELSE r.free END, k.i > r.free FROM r JOIN k ON k.symbol = r.symbol AND k.rn = r.rn + 1) SELECT symbol, i AS start_idx FROM r WHERE taken")
 def w22(spark, sf_dir):
-    c = with_row_index(bars(spark, sf_dir, H1).select("symbol", "time"), ["symbol"], "time", 30 * 86_400, "start_idx").filter("start_idx % 3 = 0")
+    c = with_row_index(bars(spark, sf_dir, H1).select("symbol", "time"), ["symbol"], "time", 30 * 86_400, "start_idx")
     c = c.select("symbol", "start_idx", (F.col("start_idx") + 1 + F.col("start_idx") % 4).alias("end_idx"))
-    return explore.non_overlapping(c, ["symbol"], "start_idx", "end_idx", 2).select("symbol", "start_idx")
+    return explore.non_overlapping(c, ["symbol"], "start_idx", "end_idx", 2, 4096).select("symbol", "start_idx")
 
 
 @query("J05_causal_yields", f"WITH {q.TICKS}, {q.bars(H4)}, {_EXO}, j AS (SELECT b.symbol, b.time, x.usable_time, x.value FROM bars b ASOF LEFT JOIN x ON b.time >= x.usable_time), v AS (SELECT {q.count_if('usable_time > time')} AS n FROM j) SELECT symbol, time, round(value,8)+0.0 AS value, CASE WHEN value IS NULL THEN 'UNAVAILABLE' WHEN v.n > 0 THEN 'VIOLATION' ELSE 'ALIGNED' END AS status FROM j, v")
@@ -120,20 +120,20 @@ def j05(spark, sf_dir):
     return rounded(out.crossJoin(F.broadcast(violations)).select("symbol", "time", "value", status.alias("status")), "value")
 
 
-_TR = "tr AS (SELECT event_id AS trade_id, symbol, time_msc AS exit_msc, bid*1.03::DOUBLE AS target, bid*0.97::DOUBLE AS stop FROM ticks WHERE user_id % 10 = 0)"
+_TR = "tr AS (SELECT event_id AS trade_id, symbol, time_msc AS exit_msc, bid*1.03::DOUBLE AS target, bid*0.97::DOUBLE AS stop FROM ticks)"
 
 
 @query("J17_later_path", f"WITH {q.TICKS}, {_TR}, h AS (SELECT tr.trade_id, arg_min(CASE WHEN t.bid >= target THEN 'TAKE_PROFIT' ELSE 'STOP_LOSS' END, (t.time_msc, t.event_id)) AS touch FROM tr JOIN ticks t ON t.symbol = tr.symbol AND t.time_msc BETWEEN exit_msc AND exit_msc + 3600000 WHERE t.bid >= target OR t.bid <= stop GROUP BY 1) SELECT trade_id, coalesce(touch,'NONE') AS touch FROM tr LEFT JOIN h USING (trade_id)")
 def j17(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    tr = t.filter("user_id % 10 = 0").select(F.col("event_id").alias("trade_id"), "symbol", F.col("time_msc").alias("exit_msc"), (F.col("bid") * 1.03).alias("target"), (F.col("bid") * 0.97).alias("stop"))
+    tr = t.select(F.col("event_id").alias("trade_id"), "symbol", F.col("time_msc").alias("exit_msc"), (F.col("bid") * 1.03).alias("target"), (F.col("bid") * 0.97).alias("stop"))
     return explore.first_touch(tr, t, 60, 900_000).select("trade_id", "touch")
 
 
-@query("J16_quotes_of_trades", f"WITH {q.TICKS}, tr AS (SELECT event_id AS trade_id, symbol, time_msc - 20000 AS entry_msc, time_msc + 30000 AS exit_msc, bid FROM ticks WHERE user_id % 10 = 0), a AS (SELECT tr.*, CASE WHEN t.time_msc - entry_msc <= 60000 THEN t.bid END AS b1 FROM tr ASOF LEFT JOIN ticks t ON tr.symbol = t.symbol AND tr.entry_msc <= t.time_msc), b AS (SELECT a.*, CASE WHEN t.time_msc - exit_msc <= 60000 THEN t.bid END AS b2 FROM a ASOF LEFT JOIN ticks t ON a.symbol = t.symbol AND a.exit_msc <= t.time_msc) SELECT trade_id, round(coalesce(b1,bid-1e-4),8)+0.0 AS entry_bid, round(coalesce(b2,bid+1e-4),8)+0.0 AS exit_bid FROM b")
+@query("J16_quotes_of_trades", f"WITH {q.TICKS}, tr AS (SELECT event_id AS trade_id, symbol, time_msc - 20000 AS entry_msc, time_msc + 30000 AS exit_msc, bid FROM ticks), a AS (SELECT tr.*, CASE WHEN t.time_msc - entry_msc <= 60000 THEN t.bid END AS b1 FROM tr ASOF LEFT JOIN ticks t ON tr.symbol = t.symbol AND tr.entry_msc <= t.time_msc), b AS (SELECT a.*, CASE WHEN t.time_msc - exit_msc <= 60000 THEN t.bid END AS b2 FROM a ASOF LEFT JOIN ticks t ON a.symbol = t.symbol AND a.exit_msc <= t.time_msc) SELECT trade_id, round(coalesce(b1,bid-1e-4),8)+0.0 AS entry_bid, round(coalesce(b2,bid+1e-4),8)+0.0 AS exit_bid FROM b")
 def j16(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    tr = t.filter("user_id % 10 = 0").select(F.col("event_id").alias("trade_id"), "symbol", (F.col("time_msc") - 20_000).alias("entry_msc"), (F.col("time_msc") + 30_000).alias("exit_msc"), F.col("bid").alias("fallback"))
+    tr = t.select(F.col("event_id").alias("trade_id"), "symbol", (F.col("time_msc") - 20_000).alias("entry_msc"), (F.col("time_msc") + 30_000).alias("exit_msc"), F.col("bid").alias("fallback"))
     quotes = t.select("symbol", "time_msc", "event_id", "bid")
     a = asof.asof(tr, quotes, ["symbol"], "entry_msc", "time_msc", ["bid"], 86_400_000, 60_000, forward=True, ties=["event_id"], prefix="entry_")
     b = asof.asof(a, quotes, ["symbol"], "exit_msc", "time_msc", ["bid"], 86_400_000, 60_000, forward=True, ties=["event_id"], prefix="exit_")
@@ -148,13 +148,13 @@ def t01(spark, sf_dir):
     return rounded(out.select("direction", "n", "mean_value", "std_value", "t_statistic"), "mean_value", "std_value", "t_statistic", digits=6)
 
 
-@query("V30_timing_audit", f"WITH {q.TICKS}, {q.bars(H4, 'h4')}, {q.bars(M15)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i, lead(time,4) OVER (PARTITION BY symbol ORDER BY time) AS outcome FROM h4), j AS (SELECT s.symbol, s.time, s.i, s.outcome, b.time AS fine FROM s ASOF LEFT JOIN bars b ON s.symbol = b.symbol AND s.time + 13500 >= b.time) SELECT symbol, time, fine AS fine_time, outcome AS outcome_time, fine + 900 <= time + 14400 AND time + 14400 <= outcome AS is_causal FROM j WHERE i % 18 = 0 AND outcome IS NOT NULL")
+@query("V30_timing_audit", f"WITH {q.TICKS}, {q.bars(H4, 'h4')}, {q.bars(M15)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i, lead(time,4) OVER (PARTITION BY symbol ORDER BY time) AS outcome FROM h4), j AS (SELECT s.symbol, s.time, s.i, s.outcome, b.time AS fine FROM s ASOF LEFT JOIN bars b ON s.symbol = b.symbol AND s.time + 13500 >= b.time) SELECT symbol, time, fine AS fine_time, outcome AS outcome_time, fine + 900 <= time + 14400 AND time + 14400 <= outcome AS is_causal FROM j WHERE outcome IS NOT NULL")
 def v30(spark, sf_dir):
     from tickloom.operators.frames import Frame
 
     h4 = with_row_index(bars(spark, sf_dir, H4).select("symbol", "time"), ["symbol"], "time", 30 * 86_400).withColumn("outcome_time", Frame("symbol").lead("time", 4)).withColumn("cutoff", F.col("time") + H4 - M15)
     fine = bars(spark, sf_dir).select("symbol", F.col("time").alias("fine_time"))
-    out = asof.asof(h4.filter("bar_idx % 18 = 0 and outcome_time is not null"), fine, ["symbol"], "cutoff", "fine_time", [], 86_400)
+    out = asof.asof(h4.filter("outcome_time is not null"), fine, ["symbol"], "cutoff", "fine_time", [], 86_400)
     causal = (F.col("fine_time") + M15 <= F.col("time") + H4) & (F.col("time") + H4 <= F.col("outcome_time"))
     return out.select("symbol", "time", "fine_time", "outcome_time", causal.alias("is_causal"))
 

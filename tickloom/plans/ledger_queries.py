@@ -58,11 +58,11 @@ def j07(spark, sf_dir):
 
 
 _COVER = "c0 AS (SELECT symbol, time_msc, CASE WHEN time_msc - lag(time_msc) OVER w > 300000 THEN 1 ELSE 0 END AS cut FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY time_msc)), c1 AS (SELECT *, sum(cut) OVER (PARTITION BY symbol ORDER BY time_msc ROWS UNBOUNDED PRECEDING) AS island FROM c0), cover AS (SELECT symbol, min(time_msc) AS start_msc, max(time_msc) AS end_msc FROM c1 GROUP BY symbol, island), gaps AS (SELECT symbol, end_msc AS gap_start, lead(start_msc) OVER (PARTITION BY symbol ORDER BY start_msc) AS gap_end FROM cover)"
-_TARGETS = "targets AS (SELECT symbol, event_id, time_msc - (event_id * 37 % 90) * 1000 AS target_msc FROM ticks WHERE user_id % 10 = 0)"
+_TARGETS = "targets AS (SELECT symbol, event_id, time_msc - (event_id * 37 % 90) * 1000 AS target_msc FROM ticks)"
 
 
 def targets(spark, sf_dir):
-    return ticks(spark, sf_dir).filter("user_id % 10 = 0").select("symbol", "event_id", (F.col("time_msc") - F.col("event_id") * 37 % 90 * 1000).alias("target_msc"))
+    return ticks(spark, sf_dir).select("symbol", "event_id", (F.col("time_msc") - F.col("event_id") * 37 % 90 * 1000).alias("target_msc"))
 
 
 @query(
@@ -75,11 +75,11 @@ def j08(spark, sf_dir):
     return rounded(out.drop("ask"), "bid")
 
 
-_WINDOWS = "wins AS (SELECT symbol, event_id AS window_id, time_msc - 900000 AS window_start, time_msc + 1800000 AS window_end FROM ticks WHERE user_id % 25 = 0)"
+_WINDOWS = "wins AS (SELECT symbol, event_id AS window_id, time_msc - 900000 AS window_start, time_msc + 1800000 AS window_end FROM ticks)"
 
 
 def windows(spark, sf_dir):
-    return ticks(spark, sf_dir).filter("user_id % 25 = 0").select("symbol", F.col("event_id").alias("window_id"), (F.col("time_msc") - 900_000).alias("window_start"), (F.col("time_msc") + 1_800_000).alias("window_end"))
+    return ticks(spark, sf_dir).select("symbol", F.col("event_id").alias("window_id"), (F.col("time_msc") - 900_000).alias("window_start"), (F.col("time_msc") + 1_800_000).alias("window_end"))
 
 
 @query("J09_ticks_in_windows", f"WITH {q.TICKS}, {_WINDOWS} SELECT w.symbol, w.window_id, count(*) AS n_ticks, round(max(t.bid),8)+0.0 AS max_bid, round(min(t.bid),8)+0.0 AS min_bid FROM wins w JOIN ticks t ON t.symbol = w.symbol AND t.time_msc BETWEEN w.window_start AND w.window_end GROUP BY ALL")
@@ -137,12 +137,12 @@ def j18(spark, sf_dir):
 
 @query(
     "J13_positions",
-    """WITH i AS (SELECT event_type AS symbol, sum(CASE WHEN event_id % 3 = 0 THEN -1000.0 ELSE 1000.0 END) AS net, array_to_string(list_sort(list_distinct(list(CASE WHEN event_id % 3 = 0 THEN 'SELL' ELSE 'BUY' END))),'+') AS sides FROM events WHERE event_type <> 'view' AND user_id % 40 = 0 GROUP BY 1),
-x AS (SELECT event_type AS symbol, sum(CASE WHEN event_id % 3 = 0 THEN -0.01::DOUBLE ELSE 0.01::DOUBLE END)*100000 AS net, array_to_string(list_sort(list_distinct(list(CASE WHEN event_id % 3 = 0 THEN 'SELL' ELSE 'BUY' END))),'+') AS sides FROM events WHERE event_type <> 'click' AND user_id % 40 = 0 AND NOT (event_type = 'signup' AND event_id % 5 = 1) GROUP BY 1)
+    """WITH i AS (SELECT event_type AS symbol, sum(CASE WHEN event_id % 3 = 0 THEN -1000.0 ELSE 1000.0 END) AS net, array_to_string(list_sort(list_distinct(list(CASE WHEN event_id % 3 = 0 THEN 'SELL' ELSE 'BUY' END))),'+') AS sides FROM events WHERE event_type <> 'view' GROUP BY 1),
+x AS (SELECT event_type AS symbol, sum(CASE WHEN event_id % 3 = 0 THEN -0.01::DOUBLE ELSE 0.01::DOUBLE END)*100000 AS net, array_to_string(list_sort(list_distinct(list(CASE WHEN event_id % 3 = 0 THEN 'SELL' ELSE 'BUY' END))),'+') AS sides FROM events WHERE event_type <> 'click' AND NOT (event_type = 'signup' AND event_id % 5 = 1) GROUP BY 1)
 SELECT symbol, CASE WHEN x.net IS NULL THEN 'MISSING_EXTERNAL' WHEN i.net IS NULL THEN 'MISSING_INTERNAL' WHEN i.sides <> x.sides THEN 'SIDE_MISMATCH' WHEN abs(i.net-x.net) > 1e-3 THEN 'QUANTITY_MISMATCH' ELSE 'MATCHED' END AS status, CAST(round(i.net,4) AS DOUBLE) AS internal_units, CAST(round(x.net,4) AS DOUBLE) AS external_units FROM i FULL OUTER JOIN x USING (symbol)""",
 )
 def j13(spark, sf_dir):
-    t = ticks(spark, sf_dir).filter("user_id % 40 = 0").withColumn("side", F.when(F.col("event_id") % 3 == 0, "SELL").otherwise("BUY"))
+    t = ticks(spark, sf_dir).withColumn("side", F.when(F.col("event_id") % 3 == 0, "SELL").otherwise("BUY"))
     internal = t.filter("symbol != 'view'").withColumn("units", F.lit(1000.0))
     external = t.filter("symbol != 'click' and not (symbol = 'signup' and event_id % 5 = 1)").withColumn("lots", F.lit(0.01))
     return rounded(asof.reconcile_positions(internal, external, 100_000.0).select("symbol", "status", "internal_units", "external_units"), "internal_units", "external_units", digits=4)
@@ -157,9 +157,9 @@ def j14(spark, sf_dir):
     return rounded(out.select("d", "missing", "spread", "change_5"), "spread", "change_5", digits=12)
 
 
-@query("J20_membership", f"{q.bars_with(H4)} SELECT trade_id FROM (SELECT event_id AS trade_id, event_type AS symbol, (epoch_us(ts)//1000000//14400)*14400 AS time FROM events WHERE user_id % 10 = 0) t WHERE EXISTS (SELECT 1 FROM bars b WHERE b.symbol = t.symbol AND b.time = t.time AND b.tick_volume >= 8)")
+@query("J20_membership", f"{q.bars_with(H4)} SELECT trade_id FROM (SELECT event_id AS trade_id, event_type AS symbol, (epoch_us(ts)//1000000//14400)*14400 AS time FROM events) t WHERE EXISTS (SELECT 1 FROM bars b WHERE b.symbol = t.symbol AND b.time = t.time AND b.tick_volume >= 8)")
 def j20(spark, sf_dir):
-    signals = ticks(spark, sf_dir).filter("user_id % 10 = 0").select(F.col("event_id").alias("trade_id"), "symbol", F.expr("time_msc div 1000 div 14400 * 14400").alias("time"))
+    signals = ticks(spark, sf_dir).select(F.col("event_id").alias("trade_id"), "symbol", F.expr("time_msc div 1000 div 14400 * 14400").alias("time"))
     return signals.join(bars(spark, sf_dir, H4).filter("tick_volume >= 8"), ["symbol", "time"], "left_semi").select("trade_id")
 
 
@@ -399,9 +399,9 @@ def p11(spark, sf_dir):
     return o.select("report_id", "observed", ledger.publication(F.col("observed")).cast("date").alias("friday"))
 
 
-@query("P13_zone_offsets", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders WHERE year(o_orderdate) = 1998) SELECT CAST(ts AS DATE) AS d, CAST(date_diff('hour', ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS INT) AS us_offset, CAST(date_diff('hour', ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin') AS INT) AS eu_offset FROM d")
+@query("P13_zone_offsets", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders) SELECT CAST(ts AS DATE) AS d, CAST(date_diff('hour', ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS INT) AS us_offset, CAST(date_diff('hour', ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin') AS INT) AS eu_offset FROM d")
 def p13(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.year("o_orderdate") == 1998).select(F.col("o_orderdate").cast("timestamp").alias("ts")).distinct()
+    d = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("ts")).distinct()
     z = ledger.zone_offsets(F.col("ts"))
     return d.select(F.col("ts").cast("date").alias("d"), z["us_offset"].alias("us_offset"), z["eu_offset"].alias("eu_offset"))
 

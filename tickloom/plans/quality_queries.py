@@ -374,9 +374,9 @@ def s07(spark, sf_dir):
     return out.select("event_id", F.col("event_type").alias("symbol"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("time_msc"))
 
 
-@query("S10_ledger_scan", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("S10_ledger_scan", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
 def s10(spark, sf_dir):
-    return readers.ledger_scan(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderstatus", "O", [F.desc("o_orderdate"), F.asc("o_orderkey")], 50).select("o_orderkey", "o_orderstatus")
+    return readers.ledger_scan(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderstatus", "O", [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("o_orderkey", "o_orderstatus")
 
 
 @query("S09_latest_wins", "SELECT o_custkey AS account, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY o_custkey")

@@ -16,10 +16,21 @@ WATERMARK = "1 day"
 
 def _folder(spark: SparkSession) -> str:
     """Shared folder of checkpoints and replayed results; a temporary one only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tickloom-streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tickloom-streams-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a step of an iteration to the shared folder and reads it back, which cuts the lineage."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_quotes(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     """Quotes from a growing folder of Parquet files with the event schema."""
     schema = spark.read.parquet(path).schema
@@ -55,6 +66,18 @@ def accepted(bars: DataFrame, now: int, step: int) -> DataFrame:
     return bars.withColumn("reason", F.when(F.col("time") + step > now, "INCOMPLETE").when(~box, "BAD_OHLC"))
 
 
+def stale(quotes: DataFrame, at: DataFrame, most_age_msc: int, bucket: int) -> DataFrame:
+    """Instants (symbol, at_msc) with the age of the last quote, and whether evaluation is skipped for it.
+
+    On a stream, call it in `foreachBatch` with the batch's instants; without any quote the feed is stale.
+    """
+    from tickloom.operators.asof import asof
+
+    last = asof(at, quotes.select("symbol", "time_msc", "event_id"), ["symbol"], "at_msc", "time_msc", [], bucket, ties=["event_id"])
+    age = F.col("at_msc") - F.col("time_msc")
+    return last.select("symbol", "at_msc", age.alias("age_msc"), F.coalesce(age > most_age_msc, F.lit(True)).alias("is_stale"))
+
+
 def running_counts(quotes: DataFrame) -> DataFrame:
     """Running counts and bounds of each symbol (update or complete mode)."""
     return quotes.groupBy("symbol").agg(F.count("*").alias("n_ticks"), F.min("spread_points").alias("min_spread"), F.max("spread_points").alias("max_spread"), F.avg("spread_points").alias("mean_spread"))
