@@ -7,7 +7,7 @@ of the union that both hold), containment, and the number of distinct shingles f
 
 Defined results: a null text is the empty text, with an empty sketch; two empty sketches are alike (1), an empty
 and another are not (0); rows with a null id come after all others in the order of `edited_texts`; repeated rows
-have equal sketches; ties in the order are broken by the text; other columns are not read.
+have equal sketches; ties in the order are broken by a hash of the text, then by the text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from tickloom.llm.common import ids_and_text, store
 SIZE = 128
 WIDTH = 5
 #: Rows of one ordering block, about.
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 500
+#: Neighbouring blocks whose order is found in one task.
+BLOCK_GROUP = 4096
 STRATA = 64
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,7 +98,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _blocks(docs: DataFrame) -> Column:
-    """Block number of each row by descending id, with about BLOCK_ROWS ids in each; rows without an id come last.
+    """Block number of each row by descending id, with about BLOCK_ROWS ids in each; rows without an id come last, by _tie.
 
     Quantiles part the ids into at most STRATA ranges, and each range is cut evenly, so that ids may lie unevenly.
     """
@@ -116,7 +118,9 @@ def _blocks(docs: DataFrame) -> Column:
         at += n
     numbers = lambda x: F.array(*(F.lit(v).cast("long") for v in reversed(x)))
     place = F.floor((F.get(numbers(lows), above) - F.col("doc_id")) / F.get(numbers(widths), above))
-    return F.coalesce(F.get(numbers(firsts), above) + place, F.lit(at)).cast("long")
+    nameless = max(1, docs.filter("doc_id is null").count() // BLOCK_ROWS)
+    last = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * nameless)
+    return F.coalesce(F.get(numbers(firsts), above) + place, F.lit(at) + last).cast("long")
 
 
 def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -125,16 +129,19 @@ def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     After the last document comes the first. Documents are dealt into blocks of neighbouring ids; the next document
     of a block's last one is the first of the next block that has any.
     """
-    docs = ids_and_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = ids_and_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_tie", F.xxhash64("text"))
     dealt = docs.withColumn("block", _blocks(docs.select("doc_id")))
-    w = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
+    w = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "_tie", "text")
     near = dealt.withColumn("next_text", F.lead("text").over(w)).withColumn("words", word_hashes(F.col("text")))
     near = near.withColumn("sketch", bottom(shingle_hashes(F.col("words")), size)).drop("words").withColumn("next_sketch", F.lead("sketch").over(w))
-    heads = store(dealt.groupBy("block").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(0)), "text")).alias("head")))
-    numbers = heads.select("block")
-    everywhere = Window.orderBy("block")  # numbers only, one for each block
-    after = numbers.select("block", F.lead("block").over(everywhere).alias("following"), F.first("block").over(everywhere).alias("top"))
-    after = after.select("block", F.coalesce("following", "top").alias("following"))
+    heads = store(dealt.groupBy("block").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(0)), "_tie", "text")).alias("head")))
+    # numbers only, one for each block; order within groups of blocks, then one row for each group
+    numbers = heads.select("block", F.floor(F.col("block") / BLOCK_GROUP).alias("group"))
+    everywhere = Window.orderBy("group")
+    groups = numbers.groupBy("group").agg(F.min("block").alias("low"))
+    groups = groups.select("group", F.coalesce(F.lead("low").over(everywhere), F.first("low").over(everywhere)).alias("beyond"))
+    after = numbers.withColumn("following", F.lead("block").over(Window.partitionBy("group").orderBy("block"))).join(groups, "group")
+    after = after.select("block", F.coalesce("following", "beyond").alias("following"))
     heads = heads.withColumn("head_words", word_hashes(F.col("head"))).select(F.col("block").alias("following"), "head", bottom(shingle_hashes(F.col("head_words")), size).alias("head_sketch"))
     joined = near.join(after.join(heads, "following").drop("following"), "block", "left")
     return joined.select("doc_id", "text", "sketch", F.coalesce("next_text", "head").alias("next_text"), F.coalesce("next_sketch", "head_sketch").alias("next_sketch"))
