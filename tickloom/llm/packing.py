@@ -30,6 +30,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows of one rank bucket, about.
 BUCKET_ROWS = 4_000
+#: Buckets of one size whose order is found in one task.
+BUCKET_GROUP = 4096
 #: Special tokens of the vocabulary; a text that holds one goes through the general tokenizer.
 SPECIAL = "<|endoftext|>"
 
@@ -134,12 +136,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = items.sparkSession
     total = items.count()
     buckets = max(1, total // BUCKET_ROWS)
-    key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
+    key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets))
     marked = items.withColumn("_bucket", key)
     sizes = marked.groupBy("length", "_bucket").count()
     # ranks run over (bucket, place in bucket) within a size, so that no size class meets in one task
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("length", "_bucket", "_base")
+    sizes = sizes.withColumn("_group", F.floor(F.col("_bucket") / BUCKET_GROUP))
+    earlier = lambda *keys, by: F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("length", "_group").agg(F.sum("count").alias("count")).withColumn("_before", earlier("length", by="_group")).drop("count")
+    bases = sizes.withColumn("_inside", earlier("length", "_group", by="_bucket")).join(groups, ["length", "_group"]).select("length", "_bucket", (F.col("_before") + F.col("_inside")).alias("_base"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     plan = best_fit(counts, capacity)  # bounded by the capacity, not by the data
     steps: dict[int, list[tuple[int, int, int, int]]] = {}
