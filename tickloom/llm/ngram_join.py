@@ -37,6 +37,8 @@ MOST_FREQUENT = 1 << 18
 COUNT_BYTES, LEAST_COUNT = 12_000_000, 4
 #: Hash ranges of the counts that bound differences.
 RANGES = 64
+#: Shingles of the sets that one cell holds, about.
+CELL_SHINGLES = 8_000_000
 _U = np.uint64
 
 
@@ -249,10 +251,10 @@ def group_links(sets: list[np.ndarray], pivot: np.ndarray, percent: int) -> list
 def in_cells(members: DataFrame, group_rows: int) -> DataFrame:
     """Members (pivot_id, pivot_n, set_id, n, ...) in cells (i, j): two of one pivot share a cell, the pivot is in all.
 
-    A pivot with up to group_rows / 2 members has one cell; of a larger one, each cell holds two blocks.
+    A pivot with up to group_rows / 2 members and half of CELL_SHINGLES has one cell; of a larger one, each cell holds two blocks.
     """
     pivot = F.struct("pivot_id", "pivot_n")
-    blocks = members.groupBy(pivot.alias("pivot")).agg(F.count("*").alias("members"), F.ceil(2 * F.count("*") / group_rows).cast("int").alias("k"))
+    blocks = members.groupBy(pivot.alias("pivot")).agg(F.count("*").alias("members"), F.greatest(F.ceil(2 * F.count("*") / group_rows), F.ceil(2 * F.sum("n") / CELL_SHINGLES)).cast("int").alias("k"))
     is_pivot = (F.col("set_id") == F.col("pivot_id")) & (F.col("n") == F.col("pivot_n"))
     mine = F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")
     numbers = F.sequence(F.lit(0), F.col("k") - 1)
