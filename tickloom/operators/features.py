@@ -358,10 +358,10 @@ def register(spec: FeatureSpec) -> None:
     REGISTRY[spec.name] = spec
 
 
-def build(bars: DataFrame, names: list[str], block_rows: int | None = None) -> DataFrame:
+def build(bars: DataFrame, names: list[str], block_rows: int | None = 4096) -> DataFrame:
     """Symbol, time, bar_idx and the features of the named blocks, as one plan without joins between blocks.
 
-    With `block_rows`, long series are cut into blocks with halos, and each block is a task's work.
+    Long series are cut into blocks of `block_rows` rows with halos, and each block is a task's work; None leaves a symbol whole.
     """
     specs = [REGISTRY[n] for n in names]
     start = with_filters(bars) if any(s.needs_filters for s in specs) else with_row_index(bars, ["symbol"], "time", 86_400 * 30)

@@ -51,7 +51,7 @@ def round_all(df):
     return df
 
 
-def block(spark, sf_dir, name: str, seconds: int, block_rows: int | None = None):
+def block(spark, sf_dir, name: str, seconds: int, block_rows: int | None = 4096):
     return round_all(features.build(bars(spark, sf_dir, seconds), [name], block_rows).drop("bar_idx"))
 
 
