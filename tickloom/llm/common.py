@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that nothing refers to any more; it does so only after a collection of the driver's heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -50,6 +57,7 @@ def store(df: DataFrame) -> DataFrame:
     The folder goes when the application ends.
     """
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_dir(spark).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
