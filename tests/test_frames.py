@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, features, labels, splits, stats
-from tickloom.operators.frames import Frame, exponential, with_row_index
+from tickloom.operators.frames import Frame, exponential, running_sum, with_previous, with_row_index
 from tickloom.sources import readers
 from tickloom.sources.adapters import M15, bars
 
@@ -153,3 +153,27 @@ def test_registry_can_grow(walk):
 def test_frames_wait_for_their_rows(walk):
     out = walk.select("time", Frame("symbol").mean("close", 20).alias("m")).orderBy("time").collect()
     assert all(r["m"] is None for r in out[:19]) and not math.isnan(out[19]["m"])
+
+
+def test_ranges_give_what_one_window_gives(spark):
+    """Rows look back across ranges, empty ranges between them included; sums run on; a null place sorts first."""
+    rng = random.Random(11)
+    places = sorted(rng.sample(range(400), 60)) + [5000, 5003, 9999]
+    rows = [(s, t, None if rng.random() < 0.1 else rng.randint(0, 9)) for s in "AB" for t in places] + [("A", None, 4)]
+    df = spark.createDataFrame(rows, "symbol string, time long, x int").withColumn("one", F.lit(1))
+    w = Frame("symbol").w
+    want = df.withColumns({"before": F.lag("time").over(w), "x_before": F.lag("x").over(w), "total": F.sum("one").over(w)})
+    got = running_sum(with_previous(df, ["symbol"], ["time"], {"before": "time", "x_before": "x"}, 7), ["symbol"], "time", "one", "total", 7)
+    columns = ["symbol", "time", "x", "before", "x_before", "total"]
+    assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+    empty = with_previous(df.filter("x > 99"), ["symbol"], ["time"], {"before": "time"}, 7)
+    assert empty.count() == 0 and empty.columns == [*df.columns, "before"]
+
+
+def test_labels_do_not_depend_on_blocks(walk):
+    for blocks in ([], [labels.swing_targets]):
+        whole, parts = collected(labels.label(walk, *blocks, block_rows=None)), collected(labels.label(walk, *blocks, block_rows=64))
+        assert set(whole) == set(parts)
+        for t, r in whole.items():
+            for a, b in zip(r, parts[t], strict=True):
+                assert a == b or (a is not None and b is not None and a == pytest.approx(b, rel=1e-9, abs=1e-9))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.frames import BAR_RANGE, in_blocks, with_row_index
+
 _KEEP = "_row"
 
 
@@ -145,10 +147,9 @@ def barrier_outcomes(bars: DataFrame, take: float, stop: float, most_bars: int)
     The stop wins in a bar that touches both; a bar that opens beyond a level fills at its open; without a touch the last
     bar's close counts. Signals without a whole path are left out.
     """
-    w = Window.partitionBy("symbol").orderBy("time")
-    ahead = w.rowsBetween(1, most_bars)
-    path = F.collect_list(F.struct("open", "high", "low", "close")).over(ahead)
-    staged = bars.withColumn("path", path).filter(F.size("path") == most_bars).withColumn("entry", F.element_at("path", 1)["open"])
+    path = lambda df, f: df.withColumn("path", F.collect_list(F.struct("open", "high", "low", "close")).over(f.w.rowsBetween(1, most_bars)))
+    indexed = with_row_index(bars, ["symbol"], "time", BAR_RANGE)
+    staged = in_blocks(indexed, ["symbol"], path, 0, most_bars, max(4096, most_bars)).drop("bar_idx").filter(F.size("path") == most_bars).withColumn("entry", F.element_at("path", 1)["open"])
     staged = staged.withColumn("stop", F.col("entry") * (1 - stop)).withColumn("target", F.col("entry") * (1 + take))
     held = F.transform(
         "path",

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.frames import BAR_RANGE, with_previous
+
 #: The overlapping sessions, hours inclusive.
 SESSIONS = (("asian", 0, 7), ("london", 7, 15), ("new_york", 12, 20), ("rollover", 21, 23))
 
 
 def price_statistics(bars: DataFrame) -> DataFrame:
     """Distribution of closes, bull, bear and doji counts, moments of log returns (population skewness and excess kurtosis)."""
-    r = F.log(F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("time")))
+    bars = with_previous(bars, ["symbol"], ["time"], {"_prior": "close"}, BAR_RANGE)
+    r = F.log(F.col("close") / F.col("_prior"))
     at = F.percentile("close", F.array(*(F.lit(p) for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))))
     out = bars.withColumn("_r", r).groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.min("close").alias("min_close"), F.max("close").alias("max_close"), F.avg("close").alias("mean_close"), F.stddev_samp("close").alias("std_close"), at.alias("_q"),
@@ -27,7 +30,8 @@ def temporal_statistics(bars: DataFrame) -> DataFrame:
     A bar belongs to one hour, weekday, month and year and to each session that holds its hour: one explode serves all.
     """
     ts = F.timestamp_seconds("time")
-    r = F.log(F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("time")))
+    bars = with_previous(bars, ["symbol"], ["time"], {"_prior": "close"}, BAR_RANGE)
+    r = F.log(F.col("close") / F.col("_prior"))
     hour = F.hour(ts)
     group = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
     groups = F.array_compact(F.array(group("hour", hour), group("weekday", F.weekday(ts)), group("month", F.month(ts)), group("year", F.year(ts)), *(F.when(hour.between(a, b), group("session", F.lit(n))) for n, a, b in SESSIONS)))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.frames import Frame, exponential, flag, in_blocks, with_row_index
+from tickloom.operators.frames import BAR_RANGE, Frame, exponential, flag, in_blocks, with_row_index
 
 TINY, SMALL = 1e-12, 1e-8
 #: Fixed value: M15 bars of a year of 252 days.
@@ -317,9 +317,12 @@ def with_filters(bars: DataFrame, spans: tuple[int, ...] = (10, 20, 40, 50, 80),
     """Bars with the row index and the exponential filters: ema_* of closes, Wilder filters of gains, losses and range."""
     C = F.col("close")
     indexed = with_row_index(bars, ["symbol"], "time", width)
-    f = Frame("symbol")
-    change = C - f.lag("close")
-    staged = indexed.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0))).withColumn("_tr", true_range(f))
+
+    def stage(df: DataFrame, f: Frame) -> DataFrame:
+        change = C - f.lag("close")
+        return df.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0))).withColumn("_tr", true_range(f))
+
+    staged = in_blocks(indexed, ["symbol"], stage, 1, 0, 4096)
     filters = {f"ema_{s}": (C, 2.0 / (s + 1), 0) for s in spans}
     filters |= {"gain_14": (F.col("_gain"), 1.0 / 14, 1), "loss_14": (F.col("_loss"), 1.0 / 14, 1), "wilder_range_14": (F.col("_tr"), 1.0 / 14, 0)}
     return exponential(staged, ["symbol"], filters).drop("_gain", "_loss", "_tr")
@@ -392,6 +395,7 @@ def cross_market(wide: DataFrame, base_symbol: str, others: list[str], signs: di
     """
     close = {s: F.col(f"close_{s}") for s in (base_symbol, *others)}
     ret = lambda s, k: close[s] / f.lag(f"close_{s}", k) - 1
+    kept = [c for c in ("_home", "_block") if c in wide.columns]
     one = wide.withColumns({f"_r_{s}": ret(s, 1) for s in close})
     basket = lambda k: sum((F.lit(sign / len(signs)) * ret(s, k) for s, sign in signs.items()), F.lit(0.0))
     one = one.withColumn("_basket", basket(1))
@@ -403,7 +407,7 @@ def cross_market(wide: DataFrame, base_symbol: str, others: list[str], signs: di
     out |= {f"{s}_atr_norm_14": norm[s] for s in others} | {f"{s}_vol_std_20": f.std(f"_r_{s}", 20, least=10) for s in others}
     out |= {f"corr_{s}_{w}": f.corr(F.col(f"_r_{base_symbol}"), F.col(f"_r_{s}"), w) for s in others for w in (20, 40)}
     out |= {f"rel_vol_{s}": norm[base_symbol] / (norm[s] + SMALL) for s in others}
-    return one.select("time", *(c.alias(n) for n, c in out.items()))
+    return one.select("time", *kept, *(c.alias(n) for n, c in out.items()))
 
 
 def aligned(bars: DataFrame, base_symbol: str, others: list[str]) -> DataFrame:
@@ -414,10 +418,17 @@ def aligned(bars: DataFrame, base_symbol: str, others: list[str]) -> DataFrame:
     times = bars.filter(F.col("symbol") == base_symbol).select("time")
     grid = times.crossJoin(F.broadcast(bars.sparkSession.createDataFrame([(s,) for s in (base_symbol, *others)], "symbol string")))
     joined = grid.join(bars.select("symbol", "time", "high", "low", "close"), ["symbol", "time"], "left")
-    carry = Window.partitionBy("symbol").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    filled = joined.select("symbol", "time", *(F.last(c, ignorenulls=True).over(carry).alias(c) for c in ("high", "low", "close")))
+    prices = ("high", "low", "close")
+    marked = joined.withColumn("_range", F.floor(F.col("time") / BAR_RANGE))
+    # the last price is carried inside ranges of time, and from range to range through one row a range
+    last = lambda c, *keys, by, to: F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, to))
+    ends = marked.groupBy("symbol", "_range").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("time"))).alias(c) for c in prices))
+    carry = ends.select("symbol", "_range", *(last(c, "symbol", by="_range", to=-1).alias(f"_{c}") for c in prices))
+    inside = marked.select("symbol", "time", "_range", *(last(c, "symbol", "_range", by="time", to=0).alias(c) for c in prices))
+    filled = inside.join(carry, ["symbol", "_range"]).select("symbol", "time", *(F.coalesce(c, f"_{c}").alias(c) for c in prices))
     known = with_row_index(filled.filter("close is not null"), ["symbol"], "time", 86_400 * 30)
-    ranged = exponential(known.withColumn("_tr", true_range(Frame("symbol"))), ["symbol"], {"wilder": (F.col("_tr"), 1.0 / 14, 0)})
+    staged = in_blocks(known, ["symbol"], lambda df, f: df.withColumn("_tr", true_range(f)), 1, 0, 4096)
+    ranged = exponential(staged, ["symbol"], {"wilder": (F.col("_tr"), 1.0 / 14, 0)})
     names = [base_symbol, *others]
     wide = ranged.groupBy("time").pivot("symbol", names).agg(F.first("close").alias("close"), F.first("wilder").alias("wilder"))
     return wide.select("time", *(F.col(f"`{s}_{c}`").alias(f"{c}_{s}") for s in names for c in ("close", "wilder")))

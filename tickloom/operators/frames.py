@@ -77,6 +77,40 @@ def with_row_index(df: DataFrame, keys: list[str], order: str, width: int, name:
     return numbered.join(offsets, [*keys, "_bucket"]).withColumn(name, (F.col("_offset") + F.col("_place")).cast("long")).drop("_bucket", "_offset", "_place")
 
 
+#: Widths of the ranges in which rows look back: 30 days of bars, a day of ticks, and as many event ids.
+BAR_RANGE, TICK_RANGE, ID_RANGE = 86_400 * 30, 86_400_000, 1 << 17
+
+
+def _range(order: str, width: int) -> Column:
+    """Number of the range; rows without a place sort first, as in a window."""
+    return F.coalesce(F.floor(F.col(order) / width), F.lit(-(1 << 62))).cast("long")
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], width: int) -> DataFrame:
+    """Adds columns of the row before in the key's order: `columns` maps a new name to the column that is read.
+
+    Rows look back inside ranges of `width` of the first order column; the first row of a range takes the last one of
+    the range before, so that a long series is not sorted in one task. The key's first row gets nulls.
+    """
+    row = F.struct(*(F.col(c).alias(n) for n, c in columns.items()))
+    marked = df.withColumn("_range", _range(order[0], width))
+    lasts = marked.groupBy(*keys, "_range").agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    carry = lasts.select(*keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carry"))
+    own = F.lag(row).over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    joined = marked.withColumn("_own", own).join(carry, [*keys, "_range"])
+    return joined.withColumn("_before", F.coalesce("_own", "_carry")).select(*df.columns, *(F.col(f"_before.{n}").alias(n) for n in columns))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int) -> DataFrame:
+    """Adds the sum of `value` up to each row of the key's order, in ranges that start from the sums of earlier ones."""
+    marked = df.withColumn("_range", _range(order, width))
+    sums = marked.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_inside", F.sum(value).over(inside)).join(offsets, [*keys, "_range"]).withColumn(name, F.col("_offset") + F.col("_inside")).drop("_range", "_inside", "_offset")
+
+
 def in_blocks(df: DataFrame, keys: list[str], apply: Callable[[DataFrame, Frame], DataFrame], lookback: int, lookahead: int, block_rows: int, order: str = "time", index: str = "bar_idx") -> DataFrame:
     """`apply` over blocks of `block_rows` rows, each with the rows that its frames reach into on both sides.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.features import TINY, true_range
-from tickloom.operators.frames import Frame
+from tickloom.operators.frames import BAR_RANGE, Frame, in_blocks, with_row_index
 
 #: Horizons in bars, and the fixed return thresholds of each.
 HORIZONS = (1, 4, 8, 16)
@@ -66,15 +66,23 @@ def alternatives(h: int = 4) -> dict[str, Column]:
     return {"target_a": F.when(d != 0, d), "target_b": two_way(r, F.lit(0.0)), "target_c": F.when(v != 0, v), "target_d": F.when(F.abs(r) > 0.0002, F.signum(r))}
 
 
-def label(bars: DataFrame, *blocks, f: Frame | None = None) -> DataFrame:
-    """Symbol, time and the labels of the blocks."""
-    C = F.col("close")
-    f = f or Frame("symbol")
-    ranged = bars.withColumn("_true_range", true_range(f)).withColumn("_atr_norm", f.mean("_true_range", 14) / C)
-    columns: dict[str, Column] = {}
-    for b in blocks or (returns, directions):
-        columns |= b(f)
-    return ranged.select("symbol", "time", *(c.alias(n) for n, c in columns.items()))
+def label(bars: DataFrame, *blocks, reach: int = max(HORIZONS), block_rows: int | None = 4096) -> DataFrame:
+    """Symbol, time and the labels of the blocks, whose horizons are `reach` bars at most.
+
+    Long series are cut into blocks of `block_rows` rows with halos; None leaves a symbol whole.
+    """
+
+    def apply(df: DataFrame, f: Frame) -> DataFrame:
+        ranged = df.withColumn("_true_range", true_range(f)).withColumn("_atr_norm", f.mean("_true_range", 14) / F.col("close"))
+        columns: dict[str, Column] = {}
+        for b in blocks or (returns, directions):
+            columns |= b(f)
+        keep = [c for c in ("_home", "_block") if c in df.columns]
+        return ranged.select("symbol", "time", *keep, *(c.alias(n) for n, c in columns.items()))
+
+    if block_rows is None:
+        return apply(bars, Frame("symbol"))
+    return in_blocks(with_row_index(bars, ["symbol"], "time", BAR_RANGE), ["symbol"], apply, max(15, reach), reach, block_rows)
 
 
 def class_balance(labels: DataFrame, name: str) -> DataFrame:

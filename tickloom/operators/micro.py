@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.frames import BAR_RANGE, ID_RANGE, TICK_RANGE, running_sum, with_previous
+
 #: Month and day of the days on which the market is closed or nearly so, at a gap's start and end.
 HOLIDAY_STARTS, HOLIDAY_ENDS = ("12-24", "12-25", "12-31", "01-01"), ("12-25", "12-26", "01-01", "01-02")
 HOUR = 3600
@@ -29,7 +31,7 @@ def gap_class(start: Column, end: Column) -> Column:
 
 
 def _steps(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("start_time", F.lag("time").over(Window.partitionBy("symbol").orderBy("time"))).withColumn("seconds", F.col("time") - F.col("start_time"))
+    return with_previous(bars.select("symbol", "time"), ["symbol"], ["time"], {"start_time": "time"}, BAR_RANGE).withColumn("seconds", F.col("time") - F.col("start_time"))
 
 
 def gaps(bars: DataFrame, step: int) -> DataFrame:
@@ -68,8 +70,8 @@ def intensity(ticks: DataFrame, minutes: tuple[int, ...]) -> DataFrame:
 
 def direction(ticks: DataFrame, bits: tuple[int, ...]) -> DataFrame:
     """A10: rises, falls and unchanged quotes, and flag bits."""
-    w = Window.partitionBy("symbol").orderBy("event_id")
-    moves = ticks.select("symbol", "flags", *(F.signum(F.col(c) - F.lag(c).over(w)).alias(c) for c in ("bid", "ask")))
+    quotes = with_previous(ticks.select("symbol", "event_id", "flags", "bid", "ask"), ["symbol"], ["event_id"], {"_bid": "bid", "_ask": "ask"}, ID_RANGE)
+    moves = quotes.select("symbol", "flags", *(F.signum(F.col(c) - F.col(f"_{c}")).alias(c) for c in ("bid", "ask")))
     counts = [F.count_if(F.col(c) * s > 0 if s else F.col(c) == 0).alias(f"{c}_{n}") for c in ("bid", "ask") for n, s in (("up", 1), ("down", -1), ("same", 0))]
     flags = [F.count_if(F.col("flags").bitwiseAND(b) > 0).alias(f"n_flag_{b}") for b in bits]
     return moves.groupBy("symbol").agg(*counts, (F.count_if(F.col("bid") > 0) / (F.count("*") - 1.0)).alias("bid_up_share"), *flags)
@@ -116,17 +118,17 @@ def sessions(ticks: DataFrame) -> DataFrame:
 
 def coverage(ticks: DataFrame, most_gap_msc: int) -> DataFrame:
     """Runs of ticks with no gap beyond the limit."""
-    w = Window.partitionBy("symbol").orderBy("time_msc")
-    cut = F.when(F.col("time_msc") - F.lag("time_msc").over(w) > most_gap_msc, 1).otherwise(0)
-    islands = ticks.select("symbol", "time_msc", cut.alias("cut")).withColumn("island", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stepped = with_previous(ticks.select("symbol", "time_msc"), ["symbol"], ["time_msc"], {"_before": "time_msc"}, TICK_RANGE)
+    cut = F.when(F.col("time_msc") - F.col("_before") > most_gap_msc, 1).otherwise(0)
+    islands = running_sum(stepped.withColumn("cut", cut), ["symbol"], "time_msc", "cut", "island", TICK_RANGE)
     return islands.groupBy("symbol", "island").agg(F.min("time_msc").alias("start_msc"), F.max("time_msc").alias("end_msc"), F.count("*").alias("n_ticks"))
 
 
-def drop_adjacent(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """Rows that differ from their predecessor in one of the columns."""
-    w = Window.partitionBy("symbol").orderBy(order)
-    same = reduce(lambda a, b: a & b, (F.lag(c).over(w).eqNullSafe(F.col(c)) for c in columns)) & (F.row_number().over(w) > 1)
-    return df.withColumn("_same", same).filter("not _same").drop("_same")
+def drop_adjacent(df: DataFrame, columns: list[str], order: list[str], width: int) -> DataFrame:
+    """Rows that differ from their predecessor in one of the columns; ranges of `width` as in `with_previous`."""
+    before = with_previous(df.withColumn("_row", F.lit(True)), ["symbol"], order, {"_known": "_row"} | {f"_b{k}": c for k, c in enumerate(columns)}, width)
+    same = reduce(lambda a, b: a & b, (F.col(f"_b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(columns)), F.col("_known").isNotNull())
+    return before.filter(~same).select(*df.columns)
 
 
 def merge_extracts(extracts: list[DataFrame]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from tickloom.operators.frames import BAR_RANGE, ID_RANGE, with_previous
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType
 
 PRICES = ("open", "high", "low", "close")
@@ -35,10 +37,15 @@ def validate_schema(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "check string, column string")
 
 
-def validate_timestamps(df: DataFrame, sequence: str, time: str = "time") -> DataFrame:
-    """Non-positive, null and duplicate times, order violations by ingest sequence, bounds."""
-    step = F.col(time) - F.lag(time).over(Window.partitionBy("symbol").orderBy(sequence))
-    return df.withColumn("_step", step).groupBy("symbol").agg(
+def _stepped(df: DataFrame, name: str) -> DataFrame:
+    """Adds the seconds since the bar before."""
+    return with_previous(df, ["symbol"], ["time"], {"_prior": "time"}, BAR_RANGE).withColumn(name, F.col("time") - F.col("_prior")).drop("_prior")
+
+
+def validate_timestamps(df: DataFrame, sequence: list[str], time: str = "time", width: int = ID_RANGE) -> DataFrame:
+    """Non-positive, null and duplicate times, order violations by ingest sequence (in ranges of `width` of its first column), bounds."""
+    stepped = with_previous(df.select("symbol", time, *sequence), ["symbol"], sequence, {"_prior": time}, width)
+    return stepped.withColumn("_step", F.col(time) - F.col("_prior")).groupBy("symbol").agg(
         F.count("*").alias("n_rows"),
         _sum_if(F.col(time).isNull()).alias("n_null"),
         _sum_if(F.col(time) <= 0).alias("n_non_positive"),
@@ -100,8 +107,7 @@ def duplicates_and_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
 def validate_market_data(df: DataFrame, step: int) -> DataFrame:
     """Critical errors and warnings of each symbol, PASS or FAIL."""
     counts = ohlc_counts()
-    gap = F.col("time") - F.lag("time").over(Window.partitionBy("symbol").orderBy("time"))
-    got = df.withColumn("_gap", gap).groupBy("symbol").agg(
+    got = _stepped(df, "_gap").groupBy("symbol").agg(
         *(c.alias(n) for n, c in counts.items()),
         (F.count("time") - F.count_distinct("time")).alias("n_duplicate"),
         _sum_if(F.col("spread") < 0).alias("n_negative_spread"),
@@ -116,8 +122,7 @@ def validate_market_data(df: DataFrame, step: int) -> DataFrame:
 
 def validate_bar_records(df: DataFrame) -> DataFrame:
     """Ranges of step, volume and spread of raw bars."""
-    step = F.col("time") - F.lag("time").over(Window.partitionBy("symbol").orderBy("time"))
-    return df.withColumn("_step", step).groupBy("symbol").agg(
+    return _stepped(df, "_step").groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.min("_step").alias("min_step"), F.max("_step").alias("max_step"), F.min("tick_volume").alias("min_volume"), F.max("tick_volume").alias("max_volume"),
         F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"), _sum_if(F.col("high") < F.col("low")).alias("n_inverted"), _sum_if(F.col("_step") <= 0).alias("n_bad_step"),
     )
@@ -125,10 +130,9 @@ def validate_bar_records(df: DataFrame) -> DataFrame:
 
 def validate_swing_data(df: DataFrame, seconds: int) -> DataFrame:
     """Order, duplicates, geometry, positivity, and gaps beyond 1.5 bars."""
-    step = F.col("time") - F.lag("time").over(Window.partitionBy("symbol").orderBy("time"))
     h, l = F.col("high"), F.col("low")
     geometry = (h < l) | (h < F.greatest("open", "close")) | (l > F.least("open", "close"))
-    return df.withColumn("_step", step).groupBy("symbol").agg(
+    return _stepped(df, "_step").groupBy("symbol").agg(
         F.count("*").alias("n_rows"), (F.count("*") - F.count_distinct("time")).alias("n_duplicate"), _sum_if(geometry).alias("n_geometry"), _sum_if(_some(*(F.col(p) <= 0 for p in PRICES))).alias("n_non_positive"),
         _sum_if(_some(*(F.col(p).isNull() for p in PRICES))).alias("n_null"), _sum_if(F.col("_step") > 1.5 * seconds).alias("n_gaps"), F.max("_step").alias("max_gap"),
     )
@@ -136,9 +140,9 @@ def validate_swing_data(df: DataFrame, seconds: int) -> DataFrame:
 
 def validate_ticks(df: DataFrame) -> DataFrame:
     """Order, repeated milliseconds and quotes, spreads, and times between ticks."""
-    w = Window.partitionBy("symbol").orderBy("event_id")
-    gap = F.col("time_msc") - F.lag("time_msc").over(w)
-    same = (F.lag("bid").over(w) == F.col("bid")) & (F.lag("ask").over(w) == F.col("ask"))
+    df = with_previous(df.select("symbol", "event_id", "time_msc", "bid", "ask"), ["symbol"], ["event_id"], {"_msc": "time_msc", "_bid": "bid", "_ask": "ask"}, ID_RANGE)
+    gap = F.col("time_msc") - F.col("_msc")
+    same = (F.col("_bid") == F.col("bid")) & (F.col("_ask") == F.col("ask"))
     at = F.percentile("_gap", F.array(F.lit(0.5), F.lit(0.95)))
     return (
         df.withColumn("_gap", gap)
@@ -191,15 +195,16 @@ def normalised_ticks(df: DataFrame, offset_hours: int) -> DataFrame:
 
 def replay_checks(df: DataFrame, cutoff: int) -> DataFrame:
     """Replay-grade reason for each bar, and the price to replay."""
-    w = Window.partitionBy("symbol").orderBy("time")
+    columns = df.columns
+    df = with_previous(df, ["symbol"], ["time"], {"_prior": "time"}, BAR_RANGE)
     box = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.col("low"))
     reason = (
         F.when(F.col("time") >= cutoff, "QUARANTINED")
-        .when(F.col("time") == F.lag("time").over(w), "DUPLICATE")
+        .when(F.col("time") == F.col("_prior"), "DUPLICATE")
         .when(_some(*(F.col(p).isNull() | (F.col(p) <= 0) for p in PRICES)), "BAD_PRICE")
         .when(box, "BAD_OHLC")
     )
-    return df.withColumn("reason", reason).withColumn("mid", (F.col("high") + F.col("low")) / 2).withColumn("last", F.coalesce(F.col("close"), F.col("mid")))
+    return df.select(*columns, reason.alias("reason")).withColumn("mid", (F.col("high") + F.col("low")) / 2).withColumn("last", F.coalesce(F.col("close"), F.col("mid")))
 
 
 def locked_period(df: DataFrame, cutoff: int, unlocked: bool = False) -> DataFrame:

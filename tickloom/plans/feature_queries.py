@@ -241,11 +241,11 @@ def j03(spark, sf_dir):
     f"{_J03}, n AS (SELECT *, row_number() OVER (ORDER BY time) - 1 AS i, {', '.join(f'{_RET(s, 1)} AS r_{s}' for s in _C)} FROM wide), b AS (SELECT *, {'(0.0 + ' + ' + '.join(f'{sign / len(SIGNS)!r}*r_{s}' for s, sign in SIGNS.items()) + ')'} AS basket FROM n) SELECT time, {q.rounded(_W08, 6)} FROM b",
 )
 def w08(spark, sf_dir):
-    from tickloom.operators.frames import with_row_index
+    from tickloom.operators.frames import BAR_RANGE, in_blocks, with_row_index
 
     wide = features.aligned(bars(spark, sf_dir, H4), "click", SYMBOLS).withColumn("market", F.lit("all"))
-    indexed = with_row_index(wide, ["market"], "time", 86_400 * 30)
-    out = features.cross_market(indexed, "click", SYMBOLS, SIGNS, Frame("market"))
+    indexed = with_row_index(wide, ["market"], "time", BAR_RANGE)
+    out = in_blocks(indexed, ["market"], lambda df, f: features.cross_market(df, "click", SYMBOLS, SIGNS, f), 64, 0, 4096)
     return rounded(out, *(c for c in out.columns if c != "time"), digits=6)
 
 

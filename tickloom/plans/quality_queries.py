@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import micro, quality, rollup
+from tickloom.operators.frames import ID_RANGE
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.sources import readers
@@ -68,8 +69,8 @@ def v01(spark, sf_dir):
     f"WITH {q.TICKS}, s AS (SELECT *, time_msc//1000 AS time, (time_msc//1000) - lag(time_msc//1000) OVER (PARTITION BY symbol ORDER BY event_id * 7919 % 10007, event_id) AS step FROM ticks) SELECT symbol, count(*) AS n_rows, {q.count_if('time IS NULL')} AS n_null, {q.count_if('time <= 0')} AS n_non_positive, count(time) - count(DISTINCT time) AS n_duplicate, {q.count_if('step < 0')} AS n_out_of_order, min(time) AS first_time, max(time) AS last_time FROM s GROUP BY symbol",
 )
 def v02(spark, sf_dir):
-    shuffled = ticks(spark, sf_dir).withColumn("time", F.expr("time_msc div 1000")).withColumn("sequence", F.struct(F.col("event_id") * 7919 % 10007, "event_id"))
-    return quality.validate_timestamps(shuffled, "sequence")
+    shuffled = ticks(spark, sf_dir).withColumn("time", F.expr("time_msc div 1000")).withColumn("sequence", F.col("event_id") * 7919 % 10007)
+    return quality.validate_timestamps(shuffled, ["sequence", "event_id"], width=512)
 
 
 @query("V03_utc_timestamp", f"{q.bars_with(H4)} SELECT symbol, time, strftime(make_timestamp(time*1000000), '%Y-%m-%d %H:%M:%S') AS utc FROM bars")
@@ -345,7 +346,7 @@ def a25(spark, sf_dir):
 @query("K05_adjacent_dedupe", f"WITH {q.TICKS}, d AS (SELECT symbol, event_id, time_msc//60000 AS minute, floor(spread_points/25) AS level FROM ticks) SELECT symbol, event_id, minute, level FROM d WINDOW w AS (PARTITION BY symbol ORDER BY event_id) QUALIFY NOT coalesce(lag(minute) OVER w = minute AND lag(level) OVER w = level, false)")
 def k05(spark, sf_dir):
     coarse = ticks(spark, sf_dir).select("symbol", "event_id", F.expr("time_msc div 60000").alias("minute"), F.floor(F.col("spread_points") / 25).cast("double").alias("level"))
-    return micro.drop_adjacent(coarse, ["minute", "level"], "event_id")
+    return micro.drop_adjacent(coarse, ["minute", "level"], ["event_id"], ID_RANGE)
 
 
 @query("O01_merge_extracts", f"{q.bars_with(H4)}, u AS (SELECT *, 1 AS p FROM bars WHERE time < 1705300000 UNION ALL SELECT *, 2 AS p FROM bars WHERE time >= 1704900000), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, time ORDER BY p) AS rn FROM u) SELECT symbol, time, round(close,8)+0.0 AS close, p AS extract FROM r WHERE rn = 1")

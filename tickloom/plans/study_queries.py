@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom import streaming
 from tickloom.operators import asof, features, micro, splits, studies
-from tickloom.operators.frames import Frame, with_row_index
+from tickloom.operators.frames import TICK_RANGE, Frame, with_row_index
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.feature_queries import SWING, staged
@@ -181,7 +181,7 @@ def o03(spark, sf_dir):
     """The archive and windows that were fetched again: a union, and equal neighbours once."""
     t = ticks(spark, sf_dir).select("symbol", "event_id", "time_msc", "bid")
     whole = t.unionByName(t.filter("time_msc % 7 < 3"))
-    once = micro.drop_adjacent(whole.withColumn("place", F.struct("time_msc", "event_id")), ["event_id", "bid"], "place")
+    once = micro.drop_adjacent(whole, ["event_id", "bid"], ["time_msc", "event_id"], TICK_RANGE)
     return once.groupBy("symbol").agg(F.count("*").alias("n_ticks"), F.min("time_msc").alias("first_msc"), F.max("time_msc").alias("last_msc"))
 
 
