@@ -250,3 +250,16 @@ def feature_quality(features: DataFrame, names: list[str], time: str = "time", m
     lookback = F.coalesce(F.array_max(F.transform(F.regexp_extract_all("feature", F.lit(r"(\d+)"), F.lit(1)), lambda d: d.cast("int"))), F.lit(0))
     rejected = (F.col("n_missing") * 100.0 / F.col("n_rows") > most_missing) | (F.col("n_infinite") > 0) | (F.coalesce("variance", F.lit(0.0)) < 1e-12)
     return out.withColumn("missing_pct", F.col("n_missing") * 100.0 / F.col("n_rows")).withColumn("lookback", lookback).withColumn("status", F.when(rejected, "REJECTED").otherwise("OK"))
+
+
+def feature_metadata(features: DataFrame, names: list[str]) -> DataFrame:
+    """Per feature: missing and infinite counts, bounds, mean, deviation, its group (the name's first word) and the group's size."""
+    long = features.select(*names).unpivot([], names, "feature", "value").withColumn("value", F.col("value").cast("double"))
+    infinite = F.col("value").isin(float("inf"), float("-inf"))
+    v = F.when(~F.isnan("value") & ~infinite, F.col("value"))
+    out = long.groupBy("feature").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("n_missing"), F.count_if(infinite).alias("n_infinite"),
+        F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.stddev_samp(v).alias("std_value"),
+    )
+    out = out.withColumn("missing_pct", F.col("n_missing") * 100.0 / F.col("n_rows")).withColumn("feature_group", F.substring_index("feature", "_", 1))
+    return out.withColumn("n_in_group", F.count("*").over(Window.partitionBy("feature_group")))  # one row a feature

@@ -181,9 +181,13 @@ def r06(spark, sf_dir):
     return streaming.replay(streaming.once(quotes.unionByName(quotes), ["event_id"])).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("R07_outages")
+# a run ends 300 s after its last tick, and is written when the watermark, one day behind the newest tick, has passed its end
+_RUNS = "t AS (SELECT event_type AS symbol, epoch_us(ts) AS us, event_id FROM events), s AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 300000000 THEN 0 ELSE 1 END AS cut FROM t WINDOW w AS (PARTITION BY symbol ORDER BY us, event_id)), i AS (SELECT *, sum(cut) OVER (PARTITION BY symbol ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM s)"
+
+
+@query("R07_outages", f"WITH {_RUNS} SELECT symbol, min(us)//1000000 AS start_time, count(*) AS n_ticks FROM i GROUP BY symbol, run HAVING max(us) + 300000000 <= (SELECT max(us)//1000*1000 FROM t) - 86400000000")
 def r07(spark, sf_dir):
-    """Rows only: sessions that the watermark has closed."""
+    """Sessions that the watermark has closed."""
     return streaming.replay(streaming.outages(streaming.read_quotes(spark, f"{sf_dir}/events.parquet")))
 
 
