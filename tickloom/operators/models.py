@@ -21,13 +21,13 @@ def _weighted(df: DataFrame, balanced: bool) -> DataFrame:
     return df.join(F.broadcast(both.select("label", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))), "label")
 
 
-def logistic(train: DataFrame, features: list[str], c: float = 1.0, balanced: bool = False) -> PipelineModel:
-    """Scaled on the train rows only, multinomial, L2 with strength 1 / (C n)."""
+def logistic(train: DataFrame, features: list[str], c: float = 1.0, balanced: bool = False, iterations: int = 50) -> PipelineModel:
+    """Scaled on the train rows only, multinomial, L2 with strength 1 / (C n), at most so many iterations."""
     n = train.count()
     stages = [
         VectorAssembler(inputCols=features, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), weightCol="weight", maxIter=50),
+        LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), weightCol="weight", maxIter=iterations),
     ]
     return Pipeline(stages=stages).fit(_weighted(train, balanced))
 
