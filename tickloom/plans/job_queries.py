@@ -1,4 +1,4 @@
-"""Queries of whole jobs and of feature metadata."""
+"""Queries of whole jobs and of feature metadata."""
 
 from __future__ import annotations
 
@@ -80,10 +80,6 @@ def _logistic(train, names):
     return models.logistic(train, names, iterations=10)  # a few seconds each; differences between runs are what is shown
 
 
-def _forest(train, names):
-    return models.forest(train, names, trees=5, depth=3)
-
-
 @query("M06_ablation")
 def m06(spark, sf_dir):
     """Rows only: a logistic model without and with groups of features, fold by fold."""
@@ -91,25 +87,9 @@ def m06(spark, sf_dir):
     return jobs.ablation(folded, {"returns": FEATURES[:2], "all": FEATURES}, 2, _logistic)
 
 
-@query("C07_baselines")
-def c07(spark, sf_dir):
-    """Rows only: majority, plain and weighted models on the validation rows."""
-    table = splits.split(dataset(spark, sf_dir)).persist()
-    fits = {"logistic": _logistic, "logistic_balanced": lambda t, f: models.logistic(t, f, balanced=True, iterations=10), "forest": _forest}
-    return jobs.held_out(table, FEATURES, fits, ("validation",))
-
-
 @query("C08_final_test")
 def c08(spark, sf_dir):
     """Rows only: scores on validation and test rows, and what a model loses between them."""
     scores = jobs.held_out(splits.split(dataset(spark, sf_dir)).persist(), FEATURES, {"logistic": _logistic}, ("validation", "test"))
     both = scores.groupBy("model").pivot("split", ["validation", "test"]).agg(F.first("accuracy").alias("accuracy"), F.first("balanced_accuracy").alias("balanced_accuracy"))
     return both.withColumn("fall", F.col("validation_balanced_accuracy") - F.col("test_balanced_accuracy"))
-
-
-@query("C09_horizon_comparison")
-def c09(spark, sf_dir):
-    """Rows only: embargoed folds, the base features against all, and whether the gains are positive."""
-    folded = splits.folds(dataset(spark, sf_dir), 300, 2, 8, 4).persist()
-    gains = jobs.ablation(folded, {"base": FEATURES[:3], "candidate": FEATURES}, 2, _logistic).filter("feature_set = 'candidate'")
-    return gains.agg(F.count("*").alias("n_folds"), F.avg("gain").alias("mean_gain"), F.count_if(F.col("gain") > 0).alias("n_better"), F.max("fall").alias("largest_fall"))
