@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WATERMARK = "1 day"
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """Shared folder of checkpoints and replayed results; a temporary one only where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -26,16 +28,23 @@ def _folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes a step of an iteration to the shared folder and reads it back, which cuts the lineage."""
-    path = _folder(df.sparkSession)
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def read_quotes(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """Quotes from a growing folder of Parquet files with the event schema."""
+    """Quotes from a growing folder of Parquet files with the event schema, or from one such file."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet" if path.endswith("/") else name if name.endswith(".parquet") else "*.parquet").parquet(folder)
+    if _is_folder(spark, path):
+        folder, name = path.rstrip("/"), "*.parquet"
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name).parquet(folder)
     ts = F.col("ts").cast("timestamp")
     bid = F.lit(1.0) + F.col("value") / 1000.0
     k = F.get_json_object("props", "$.k").cast("double")
@@ -91,7 +100,7 @@ def with_slow_table(bars: DataFrame, slow: DataFrame) -> DataFrame:
 def replay(result: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming DataFrame over all files that are there, with a checkpoint, and reads what it wrote."""
     spark = result.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     if mode == "append":
         result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(result.schema).parquet(f"{folder}/out")
@@ -103,3 +112,79 @@ def replay(result: DataFrame, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     last = query.lastProgress["batchId"]
     return spark.read.schema(result.schema).parquet(f"{folder}/out/{last}")
+
+
+def replay_in_parts(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Parts of a table arrive one after another; after each, the stream resumes from its checkpoint and runs to the end.
+
+    `transform` maps the stream of quotes; the result is what one replay over all parts gives.
+    """
+    spark = parts[0].sparkSession
+    folder = shared_folder(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        result = transform(read_quotes(spark, f"{folder}/in"))
+        result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{folder}/out")
+
+
+#: Bars of each symbol that live evaluation keeps, and that it needs for whole features.
+HISTORY, WARMUP = 250, 81
+
+
+def with_features(bars: DataFrame, names: list[str], columns: list[str], warmup: int = WARMUP) -> DataFrame:
+    """Features with a status: WARMUP (too little history), MISSING or INFINITE (some value of the vector), else OK."""
+    from tickloom.operators import features
+
+    made = features.build(bars, names).select("symbol", "time", "bar_idx", *columns)
+    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() | F.isnan(c) for c in columns))
+    infinite = reduce(lambda a, b: a | b, (F.abs(F.col(c)) == float("inf") for c in columns))
+    status = F.when(F.col("bar_idx") + 1 < warmup, "WARMUP").when(missing, "MISSING").when(infinite, "INFINITE").otherwise("OK")
+    return made.withColumn("status", status).drop("bar_idx")
+
+
+def with_calls(rows: DataFrame, score: Callable[[DataFrame], DataFrame], step: int, at: int, threshold: float = 0.6) -> DataFrame:
+    """BUY, SELL or NONE with its reason for bars with `status`; only sound bars that are complete at `at` are scored.
+
+    `score` adds p_short, p_neutral and p_long. The first of the largest decides; equal to the threshold is enough.
+    """
+    late = F.col("time") + step > at
+    marked = rows.withColumn("_bad", F.when(late, "LOOKAHEAD").when(F.col("status") != "OK", F.col("status")))
+    scored = score(marked.filter("_bad is null"))
+    none = F.lit(None).cast("double")
+    rest = marked.filter("_bad is not null").withColumns({"p_short": none, "p_neutral": none, "p_long": none})
+    both = scored.unionByName(rest.select(*scored.columns))
+    short = (F.col("p_short") >= F.col("p_neutral")) & (F.col("p_short") >= F.col("p_long"))
+    neutral = ~short & (F.col("p_neutral") >= F.col("p_long"))
+    sure = F.greatest("p_short", "p_long") >= threshold
+    reason = F.coalesce("_bad", F.when(neutral, "PREDICTED_NEUTRAL_HOLD").when(sure, "CONFIDENCE_THRESHOLD_MET").otherwise("CONFIDENCE_BELOW_THRESHOLD"))
+    action = F.when(F.col("_bad").isNotNull() | neutral | ~sure, "NONE").when(short, "SELL").otherwise("BUY")
+    return both.withColumns({"action": action, "reason": reason, "confidence": F.greatest("p_short", "p_long")}).drop("_bad")
+
+
+def live(bars: DataFrame, work: Callable[[DataFrame], DataFrame], history: int = HISTORY) -> DataFrame:
+    """Maps each micro-batch of new bars, with the newest `history` bars of each symbol before it, by `work`.
+
+    Of what `work` gives (with symbol and time), the rows of new bars stay. Features that look back fewer than
+    `history` bars equal the batch's; exponential filters start at the history's first bar. The history is a table of
+    each batch in the shared folder, so a batch that is run again finds what its first run found.
+    """
+    spark = bars.sparkSession
+    folder = shared_folder(spark)
+    schema = spark.createDataFrame([], bars.schema).withColumn("_new", F.lit(True)).schema
+    made = work(spark.createDataFrame([], bars.schema))
+    made.limit(0).write.parquet(f"{folder}/out/none")
+
+    def step(batch: DataFrame, number: int) -> None:
+        both = batch.withColumn("_new", F.lit(True))
+        if number:
+            both = both.unionByName(spark.read.schema(bars.schema).parquet(f"{folder}/held/{number - 1}").withColumn("_new", F.lit(False)))
+        both.write.mode("overwrite").parquet(f"{folder}/both/{number}")
+        both = spark.read.schema(schema).parquet(f"{folder}/both/{number}")
+        newest = Window.partitionBy("symbol").orderBy(F.desc("time"))
+        both.drop("_new").withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= history).drop("_rn").write.mode("overwrite").parquet(f"{folder}/held/{number}")
+        new = both.filter("_new").select("symbol", "time")
+        work(both.drop("_new")).join(new, ["symbol", "time"], "left_semi").write.mode("overwrite").parquet(f"{folder}/out/{number}")
+
+    bars.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out/*")
