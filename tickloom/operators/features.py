@@ -365,8 +365,10 @@ def build(bars: DataFrame, names: list[str], block_rows: int | None = 4096) -> D
     """Symbol, time, bar_idx and the features of the named blocks, as one plan without joins between blocks.
 
     Long series are cut into blocks of `block_rows` rows with halos, and each block is a task's work; None leaves a symbol whole.
+    A price of zero counts as missing, so that no ratio divides by it.
     """
     specs = [REGISTRY[n] for n in names]
+    bars = bars.withColumns({c: F.nullif(c, F.lit(0.0)) for c in ("open", "high", "low", "close") if c in bars.columns})
     start = with_filters(bars) if any(s.needs_filters for s in specs) else with_row_index(bars, ["symbol"], "time", 86_400 * 30)
 
     def apply(df: DataFrame, f: Frame) -> DataFrame:
