@@ -177,3 +177,21 @@ def test_labels_do_not_depend_on_blocks(walk):
         for t, r in whole.items():
             for a, b in zip(r, parts[t], strict=True):
                 assert a == b or (a is not None and b is not None and a == pytest.approx(b, rel=1e-9, abs=1e-9))
+
+
+def test_running_folds_equal_one_window(spark):
+    """Sums and maxima across ranges, with null keys, places and values, ties and a range without values."""
+    from pyspark.sql import Window
+
+    from tickloom.operators.frames import running
+
+    rng = random.Random(3)
+    days = sorted(rng.sample(range(900), 70)) + [None, 4000]
+    rows = [(k, d, i, None if rng.random() < 0.2 or (k == "A" and d is not None and d < 60) else rng.randint(-9, 9)) for k in ("A", "B", None) for d in days for i in range(2)]
+    df = spark.createDataFrame(rows, "k string, d int, i int, x int").select("k", F.date_add(F.lit("2000-01-01").cast("date"), F.col("d")).alias("day"), "i", "x")
+    w = Window.partitionBy("k").orderBy("day", "i").rowsBetween(Window.unboundedPreceding, 0)
+    for fold in (F.sum, F.max):
+        want = df.withColumn("v", fold("x").over(w)).collect()
+        got = running(df, ["k"], ["day", "i"], fold, "x", "v", 30 * 86_400).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert running(df.filter("x > 99"), ["k"], ["day", "i"], F.max, "x", "v", 86_400).count() == 0

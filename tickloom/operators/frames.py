@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,6 +125,11 @@ def in_blocks(df: DataFrame, keys: list[str], apply: Callable[[DataFrame, Frame]
     return done.filter(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 
+def over_blocks(df: DataFrame, apply: Callable[[DataFrame, Frame], DataFrame], lookback: int, lookahead: int = 0, block_rows: int = 4096, width: int = 86_400 * 30) -> DataFrame:
+    """`in_blocks` on bars (symbol, time) that have no row index yet; `apply` adds columns."""
+    return in_blocks(with_row_index(df, ["symbol"], "time", width), ["symbol"], apply, lookback, lookahead, block_rows).drop("bar_idx")
+
+
 def exponential(df: DataFrame, keys: list[str], filters: dict[str, tuple[Column, float, int]], index: str = "bar_idx", rows: int = 128) -> DataFrame:
     """Adds recursive filters y = alpha * x + (1 - alpha) * y_before, the first value being x itself.
 
@@ -150,3 +156,21 @@ def exponential(df: DataFrame, keys: list[str], filters: dict[str, tuple[Column,
     joined = partial.join(carry, [*keys, "_sub"])
     out = {name: F.when(F.col(index) >= first, F.col(f"_{name}") + F.pow(F.lit(1.0 - alpha), F.col("_at") + 1) * F.col(f"_in_{name}")) for name, (_, alpha, first) in filters.items()}
     return joined.withColumns(out).drop("_sub", "_at", *parts, *carried)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Column], Column], value: str, name: str, width: int) -> DataFrame:
+    """Adds the sum or maximum (`fold`) of `value` up to each row of the key's order, nulls passed over.
+
+    Rows fold inside ranges of `width` seconds of the first order column, a date or an instant; one row a range carries
+    what earlier ranges gave. Null keys are a key, and rows without a place come first.
+    """
+    place = F.floor(F.col(order[0]).cast("timestamp").cast("long") / width)
+    marked = df.withColumn("_range", F.coalesce(place, F.lit(-(1 << 62))).cast("long"))
+    ends = marked.groupBy(*keys, "_range").agg(fold(value).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), F.col("_range").alias("_at"), fold("_end").over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)), F.col("_range") == F.col("_at"))
+    joined = marked.withColumn("_own", fold(value).over(inside)).join(carried, same)
+    both = F.greatest("_own", "_carry") if fold is F.max else F.coalesce(F.col("_carry") + F.col("_own"), "_own", "_carry")
+    return joined.withColumn(name, both).drop("_range", "_own", "_at", "_carry", *(f"_key_{i}" for i in range(len(keys))))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.frames import BAR_RANGE, running
+
 
 
 def drawdown(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Cumulative result, its running maximum (without a leading zero) and drawdown, for each key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("equity", F.sum("net_pnl").over(w)).withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", F.col("peak") - F.col("equity"))
+    equity = running(trades, keys, order, F.sum, "net_pnl", "equity", BAR_RANGE)
+    return running(equity, keys, order, F.max, "equity", "peak", BAR_RANGE).withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 
 def performance(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

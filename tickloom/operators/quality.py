@@ -215,9 +215,10 @@ def locked_period(df: DataFrame, cutoff: int, unlocked: bool = False) -> DataFra
 def audit_chain(events: DataFrame) -> DataFrame:
     """Checks a hash chain in parallel: first failing sequence, counts of broken links and of wrong hashes."""
     genesis = "0" * 64
-    before = F.coalesce(F.lag("event_hash").over(Window.partitionBy("ledger").orderBy("sequence")), F.lit(genesis))
+    before = F.coalesce(F.col("_before"), F.lit(genesis))
     own = F.sha2(F.concat_ws(":", "prev_hash", "event_id", "timestamp", "event_type", "payload"), 256)
-    marked = events.withColumn("_link", F.col("prev_hash") != before).withColumn("_hash", F.col("event_hash") != own)
+    linked = with_previous(events, ["ledger"], ["sequence"], {"_before": "event_hash"}, ID_RANGE)
+    marked = linked.withColumn("_link", F.col("prev_hash") != before).withColumn("_hash", F.col("event_hash") != own)
     return marked.groupBy("ledger").agg(
         F.count("*").alias("n_events"), F.count_if("_link").alias("n_broken_links"), F.count_if("_hash").alias("n_wrong_hashes"), F.min(F.when(F.col("_link") | F.col("_hash"), F.col("sequence"))).alias("first_failure"),
     )

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tickloom.operators.frames import Frame, over_blocks
+
 
 def autocorrelation(df: DataFrame, names: list[str], lags: tuple[int, ...]) -> DataFrame:
     """Pearson correlation of each series with itself some rows earlier; all lags and series in one pass."""
-    long = df.unpivot(["symbol", "time"], names, "series", "value")
-    w = Window.partitionBy("series", "symbol").orderBy("time")
-    pairs = long.withColumn("x", F.array(*(F.struct(F.lit(k).alias("lag"), F.lag("value", k).over(w).alias("before")) for k in lags)))
-    return pairs.select("series", "value", F.explode("x").alias("x")).groupBy("series", F.col("x.lag").alias("lag")).agg(F.corr("value", "x.before").alias("autocorrelation"))
+
+    def add(rows: DataFrame, f: Frame) -> DataFrame:
+        return rows.withColumn("x", F.array(*(F.struct(F.lit(n).alias("series"), F.lit(k).alias("lag"), F.col(n).alias("value"), f.lag(n, k).alias("before")) for n in names for k in lags)))
+
+    pairs = over_blocks(df.select("symbol", "time", *names), add, max(lags)).select(F.explode("x").alias("x")).select("x.*")
+    return pairs.groupBy("series", "lag").agg(F.corr("value", "before").alias("autocorrelation"))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, explore, micro
+from tickloom.operators.frames import BAR_RANGE, running
 
 
 def persistence(past_return: Column) -> Column:
@@ -169,11 +170,7 @@ def split_report(usable: DataFrame, horizons: tuple[int, ...], embargo: int, tra
 
 def drawdown_alerts(equity: DataFrame, keys: list[str], order: list[str], limit_pct: float) -> DataFrame:
     """Running peak, fall from it in percent, and whether it passes the limit; in time order of each account."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.max("equity").over(w)
-    fall = (peak - F.col("equity")) * 100.0 / peak
-    return equity.withColumn("peak", peak).withColumn("drawdown_pct", fall).withColumn("is_alert", fall > limit_pct)
+    fall = (F.col("peak") - F.col("equity")) * 100.0 / F.nullif(F.col("peak"), F.lit(0.0))
+    return running(equity, keys, order, F.max, "equity", "peak", BAR_RANGE).withColumn("drawdown_pct", fall).withColumn("is_alert", F.col("drawdown_pct") > limit_pct)
 
 

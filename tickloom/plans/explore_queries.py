@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom import streaming
 from tickloom.operators import asof, explore, ledger, stats
-from tickloom.operators.frames import with_row_index
+from tickloom.operators.frames import over_blocks, with_row_index
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.ledger_queries import _EXO, _SECOND, exo_shifted
@@ -150,9 +150,7 @@ def t01(spark, sf_dir):
 
 @query("V30_timing_audit", f"WITH {q.TICKS}, {q.bars(H4, 'h4')}, {q.bars(M15)}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i, lead(time,4) OVER (PARTITION BY symbol ORDER BY time) AS outcome FROM h4), j AS (SELECT s.symbol, s.time, s.i, s.outcome, b.time AS fine FROM s ASOF LEFT JOIN bars b ON s.symbol = b.symbol AND s.time + 13500 >= b.time) SELECT symbol, time, fine AS fine_time, outcome AS outcome_time, fine + 900 <= time + 14400 AND time + 14400 <= outcome AS is_causal FROM j WHERE outcome IS NOT NULL")
 def v30(spark, sf_dir):
-    from tickloom.operators.frames import Frame
-
-    h4 = with_row_index(bars(spark, sf_dir, H4).select("symbol", "time"), ["symbol"], "time", 30 * 86_400).withColumn("outcome_time", Frame("symbol").lead("time", 4)).withColumn("cutoff", F.col("time") + H4 - M15)
+    h4 = over_blocks(bars(spark, sf_dir, H4).select("symbol", "time"), lambda df, f: df.withColumn("outcome_time", f.lead("time", 4)), 0, 4).withColumn("cutoff", F.col("time") + H4 - M15)
     fine = bars(spark, sf_dir).select("symbol", F.col("time").alias("fine_time"))
     out = asof.asof(h4.filter("outcome_time is not null"), fine, ["symbol"], "cutoff", "fine_time", [], 86_400)
     causal = (F.col("fine_time") + M15 <= F.col("time") + H4) & (F.col("time") + H4 <= F.col("outcome_time"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tickloom.operators import features, labels, quality
-from tickloom.operators.frames import Frame
+from tickloom.operators.frames import over_blocks
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.sources.adapters import H1, H4, M15, bars
@@ -183,7 +183,7 @@ for _e in _EST:
 @query("W11_volatility_memory", f"{q.bars_with(H1)}, e AS (SELECT symbol, time, {', '.join(f'{x} AS {n}' for n, x in _EST.items())} FROM bars) SELECT symbol, time, {q.rounded(_W11, 6)} FROM e")
 def w11(spark, sf_dir):
     e = bars(spark, sf_dir, H1).withColumns(features.range_estimators())
-    out = e.select("symbol", "time", *(c.alias(n) for n, c in features.volatility_memory(Frame("symbol")).items()))
+    out = over_blocks(e, lambda df, f: df.withColumns(features.volatility_memory(f)), 72).select("symbol", "time", *_W11)
     return rounded(out, *_W11, digits=6)
 
 
@@ -195,9 +195,8 @@ def _w12_sql(h: int) -> str:
 
 @query("W12_forward_trailing_rv", _w12_sql(6))
 def w12(spark, sf_dir):
-    f = Frame("symbol")
-    b = bars(spark, sf_dir, H4).withColumn("_log_return", features.log_return(f))
-    return rounded(b.select("symbol", "time", *(c.alias(n) for n, c in features.realised_pair(f, 6).items())), "trailing_rv", "forward_rv", digits=6)
+    out = over_blocks(bars(spark, sf_dir, H4), lambda df, f: df.withColumn("_log_return", features.log_return(f)).withColumns(features.realised_pair(f, 6)), 7, 6)
+    return rounded(out.select("symbol", "time", "trailing_rv", "forward_rv"), "trailing_rv", "forward_rv", digits=6)
 
 
 @query(

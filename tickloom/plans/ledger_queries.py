@@ -262,10 +262,9 @@ def o02(spark, sf_dir):
 
 @query("J01_assembled_dataset", f"{_USABLE}, f AS (SELECT symbol, time, {q.mean('close', 20)} AS sma_20 FROM bars) SELECT f.symbol, f.time, round(sma_20,10)+0.0 AS sma_20, round(r4,8)+0.0 AS r4 FROM f JOIN u USING (symbol, time) WHERE sma_20 IS NOT NULL")
 def j01(spark, sf_dir):
-    from tickloom.operators.frames import Frame
+    from tickloom.operators.frames import over_blocks
 
-    b = bars(spark, sf_dir)
-    feats = b.select("symbol", "time", Frame("symbol").mean("close", 20).alias("sma_20"))
+    feats = over_blocks(bars(spark, sf_dir), lambda df, f: df.withColumn("sma_20", f.mean("close", 20)), 20).select("symbol", "time", "sma_20")
     both = feats.join(usable(spark, sf_dir).select("symbol", "time", "r4"), ["symbol", "time"]).dropna(subset=["sma_20", "r4"])
     return rounded(rounded(both, "sma_20", digits=10), "r4")
 

@@ -129,10 +129,9 @@ def p10(spark, sf_dir):
 
 @query("P17_economic_simulation", f"{q.bars_with(H4)}, l AS (SELECT symbol, {q.lead('close', 4)}/close-1.0 AS r, sign(close - {q.lag('close', 4)}) AS y FROM bars), n AS (SELECT symbol, CASE WHEN y <> 0 THEN y*r*10000 - 1.5 END AS net FROM l) SELECT symbol, count(net) AS n_trades, round(avg(CASE WHEN net IS NOT NULL THEN (net>0)::INT END),6)+0.0 AS win_rate, round(avg(net),6)+0.0 AS mean_net, round(sum(net),6)+0.0 AS total_net, coalesce(avg(net)>0,false) AS is_viable FROM n GROUP BY 1")
 def p17(spark, sf_dir):
-    from tickloom.operators.frames import Frame
+    from tickloom.operators.frames import over_blocks
 
-    f = Frame("symbol")
-    p = bars(spark, sf_dir, H4).withColumn("r", f.lead("close", 4) / F.col("close") - 1.0).withColumn("y_pred", F.signum(F.col("close") - f.lag("close", 4)))
+    p = over_blocks(bars(spark, sf_dir, H4), lambda df, f: df.withColumns({"r": f.lead("close", 4) / F.col("close") - 1.0, "y_pred": F.signum(F.col("close") - f.lag("close", 4))}), 4, 4)
     return rounded(evaluate.economic(p, "r", 1.5), "win_rate", "mean_net", "total_net", digits=6)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import micro, quality, rollup
-from tickloom.operators.frames import ID_RANGE
+from tickloom.operators.frames import ID_RANGE, with_previous
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.sources import readers
@@ -224,11 +224,8 @@ SELECT symbol AS ledger, count(*) AS n_events, {q.count_if("link")} AS n_broken_
 )
 def v27(spark, sf_dir):
     """The tables hold no chained ledger, so each event claims a hash of its predecessor's id: every link but the first breaks."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("event_id")
     props = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
-    e = ticks(spark, sf_dir).join(props, "event_id").withColumn("prev_hash", F.coalesce(F.sha2(F.lag("event_id").over(w).cast("string"), 256), F.lit("0" * 64)))
+    e = with_previous(ticks(spark, sf_dir), ["symbol"], ["event_id"], {"id_before": "event_id"}, ID_RANGE).join(props, "event_id").withColumn("prev_hash", F.coalesce(F.sha2(F.col("id_before").cast("string"), 256), F.lit("0" * 64)))
     hashed = F.sha2(F.concat_ws(":", "prev_hash", "event_id", "time_msc", "symbol", "props"), 256)
     events = e.select(F.col("symbol").alias("ledger"), F.col("event_id").alias("sequence"), "event_id", F.col("time_msc").alias("timestamp"), F.col("symbol").alias("event_type"), F.col("props").alias("payload"), "prev_hash", F.when(F.col("event_id") % 1009 == 5, "x").otherwise(hashed).alias("event_hash"))
     return quality.audit_chain(events)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom import streaming
 from tickloom.operators import asof, features, micro, splits, studies
-from tickloom.operators.frames import TICK_RANGE, Frame, with_row_index
+from tickloom.operators.frames import TICK_RANGE, over_blocks, with_row_index
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.feature_queries import SWING, staged
@@ -18,9 +18,11 @@ _CALLS = f"CASE WHEN close > {q.lag('close', 4)} THEN 1.0::DOUBLE ELSE -1.0 END
 
 
 def calls(spark, sf_dir):
-    f = Frame("symbol")
-    later = f.lead("close", 4)
-    made = bars(spark, sf_dir, H4).withColumn("y_pred", studies.persistence(F.col("close") - f.lag("close", 4))).withColumn("y_true", F.when(later > F.col("close"), 1.0).when(later < F.col("close"), -1.0))
+    def add(df, f):
+        later = f.lead("close", 4)
+        return df.withColumn("y_pred", studies.persistence(F.col("close") - f.lag("close", 4))).withColumn("y_true", F.when(later > F.col("close"), 1.0).when(later < F.col("close"), -1.0))
+
+    made = over_blocks(bars(spark, sf_dir, H4), add, 4, 4)
     return made.filter("y_true is not null").select("symbol", "time", "y_pred", "y_true")
 
 
@@ -71,11 +73,14 @@ _RULES = {"BASE": "true", "A": "a", "B": "b", "C": "c", "TWO_OF_THREE": "a::INT+
     f"WITH {q.TICKS}, {q.bars(H4, 'h4')}, {q.bars(M15)}, {_FINE}, c AS (SELECT symbol, time, {_CALLS} FROM h4), k0 AS (SELECT c.*, direction, rsi, trend FROM c ASOF LEFT JOIN fine ON c.symbol = fine.symbol AND c.time + {H4 - M15} >= fine.time WHERE y_true IS NOT NULL), k AS (SELECT y_true, y_pred, coalesce(y_pred = direction, false) AS a, coalesce(CASE WHEN y_pred=1 THEN rsi > 50 ELSE rsi < 50 END, false) AS b, coalesce(CASE WHEN y_pred=1 THEN trend > 0 ELSE trend < 0 END, false) AS c FROM k0), {sliced_sql(_RULES, 'k')}",
 )
 def m20(spark, sf_dir):
-    f = Frame("symbol")
-    change = bars(spark, sf_dir).select("symbol", "time", "open", "close", (F.col("close") - f.lag("close")).alias("dlt"))
-    # a missing change counts as none, as in the counterpart's greatest()
-    up, down = f.mean(F.greatest(F.col("dlt"), F.lit(0.0)), 14), f.mean(F.greatest(-F.col("dlt"), F.lit(0.0)), 14)
-    fine = change.select("symbol", F.col("time").alias("fine_time"), F.signum(F.col("close") - F.col("open")).alias("direction"), F.round(100.0 * up / F.nullif(up + down, F.lit(0.0)), 8).alias("rsi"), F.round(F.col("close") / f.mean("close", 20) - 1, 10).alias("trend"))
+    def add(df, f):
+        change = df.withColumn("dlt", F.col("close") - f.lag("close"))
+        # a missing change counts as none, as in the counterpart's greatest()
+        up, down = f.mean(F.greatest(F.col("dlt"), F.lit(0.0)), 14), f.mean(F.greatest(-F.col("dlt"), F.lit(0.0)), 14)
+        return change.withColumns({"rsi": F.round(100.0 * up / F.nullif(up + down, F.lit(0.0)), 8), "trend": F.round(F.col("close") / f.mean("close", 20) - 1, 10)})
+
+    made = over_blocks(bars(spark, sf_dir).select("symbol", "time", "open", "close"), add, 20)
+    fine = made.select("symbol", F.col("time").alias("fine_time"), F.signum(F.col("close") - F.col("open")).alias("direction"), "rsi", "trend")
     both = asof.asof(calls(spark, sf_dir).withColumn("cutoff", F.col("time") + H4 - M15), fine, ["symbol"], "cutoff", "fine_time", ["direction", "rsi", "trend"], DAY)
     return sliced(studies.sliced_metrics(both, studies.confirmations(F.col("direction"), F.col("rsi"), F.col("trend"))))
 
@@ -92,8 +97,7 @@ _RAW = f"{q.bars_with()}, lb AS (SELECT symbol, time, tick_volume, {q.lead('clos
 
 
 def raw_labels(spark, sf_dir):
-    f = Frame("symbol")
-    made = bars(spark, sf_dir).select("symbol", "time", "tick_volume", (f.lead("close", 4) / F.col("close") - 1).alias("r4"))
+    made = over_blocks(bars(spark, sf_dir), lambda df, f: df.withColumn("r4", f.lead("close", 4) / F.col("close") - 1), 0, 4).select("symbol", "time", "tick_volume", "r4")
     return with_row_index(made, ["symbol"], "time", 30 * DAY)
 
 
