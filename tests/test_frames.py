@@ -195,3 +195,20 @@ def test_running_folds_equal_one_window(spark):
         got = running(df, ["k"], ["day", "i"], fold, "x", "v", 30 * 86_400).collect()
         assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert running(df.filter("x > 99"), ["k"], ["day", "i"], F.max, "x", "v", 86_400).count() == 0
+
+
+def test_percentiles_equal_those_of_one_buffer(spark):
+    """Many distinct values, ties, null values, a null key, a key of one row and a key of nulls only."""
+    from tickloom.operators.frames import with_percentiles
+
+    rng = random.Random(8)
+    rows = [("many", rng.gauss(0, 3)) for _ in range(5000)] + [("ties", float(rng.randint(0, 3))) for _ in range(400)] + [(None, rng.random()) for _ in range(7)] + [("one", 2.5), ("none", None), ("many", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    names = {"low": 0.0, "p05": 0.05, "mid": 0.5, "p99": 0.99, "high": 1.0}
+    per = df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, names.values()))).alias("want"))
+    got = {r["k"]: r for r in with_percentiles(per, df, ["k"], "v", names).collect()}
+    assert set(got) == {"many", "ties", None, "one", "none"}
+    for k, r in got.items():
+        assert [r[n] for n in names] == ([None] * 5 if k == "none" else pytest.approx(r["want"], abs=1e-12))
+    assert with_percentiles(df.limit(0).groupBy("k").count(), df.limit(0), ["k"], "v", names).count() == 0
+    assert with_percentiles(df.agg(F.count("*").alias("n")), df, [], "v", {"mid": 0.5}).first()["mid"] is not None

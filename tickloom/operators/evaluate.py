@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.frames import with_percentiles
+
 CLASSES = ((-1.0, "short"), (0.0, "neutral"), (1.0, "long"))
 
 
@@ -74,9 +76,9 @@ def probabilities(preds: DataFrame) -> DataFrame:
     """Distribution of the largest and of each class's probability, and rows that are no distribution."""
     off = F.abs(F.col("p_short") + F.col("p_neutral") + F.col("p_long") - 1.0) > 1e-4
     rows = F.array(F.struct(F.lit("max").alias("class"), top().alias("p")), *(F.struct(F.lit(c).alias("class"), F.col(f"p_{c}").alias("p")) for _, c in CLASSES))
-    at = F.percentile("p", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     long = preds.select(off.alias("off"), F.explode(rows).alias("r")).select("off", "r.*")
-    return long.groupBy("class").agg(F.avg("p").alias("mean_p"), F.stddev_pop("p").alias("std_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"), at[0].alias("p05"), at[1].alias("p50"), at[2].alias("p95"), F.count_if("off").alias("n_off"))
+    per = long.groupBy("class").agg(F.avg("p").alias("mean_p"), F.stddev_pop("p").alias("std_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"), F.count_if("off").alias("n_off"))
+    return with_percentiles(per, long, ["class"], "p", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 def coverage(preds: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:

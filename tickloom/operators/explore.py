@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.frames import BAR_RANGE, with_previous
+from tickloom.operators.frames import BAR_RANGE, SEVEN, with_percentiles, with_previous
 
 #: The overlapping sessions, hours inclusive.
 SESSIONS = (("asian", 0, 7), ("london", 7, 15), ("new_york", 12, 20), ("rollover", 21, 23))
@@ -15,13 +15,12 @@ def price_statistics(bars: DataFrame) -> DataFrame:
     """Distribution of closes, bull, bear and doji counts, moments of log returns (population skewness and excess kurtosis)."""
     bars = with_previous(bars, ["symbol"], ["time"], {"_prior": "close"}, BAR_RANGE)
     r = F.log(F.col("close") / F.col("_prior"))
-    at = F.percentile("close", F.array(*(F.lit(p) for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))))
     out = bars.withColumn("_r", r).groupBy("symbol").agg(
-        F.count("*").alias("n_rows"), F.min("close").alias("min_close"), F.max("close").alias("max_close"), F.avg("close").alias("mean_close"), F.stddev_samp("close").alias("std_close"), at.alias("_q"),
+        F.count("*").alias("n_rows"), F.min("close").alias("min_close"), F.max("close").alias("max_close"), F.avg("close").alias("mean_close"), F.stddev_samp("close").alias("std_close"),
         F.count_if(F.col("close") > F.col("open")).alias("n_bull"), F.count_if(F.col("close") < F.col("open")).alias("n_bear"), F.count_if(F.col("close") == F.col("open")).alias("n_doji"),
         F.avg(F.col("high") - F.col("low")).alias("mean_range"), F.avg("_r").alias("mean_return"), F.stddev_samp("_r").alias("std_return"), F.skewness("_r").alias("skew_return"), F.kurtosis("_r").alias("kurtosis_return"),
     )
-    return out.select("*", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99")))).drop("_q")
+    return with_percentiles(out, bars, ["symbol"], "close", SEVEN)
 
 
 def temporal_statistics(bars: DataFrame) -> DataFrame:

@@ -174,3 +174,39 @@ def running(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Co
     joined = marked.withColumn("_own", fold(value).over(inside)).join(carried, same)
     both = F.greatest("_own", "_carry") if fold is F.max else F.coalesce(F.col("_carry") + F.col("_own"), "_own", "_carry")
     return joined.withColumn(name, both).drop("_range", "_own", "_at", "_carry", *(f"_key_{i}" for i in range(len(keys))))
+
+
+#: Names of the percentiles of a distribution.
+SEVEN = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+#: Ranges that the values of a key are counted in.
+VALUE_RANGES = 256
+
+
+def with_percentiles(per: DataFrame, df: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """Adds exact percentiles of `value` (interpolated, nulls passed over) to a table of one row for each key.
+
+    Values are counted in ranges of each key, whose bounds come from a sketch of fixed size; only the ranges that hold
+    a wanted rank are put in order. So no task holds all values of a key; any bounds give the same result.
+    """
+    v, key = F.col("_v"), [f"_key_{i}" for i in range(len(keys))]
+    pairs = list(zip(keys, key, strict=True))
+    cells = df.select(*(F.col(a).alias(b) for a, b in pairs), F.col(value).cast("double").alias("_v")).filter(v.isNotNull()).groupBy(*key, "_v").agg(F.count("*").alias("_c"))
+    bounds = cells.groupBy(*key).agg(F.approx_percentile(v, [k / VALUE_RANGES for k in range(1, VALUE_RANGES)], 2000).alias("_bounds"), F.sum("_c").alias("_n"))
+    joined = cells.join(bounds.withColumnsRenamed({k: f"{k}b" for k in key}), reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{k}b")) for k in key), F.lit(True)))
+    placed = joined.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds", *(f"{k}b" for k in key))
+    ranges = placed.groupBy(*key, "_range").agg(F.sum("_c").alias("_rows"), F.max("_n").alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    place = {n: F.lit(p) * (F.col("_n") - 1) for n, p in names.items()}
+    ends = {f"{n}_{side}": f(c) for n, c in place.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    first = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    needed = ranges.withColumn("_first", first).filter(reduce(lambda a, b: a | b, ((r >= F.col("_first")) & (r < F.col("_first") + F.col("_rows")) for r in ends.values())))
+    needed = needed.select(*(F.col(k).alias(f"{k}r") for k in key), F.col("_range").alias("_at"), "_first")
+    near = placed.join(needed, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{k}r")) for k in key), F.col("_range") == F.col("_at")))
+    inside = Window.partitionBy(*key, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = near.withColumn("_upto", F.col("_first") + F.sum("_c").over(inside))
+    hits = {n: F.max(F.when((r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto")), v)).alias(n) for n, r in ends.items()}
+    found = upto.groupBy(*key).agg(F.max("_n").alias("_n"), *hits.values())
+    low, high = (lambda n: F.col(f"{n}_low")), (lambda n: F.col(f"{n}_high"))
+    out = found.select(*key, *((low(n) + (high(n) - low(n)) * (c - F.floor(c))).alias(n) for n, c in place.items()))
+    kept = reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in pairs), F.lit(True))
+    return per.join(out, kept, "left").drop(*key)

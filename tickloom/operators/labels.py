@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.features import TINY, true_range
-from tickloom.operators.frames import BAR_RANGE, Frame, in_blocks, with_row_index
+from tickloom.operators.frames import BAR_RANGE, SEVEN, Frame, in_blocks, with_percentiles, with_row_index
 
 #: Horizons in bars, and the fixed return thresholds of each.
 HORIZONS = (1, 4, 8, 16)
@@ -97,9 +97,8 @@ def class_balance(labels: DataFrame, name: str) -> DataFrame:
 def distribution(labels: DataFrame, names: list[str]) -> DataFrame:
     """Moments and quantiles of continuous labels, in long form."""
     long = labels.unpivot(["symbol", "time"], names, "label", "value")
-    at = F.percentile("value", F.array(*(F.lit(p) for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))))
-    per = long.groupBy("label").agg(F.count("value").alias("n_valid"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), at.alias("_q"))
-    return per.select("*", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99")))).drop("_q")
+    per = long.groupBy("label").agg(F.count("value").alias("n_valid"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    return with_percentiles(per, long, ["label"], "value", SEVEN)
 
 
 def swing_distribution(targets: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
