@@ -161,8 +161,9 @@ def confident_subsets(preds: DataFrame, shares: tuple[float, ...]) -> DataFrame:
     """The most confident shares of the rows, ties included; thresholds are percentiles of the confidence."""
     direction = F.abs(F.col("p_long") - F.col("p_short"))
     marked = preds.withColumn("_d", direction)
-    cut = marked.agg(F.percentile("_d", F.array(*(F.lit(1.0 - s) for s in shares))).alias("_q"))
-    rows = marked.crossJoin(F.broadcast(cut)).withColumn("share", F.explode(F.array_compact(F.array(*(F.when(F.col("_d") >= F.col("_q")[i], F.lit(s)) for i, s in enumerate(shares))))))  # one row of thresholds
+    bounds = {f"_q{i}": 1.0 - s for i, s in enumerate(shares)}
+    cut = with_percentiles(marked.agg(F.count("*").alias("_all")), marked, [], "_d", bounds).select(*bounds)
+    rows = marked.crossJoin(F.broadcast(cut)).withColumn("share", F.explode(F.array_compact(F.array(*(F.when(F.col("_d") >= F.col(f"_q{i}"), F.lit(s)) for i, s in enumerate(shares))))))  # one row of thresholds
     hit = (F.col("y_true") == F.col("y_pred")).cast("double")
     return rows.groupBy("share").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.count_if(F.col("y_pred") > 0).alias("n_long"), F.count_if(F.col("y_pred") < 0).alias("n_short"))
 

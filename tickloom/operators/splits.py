@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.frames import with_row_index
+from tickloom.operators.frames import with_percentiles, with_row_index
 
 WIDTH = 86_400 * 30
 
@@ -58,7 +58,8 @@ def fold_summary(folded: DataFrame, target: str, time: str = "time") -> DataFram
 
 def fold_thresholds(folded: DataFrame, value: str) -> DataFrame:
     """The median of a value over each fold's train rows, and each row's side of it."""
-    medians = folded.filter("role = 'train'").groupBy("symbol", "fold_idx").agg(F.percentile(value, F.lit(0.5)).alias("threshold"))
+    train = folded.filter("role = 'train'")
+    medians = with_percentiles(train.select("symbol", "fold_idx").distinct(), train, ["symbol", "fold_idx"], value, {"threshold": 0.5})
     return folded.join(medians, ["symbol", "fold_idx"]).withColumn("is_high", (F.col(value) > F.col("threshold")).cast("int"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tickloom.operators.frames import Frame, over_blocks
+from tickloom.operators.frames import Frame, over_blocks, with_percentiles
 
 
 def autocorrelation(df: DataFrame, names: list[str], lags: tuple[int, ...]) -> DataFrame:
@@ -77,9 +77,9 @@ def _signed_rank_p(w: pd.Series, n: pd.Series) -> pd.Series:
 
 def one_sample(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Moments, t against zero and its p-value, sign test; all-equal zeros give t 0 and p 1."""
-    per = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"), F.percentile(value, F.lit(0.5)).alias("median_value"), F.stddev_samp(value).alias("std_value"), F.count_if(F.col(value) > 0).alias("n_positive"), F.count_if(F.col(value) != 0).alias("n_moved"))
+    per = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"), F.count_if(F.col(value) > 0).alias("n_positive"), F.count_if(F.col(value) != 0).alias("n_moved"))
     t = F.when((F.col("std_value") == 0) & (F.col("mean_value") == 0), 0.0).otherwise(F.col("mean_value") / F.nullif(F.col("std_value") / F.sqrt("n"), F.lit(0.0)))
-    return per.withColumn("t_statistic", t)
+    return with_percentiles(per, df, keys, value, {"median_value": 0.5}).withColumn("t_statistic", t)
 
 
 def with_p_values(tested: DataFrame) -> DataFrame:
