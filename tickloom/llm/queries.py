@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat_format, fingerprints, html_consensus, line_dedup, media_avi, ngram_join, packing, quality, secret_scan, sentencepiece_dropout
+from tickloom.llm import chat_format, fingerprints, html_consensus, license_scan, line_dedup, media_avi, ngram_join, packing, quality, secret_scan, sentencepiece_dropout
 from tickloom.llm.common import ids_and_text, table
 
 DROPOUT_RATE, DROPOUT_SEED = 0.1, 20_260
@@ -79,6 +79,10 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.drop("key_bits")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_secret_scan": op2_secret_scan,
@@ -91,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_resampling": op10_quality_resampling,
+    "op11_license_scan": op11_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
+    "op11_license_scan": license_scan.ORACLE,
 }
