@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat_format, fingerprints, html_consensus, license_scan, line_dedup, media_avi, ngram_join, packing, quality, secret_scan, sentencepiece_dropout
+from tickloom.llm import chat_format, fingerprints, html_consensus, license_scan, line_dedup, media_avi, ngram_join, packing, periodic_runs, quality, secret_scan, sentencepiece_dropout
 
 PIECES, BYTES = packing.tokenizer_path("piece_bpe_32k.model"), packing.tokenizer_path("byte_bpe_50k.json")
 
@@ -19,6 +19,7 @@ OPERATORS = {
     "fingerprint": fingerprints.compare_edited,
     "pack": lambda d: packing.pack_documents(d, BYTES),
     "licenses": license_scan.report,
+    "runs": periodic_runs.find_runs,
     "lines": line_dedup.line_report,
     "drop_lines": line_dedup.drop_repeated_lines,
 }
@@ -29,7 +30,7 @@ def test_empty_table(odd_docs, name):
     assert OPERATORS[name](odd_docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["encode", "secrets", "redact", "jaccard", "avi", "fingerprint", "licenses"])
+@pytest.mark.parametrize("name", ["encode", "secrets", "redact", "jaccard", "avi", "fingerprint", "licenses", "runs"])
 def test_one_row_each(odd_docs, name):
     assert OPERATORS[name](odd_docs).count() == odd_docs.count()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat_format, fingerprints, html_consensus, license_scan, line_dedup, media_avi, ngram_join, packing, quality, secret_scan, sentencepiece_dropout
+from tickloom.llm import chat_format, fingerprints, html_consensus, license_scan, line_dedup, media_avi, ngram_join, packing, periodic_runs, quality, secret_scan, sentencepiece_dropout
 from tickloom.llm.common import ids_and_text, table
 
 DROPOUT_RATE, DROPOUT_SEED = 0.1, 20_260
@@ -83,6 +83,21 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the runs of each document, some of which repeat a stretch of their words, and of the text without them."""
+    docs = ids_and_text(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = periodic_runs.find_runs(periodic_runs.planted(docs)).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_secret_scan": op2_secret_scan,
@@ -96,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_resampling": op10_quality_resampling,
     "op11_license_scan": op11_license_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
