@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat_format, fingerprints, html_consensus, license_scan, line_dedup, media_avi, ngram_join, packing, periodic_runs, quality, secret_scan, sentencepiece_dropout
+from tickloom.llm import chat_format, fingerprints, hard_negatives, html_consensus, license_scan, line_dedup, media_avi, ngram_join, packing, periodic_runs, quality, secret_scan, sentencepiece_dropout
 from tickloom.llm.common import ids_and_text, table
 
 DROPOUT_RATE, DROPOUT_SEED = 0.1, 20_260
@@ -98,6 +98,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row mines negatives; the labels of every seventh row are moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.rows_of(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_secret_scan": op2_secret_scan,
@@ -112,8 +119,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_resampling": op10_quality_resampling,
     "op11_license_scan": op11_license_scan,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
     "op11_license_scan": license_scan.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
