@@ -32,8 +32,8 @@ from tickloom.llm.common import parts, store
 
 #: Anchors of a group, about; twice as many at most.
 GROUP = 2048
-#: Rows of a cell, about.
-CELL_ROWS = 100_000
+#: Rows of a cell, about: as many where all tasks have work, as few at least.
+CELL_ROWS, LEAST_CELL_ROWS = 100_000, 1024
 #: Rows that one NumPy step takes; it holds two bounds for each of them and each anchor of the group.
 BLOCK_ROWS = 1024
 #: Components whose signs deal the anchors.
@@ -209,7 +209,8 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = 5, n_negatives: in
     rows = store(rows)
     queries, groups = _grouped(rows.filter(anchors))
     trees = store(queries.groupBy("group").applyInArrow(_tree, "group int, vec_id bigint, label bigint, c array<double>, place int, parent int, edge double"))
-    chunks = parts(rows, -(-rows.count() // CELL_ROWS))
+    total = rows.count()
+    chunks = max(1, -(-total // CELL_ROWS), min(parts(rows), -(-total // LEAST_CELL_ROWS)))
     chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")
     copies = rows.withColumn("chunk", chunk).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(groups - 1, 0)))))
 
