@@ -313,7 +313,11 @@ def base(df: DataFrame, f: Frame) -> DataFrame:
 SHARED = ("_log_return", "_return", "_true_range", "_up", "_post_gap", "_sma_10", "_sma_20", "_vol", "_atr")
 
 
-def with_filters(bars: DataFrame, spans: tuple[int, ...] = (10, 20, 40, 50, 80), width: int = 86_400 * 30) -> DataFrame:
+#: Spans of the exponential filters of closes, and the period of the Wilder filters.
+SPANS, WILDER = (10, 20, 40, 50, 80), 14
+
+
+def with_filters(bars: DataFrame, spans: tuple[int, ...] = SPANS, width: int = 86_400 * 30) -> DataFrame:
     """Bars with the row index and the exponential filters: ema_* of closes, Wilder filters of gains, losses and range."""
     C = F.col("close")
     indexed = with_row_index(bars, ["symbol"], "time", width)
@@ -324,7 +328,7 @@ def with_filters(bars: DataFrame, spans: tuple[int, ...] = (10, 20, 40, 50, 80),
 
     staged = in_blocks(indexed, ["symbol"], stage, 1, 0, 4096)
     filters = {f"ema_{s}": (C, 2.0 / (s + 1), 0) for s in spans}
-    filters |= {"gain_14": (F.col("_gain"), 1.0 / 14, 1), "loss_14": (F.col("_loss"), 1.0 / 14, 1), "wilder_range_14": (F.col("_tr"), 1.0 / 14, 0)}
+    filters |= {"gain_14": (F.col("_gain"), 1.0 / WILDER, 1), "loss_14": (F.col("_loss"), 1.0 / WILDER, 1), "wilder_range_14": (F.col("_tr"), 1.0 / WILDER, 0)}
     return exponential(staged, ["symbol"], filters).drop("_gain", "_loss", "_tr")
 
 
@@ -368,8 +372,18 @@ def build(bars: DataFrame, names: list[str], block_rows: int | None = 4096) -> D
     A price of zero counts as missing, so that no ratio divides by it.
     """
     specs = [REGISTRY[n] for n in names]
-    bars = bars.withColumns({c: F.nullif(c, F.lit(0.0)) for c in ("open", "high", "low", "close") if c in bars.columns})
+    bars = without_zeros(bars)
     start = with_filters(bars) if any(s.needs_filters for s in specs) else with_row_index(bars, ["symbol"], "time", 86_400 * 30)
+    return assemble(start, names, block_rows)
+
+
+def without_zeros(bars: DataFrame) -> DataFrame:
+    return bars.withColumns({c: F.nullif(c, F.lit(0.0)) for c in ("open", "high", "low", "close") if c in bars.columns})
+
+
+def assemble(start: DataFrame, names: list[str], block_rows: int | None = 4096) -> DataFrame:
+    """The features of the named blocks from bars that have the row index (and the filters, where a block needs them)."""
+    specs = [REGISTRY[n] for n in names]
 
     def apply(df: DataFrame, f: Frame) -> DataFrame:
         shared = base(df, f)

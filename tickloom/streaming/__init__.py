@@ -136,7 +136,11 @@ def with_features(bars: DataFrame, names: list[str], columns: list[str], warmup:
     """Features with a status: WARMUP (too little history), MISSING or INFINITE (some value of the vector), else OK."""
     from tickloom.operators import features
 
-    made = features.build(bars, names).select("symbol", "time", "bar_idx", *columns)
+    return checked(features.build(bars, names).select("symbol", "time", "bar_idx", *columns), columns, warmup)
+
+
+def checked(made: DataFrame, columns: list[str], warmup: int) -> DataFrame:
+    """Adds the status of each vector; drops the row index."""
     missing = reduce(lambda a, b: a | b, (F.col(c).isNull() | F.isnan(c) for c in columns))
     infinite = reduce(lambda a, b: a | b, (F.abs(F.col(c)) == float("inf") for c in columns))
     status = F.when(F.col("bar_idx") + 1 < warmup, "WARMUP").when(missing, "MISSING").when(infinite, "INFINITE").otherwise("OK")
