@@ -93,28 +93,31 @@ def test_p_values(spark):
         assert out[i]["sign_p_value"] == pytest.approx(min(1.0, 2 * tail))
 
 
-def test_bootstrap_equals_a_plain_loop(spark):
-    values = [(k, float(k % 7 - 2) / 4) for k in range(60)]
-
-    def draws(iteration, trade):
-        h = 42
-        for kind, v in (("<i", 9), ("<i", iteration), ("<q", trade)):
-            h = xxhash.xxh64_intdigest(struct.pack(kind, v), seed=h)
-        u = ((h - 2**64 if h >= 2**63 else h) + 2.0**63) / 2.0**64
-        total, p, n = 0.0, math.exp(-1), 0
-        for k in range(16):
-            total += p
-            n += u >= total
-            p /= k + 1
-        return n
-
-    got = {r["iteration"]: r for r in stats.bootstrap(spark.createDataFrame(values, "trade_id long, v double"), "v", 20, 9).collect()}
-    assert len(got) == 20
+def test_bootstrap_equals_a_plain_loop(spark, monkeypatch):
+    values = [(k, float(k % 37 - 12) / 4) for k in range(150)] + [(900, None), (901, float("nan")), (902, -0.0)]
+    monkeypatch.setattr(stats, "MEDIAN_RANGES", 8)
+    got = {r["iteration"]: r for r in stats.bootstrap(spark.createDataFrame(values, "trade_id long, v double").repartition(3), "v", 200, 9).collect()}
+    known = [v + 0.0 for _, v in values if v is not None and v == v]
+    draws = {v: stats._poisson(9, v, known.count(v), 200) for v in set(known)}
+    assert len(got) == 200
     for i, r in got.items():
-        drawn = [v for t, v in values for _ in range(draws(i, t))]
+        drawn = [v for v, d in draws.items() for _ in range(d[i])]
         assert (r["n_drawn"], r["total"], r["mean_value"], r["median_value"]) == pytest.approx((len(drawn), sum(drawn), np.mean(drawn), np.median(drawn)))
 
 
+def test_bootstrap_spread_is_that_of_the_theory(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(2.0, 5.0, 800), 2)
+    out = stats.bootstrap(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", 4000).toPandas()
+    assert out["mean_value"].std() == pytest.approx(v.std() / np.sqrt(800), rel=0.06) and out["mean_value"].mean() == pytest.approx(v.mean(), abs=0.02)
+    assert out["n_drawn"].mean() == pytest.approx(800, abs=3) and out["n_drawn"].var() == pytest.approx(800, rel=0.12)
+    summary = stats.bootstrap_summary(spark.createDataFrame(out)).first()
+    low, high = v.mean() - 1.96 * v.std() / np.sqrt(800), v.mean() + 1.96 * v.std() / np.sqrt(800)
+    assert (summary["mean_value_low"], summary["mean_value_high"]) == pytest.approx((low, high), abs=0.03) and summary["median_value_low"] < np.median(v) < summary["median_value_high"]
+    none = stats.bootstrap(spark.createDataFrame([], "v double"), "v", 5).collect()
+    assert len(none) == 5 and all(r["n_drawn"] == 0 and r["median_value"] is None for r in none)
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """The events in six files of growing time."""

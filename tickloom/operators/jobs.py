@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import asof, explore, ledger, models, quality, rollup, studies
+from tickloom.operators import asof, evaluate, explore, ledger, models, quality, rollup, studies
 
 DAY = 86_400
 
@@ -52,21 +52,50 @@ def gated(scored: DataFrame, mask: Column, neutral: float = 0.0) -> DataFrame:
     return scored.withColumn("y_gated", F.when(F.coalesce(mask, F.lit(False)), F.col("y_pred")).otherwise(neutral))
 
 
-def ablation(folded: DataFrame, subsets: dict[str, list[str]], n_folds: int, fit) -> DataFrame:
-    """The walk-forward metrics of one model for each named subset of the features, and the gain over the first subset."""
-    runs = [models.fold_metrics(models.walk_forward(folded, names, n_folds, {name: fit})) for name, names in subsets.items()]
-    out = reduce(DataFrame.unionByName, runs).withColumnRenamed("model", "feature_set")
+def ablation(masked: DataFrame, subsets: dict[str, list[str]], n_folds: int, **options) -> DataFrame:
+    """The walk-forward metrics of a logistic model for each named subset of the features, and the gain over the first subset."""
+    out = models.fold_metrics(models.walk_forward_logistic(masked, subsets, n_folds, **options)).withColumnRenamed("model", "feature_set")
     first = out.filter(F.col("feature_set") == next(iter(subsets))).select("fold_idx", F.col("balanced_accuracy").alias("_base"))  # one row a fold
     return out.join(F.broadcast(first), "fold_idx").withColumn("gain", F.col("balanced_accuracy") - F.col("_base")).drop("_base")
 
 
-def held_out(table: DataFrame, features: list[str], fits: dict, parts: tuple[str, ...]) -> DataFrame:
-    """Models fitted on the train rows, and the majority class, scored on the other parts of a split table."""
-    train = table.filter("split = 'train'")
-    top = train.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("prediction"))  # one row
-    rest = table.filter(F.col("split").isin(*parts))
-    calls = [rest.select("split", "label").crossJoin(F.broadcast(top)).withColumn("model", F.lit("majority"))]
-    calls += [models.predict(fit(train, features), rest, ["split"]).select("split", "label", "prediction").withColumn("model", F.lit(n)) for n, fit in fits.items()]
-    hit = (F.col("label") == F.col("prediction")).cast("double")
-    per_class = reduce(DataFrame.unionByName, calls).groupBy("model", "split", "label").agg(F.avg(hit).alias("_r"), F.sum(hit).alias("_h"), F.count("*").alias("_n"))
-    return per_class.groupBy("model", "split").agg(F.sum("_n").alias("n_rows"), (F.sum("_h") / F.sum("_n")).alias("accuracy"), F.avg("_r").alias("balanced_accuracy"))
+def calls_of(table: DataFrame, features: list[str], fits: dict, parts: tuple[str, ...]) -> DataFrame:
+    """Models fitted on the train rows, and the majority class, called on other parts of a split table.
+
+    model, split, usable_idx, n_usable, symbol, label, prediction, probability (of -1, 0, 1 as classes 0, 1, 2).
+    """
+    train, rest = table.filter("split = 'train'"), table.filter(F.col("split").isin(*parts))
+    shares = train.groupBy("label").count()
+    top = shares.agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("prediction"), *(F.sum(F.when(F.col("label") == k, F.col("count")).otherwise(0)).alias(f"_{k}") for k in range(3)))  # one row
+    whole = F.col("_0") + F.col("_1") + F.col("_2")
+    keep = ["split", "symbol", "usable_idx", "n_usable"]
+    out = [rest.select(*keep, "label").crossJoin(F.broadcast(top)).select(*keep, F.col("label").cast("double").alias("label"), "prediction", F.array(*(F.col(f"_{k}") / whole for k in range(3))).alias("probability")).withColumn("model", F.lit("majority"))]
+    out += [models.predict(fit(train, features), rest, keep).withColumn("model", F.lit(n)) for n, fit in fits.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Confidence that calls are counted from.
+COVERED = (0.4, 0.5, 0.6, 0.7, 0.8)
+
+
+def held_out(calls: DataFrame, n_blocks: int = 3) -> DataFrame:
+    """(model, split, metric, value): M07 on all rows and on blocks of time (D08), M08 and M09 a class, M11, M16."""
+    p = lambda k: F.get("probability", F.lit(k))
+    table = calls.select("model", "split", "symbol", "usable_idx", (F.col("label") - 1).alias("y_true"), (F.col("prediction") - 1).alias("y_pred"), *(p(k).alias(f"p_{c}") for k, c in enumerate(("short", "neutral", "long"))))
+    ends = table.groupBy("model", "split", "symbol").agg(F.min("usable_idx").alias("_a"), F.max("usable_idx").alias("_z"))
+    placed = table.join(ends, ["model", "split", "symbol"]).withColumn("_block", F.floor((F.col("usable_idx") - F.col("_a")) * n_blocks / (F.col("_z") - F.col("_a") + 1)))
+    keys = ["model", "split", "part"]
+    blocks = placed.withColumn("part", F.explode(F.array(F.lit("all"), F.concat(F.lit("block_"), F.col("_block").cast("string")))))
+    made = evaluate.scores(evaluate.confusion(blocks, keys), keys)
+    measures = [c for c, t in made.dtypes if t == "double"]
+    long = [made.select("model", "split", F.explode(F.array(*(F.struct(F.concat_ws("_", F.when(F.col("part") != "all", F.col("part")), F.lit(c)).alias("metric"), F.col(c).alias("value")) for c in measures))).alias("m")).select("model", "split", "m.*")]
+    each = table.select("model", "split", F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"p_{c}").alias("score"), (F.col("y_true") == v).alias("positive")) for v, c in evaluate.CLASSES))).alias("r")).select("model", "split", "r.*")
+    ranks = evaluate.ranked(each, F.col("score"), F.col("positive"), ["model", "split", "class"])
+    for name, f in (("auc", evaluate.area_under_curve), ("average_precision", evaluate.average_precision)):
+        long.append(f(ranks, ["model", "split", "class"]).select("model", "split", F.concat_ws("_", F.lit(name), "class").alias("metric"), F.col(name).alias("value")))
+    top, hit = F.greatest("p_short", "p_neutral", "p_long"), (F.col("y_true") == F.col("y_pred")).cast("double")
+    square = sum((F.pow(F.col(f"p_{c}") - (F.col("y_true") == v).cast("double"), 2.0) for v, c in evaluate.CLASSES), F.lit(0.0))
+    sums = table.groupBy("model", "split").agg(F.avg(square).alias("brier"), *(F.avg((top >= t).cast("double")).alias(f"coverage_{round(t * 100)}") for t in COVERED), *(F.avg(F.when(top >= t, hit)).alias(f"covered_accuracy_{round(t * 100)}") for t in COVERED))
+    names = [c for c in sums.columns if c not in ("model", "split")]
+    long.append(sums.select("model", "split", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names))).alias("m")).select("model", "split", "m.*"))
+    return reduce(DataFrame.unionByName, long)

@@ -1,4 +1,4 @@
-"""Model fits with MLlib: pipelines, walk-forward evaluation, importances."""
+"""Model fits: MLlib pipelines beside the Newton fits (linear) and forests (trees), walk-forward evaluation, importances."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import linear, trees
+
 
 def _weighted(df: DataFrame, balanced: bool) -> DataFrame:
     """Adds `weight`: 1, or inverse class frequency."""
@@ -38,8 +40,12 @@ def forest(train: DataFrame, features: list[str], trees: int = 100, depth: int =
     return Pipeline(stages=stages).fit(_weighted(train, balanced))
 
 
-def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+def predict(model: PipelineModel | linear.Logistic | trees.Forest, df: DataFrame, keep: list[str]) -> DataFrame:
     """One batch transform; probabilities as an array."""
+    if isinstance(model, linear.Logistic):
+        return linear.predict(model, df, keep)
+    if isinstance(model, trees.Forest):
+        return trees.predict(model, df, keep)
     return model.transform(df.withColumn("weight", F.lit(1.0))).select(*keep, "label", "prediction", vector_to_array("probability").alias("probability"))
 
 
@@ -57,6 +63,19 @@ def walk_forward(folded: DataFrame, features: list[str], n_folds: int, fits: dic
     return reduce(DataFrame.unionByName, parts)
 
 
+def walk_forward_logistic(masked: DataFrame, subsets: dict[str, list[str]], n_folds: int, **options) -> DataFrame:
+    """Out-of-fold predictions (model, fold_idx, label, prediction) of logistic models on named feature sets.
+
+    `masked` has train_of and valid_of (splits.fold_masks): the folds of a set are fitted in the same scans.
+    """
+    parts = []
+    for name, features in subsets.items():
+        fits = linear.fit_folds(masked, features, folds=F.col("train_of"), n_folds=n_folds, **options)
+        called = linear.predict_folds(fits, masked.filter("valid_of is not null").withColumnRenamed("valid_of", "fold_idx"), "fold_idx", ["symbol", "time"])
+        parts.append(called.withColumn("model", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fold_metrics(oof: DataFrame) -> DataFrame:
     """Accuracy and balanced accuracy of each model and fold, and the fall from the fold before."""
     hit = (F.col("label") == F.col("prediction")).cast("double")
@@ -66,11 +85,16 @@ def fold_metrics(oof: DataFrame) -> DataFrame:
     return out.withColumn("fall", before - F.col("balanced_accuracy"))
 
 
-def importances(model: PipelineModel, features: list[str]) -> DataFrame:
+def importances(model: PipelineModel | linear.Logistic | trees.Forest, features: list[str]) -> DataFrame:
     """A row for each feature: forest importance, or mean absolute coefficient; 1 is the largest."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    if isinstance(model, linear.Logistic):
+        return linear.importances(model, spark)
+    if isinstance(model, trees.Forest):
+        return model.importances(spark)
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficientMatrix.toArray()).mean(axis=0)
     order = sorted(zip(features, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active().createDataFrame([(n, v, i + 1) for i, (n, v) in enumerate(order)], "feature string, importance double, rank int")
+    return spark.createDataFrame([(n, v, i + 1) for i, (n, v) in enumerate(order)], "feature string, importance double, rank int")

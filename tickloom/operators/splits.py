@@ -91,3 +91,14 @@ def checks(splits: DataFrame, needed: list[str], gap: int, time: str = "time") -
     }
     rows = F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(F.expr(r), F.lit(False)).alias("passed")) for n, r in rules.items()))
     return per.select("symbol", F.explode(rows).alias("r")).select("symbol", "r.*")
+
+
+def fold_masks(df: DataFrame, initial: int, n_folds: int, purge: int, embargo: int = 0) -> DataFrame:
+    """The folds of `folds` as columns, a row once: train_of (the folds that train on it) and valid_of (the one that it validates, or null)."""
+    size = F.floor((F.col("n_usable") - initial) / n_folds)
+    i = F.col("usable_idx")
+    fold = F.floor((i - initial) / size)
+    start = initial + fold * size
+    inside = (i >= initial) & (fold < n_folds) & (i >= start + embargo) & (i < start + size - purge)
+    train = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: i < initial + k * size - purge)
+    return df.withColumn("train_of", train).withColumn("valid_of", F.when(inside, fold).cast("int"))

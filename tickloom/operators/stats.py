@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -105,21 +108,82 @@ def with_signed_rank_p(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("p_value", _signed_rank_p("w_statistic", "n"))
 
 
-def bootstrap(trades: DataFrame, value: str, iterations: int, seed: int = 0) -> DataFrame:
-    """Mean, median and total of seeded resamples, one row an iteration.
+#: Ranges of the values that medians of resamples are looked for in.
+MEDIAN_RANGES = 256
 
-    Each trade's number of draws in an iteration is Poisson with mean 1, from a hash of seed, iteration and trade, so
-    no resample is gathered: the counts weight the sums. The median is of the drawn values, weighted.
+
+def _poisson(seed: int, value: float, copies: int, iterations: int) -> np.ndarray:
+    """How often the rows that hold a value are drawn in each iteration: Poisson draws with mean 1, added up over `copies` rows."""
+    key = np.frombuffer(np.float64(value).tobytes() + np.int64(seed).tobytes(), dtype=np.uint64)
+    return np.random.Generator(np.random.Philox(key=key)).poisson(copies, iterations)
+
+
+def bootstrap(trades: DataFrame, value: str, iterations: int = 10_000, seed: int = 0) -> DataFrame:
+    """n_drawn, mean, median and total of seeded resamples, one row an iteration.
+
+    Rows fold to distinct values first. Each value is drawn in all iterations at once, from a generator that its bits
+    and the seed key, so that a task that runs again, or meets the value a second time, draws alike. Tasks add up counts
+    and sums by ranges of values: a block of iterations x ranges, whatever the rows. The block says in which range each
+    iteration's median lies; a second pass walks each range's values in order and reads the medians there. No row
+    stands for a trade and an iteration. An iteration that draws nothing has no mean and no median.
     """
-    u = (F.xxhash64(F.lit(seed), "iteration", "trade_id") + F.lit(2.0**63)) / F.lit(2.0**64)
-    draws = F.lit(0)
-    total, p = 0.0, math.exp(-1)
-    for k in range(16):  # more draws than that have a chance of 1e-14
-        total += p
-        draws = draws + F.when(u >= total, 1).otherwise(0)
-        p /= k + 1
-    drawn = trades.select("trade_id", F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")).withColumn("_n", draws.cast("long")).filter("_n > 0")
-    return drawn.groupBy("iteration").agg(F.sum("_n").alias("n_drawn"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean_value"), F.percentile("_v", F.lit(0.5), F.col("_n")).alias("median_value"), F.sum(F.col("_v") * F.col("_n")).alias("total"))
+    cells = trades.select((F.col(value).cast("double") + F.lit(0.0)).alias("v")).dropna().groupBy("v").agg(F.count("*").alias("m"))
+    # few bytes, much work: as many tasks as the session asks for
+    n_tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.filter(~F.isnan("v")).repartition(n_tasks, "v")
+    bounds = cells.agg(F.approx_percentile("v", [k / MEDIAN_RANGES for k in range(1, MEDIAN_RANGES)], 2000).alias("b")).first()["b"]  # a fixed number
+    cuts = np.unique(np.array(bounds or [], dtype=np.float64))
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(cuts) + 1, iterations), dtype=np.int64)
+        sums = np.zeros((len(cuts) + 1, iterations))
+        for batch in batches:
+            for v, m in zip(batch.column("v").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                at, drawn = int(np.searchsorted(cuts, v)), _poisson(seed, v, m, iterations)
+                counts[at] += drawn
+                sums[at] += drawn * v
+        some = np.flatnonzero(counts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counts[r].tobytes() for r in some], pa.binary()), pa.array([sums[r].tobytes() for r in some], pa.binary())], ["r", "counts", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist())
+        sums = sum(np.frombuffer(x, dtype=np.float64) for x in table.column("sums").to_pylist())
+        return pa.table({"r": table.column("r").slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    schema = "r int, counts binary, sums binary"
+    blocks = cells.mapInArrow(block, schema).groupBy("r").applyInArrow(merge, schema).orderBy("r").collect()  # MEDIAN_RANGES rows of fixed size
+    counts = np.zeros((len(cuts) + 1, iterations), dtype=np.int64)
+    total = np.zeros(iterations)
+    for row in blocks:
+        counts[row["r"]] = np.frombuffer(bytes(row["counts"]), dtype=np.int64)
+        total += np.frombuffer(bytes(row["sums"]), dtype=np.float64)
+    upto = counts.cumsum(axis=0)
+    n = upto[-1]
+    # the two middle ranks, from 0: the range of each, and the rows of earlier ranges
+    ranks = np.stack([(n - 1) // 2, n // 2])
+    where = np.stack([(upto <= r).sum(axis=0) for r in ranks])
+    before = np.vstack([np.zeros((1, iterations), dtype=np.int64), upto])[np.minimum(where, len(cuts)), np.arange(iterations)]
+
+    def middle(table: pa.Table) -> pa.Table:
+        at = int(np.searchsorted(cuts, table.column("v")[0].as_py()))
+        mine = (where == at) & (n > 0)
+        seen, found = np.zeros(iterations, dtype=np.int64), {}
+        for v, m in sorted(zip(table.column("v").to_pylist(), table.column("m").to_pylist(), strict=True)):
+            then = seen + _poisson(seed, v, m, iterations)
+            for side in (0, 1):
+                rank = ranks[side] - before[side]
+                for i in np.flatnonzero(mine[side] & (seen <= rank) & (rank < then)).tolist():
+                    found[i, side] = v
+            seen = then
+        keys = sorted(found)
+        return pa.table({"iteration": pa.array([i for i, _ in keys], pa.int32()), "v": pa.array([found[k] for k in keys], pa.float64())})
+
+    placed = cells.withColumn("r", F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: c < F.col("v"))))
+    middles = placed.repartition(n_tasks, "r").groupBy("r").applyInArrow(middle, "iteration int, v double").groupBy("iteration").agg(F.avg("v").alias("median_value"))
+    spark = trades.sparkSession
+    sums = spark.createDataFrame(pa.table({"iteration": pa.array(range(iterations), pa.int32()), "n_drawn": n, "total": total}))  # one row an iteration
+    mean = F.col("total") / F.nullif(F.col("n_drawn"), F.lit(0))
+    return sums.join(middles, "iteration", "left").select("iteration", "n_drawn", mean.alias("mean_value"), "median_value", "total")
 
 
 def bootstrap_summary(resamples: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, explore, micro
@@ -44,6 +44,34 @@ def confirmations(direction: Column, rsi: Column, trend: Column) -> dict[str, Co
     return {"BASE": F.lit(True), "A": a, "B": b, "C": c, "TWO_OF_THREE": a.cast("int") + b.cast("int") + c.cast("int") >= 2}
 
 
+#: Ranges of scores that ranks are counted in.
+SCORE_RANGES = 256
+
+
+def sliced_auc(calls: DataFrame, masks: dict[str, Column], score: str) -> DataFrame:
+    """(slice, auc) of many overlapping slices: the chance that a long row outranks a short one, ties counting half.
+
+    One table of distinct scores holds every slice's counts, so a row is read once whatever the slices it lies in. Running
+    counts go inside ranges of scores, whose bounds come from a sketch, and start from the counts of earlier ranges; any
+    bounds give the same result. Rows without a score take no part; a slice of one class has none.
+    """
+    names = list(masks)
+    up = F.col("y_true") == 1
+    counted = {f"{side}{k}": F.count_if(F.coalesce(m, F.lit(False)) & (up if side == "p" else ~up)) for k, m in enumerate(masks.values()) for side in ("p", "n")}
+    cells = calls.filter(F.col(score).isNotNull() & F.col("y_true").isin(1, -1)).groupBy(F.col(score).alias("_v")).agg(*(c.alias(n) for n, c in counted.items()))
+    bounds = cells.agg(F.approx_percentile("_v", [k / SCORE_RANGES for k in range(1, SCORE_RANGES)], 2000).alias("_bounds"))
+    placed = cells.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")  # one row
+    ranges = placed.groupBy("_range").agg(*(F.sum(n).alias(n) for n in counted))  # SCORE_RANGES rows
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_range", *(F.coalesce(F.sum(f"n{k}").over(earlier), F.lit(0)).alias(f"_o{k}") for k in range(len(names))))
+    inside = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    below = placed.withColumns({f"_b{k}": F.coalesce(F.sum(f"n{k}").over(inside), F.lit(0)) for k in range(len(names))}).join(F.broadcast(offsets), "_range")
+    won = [F.sum(F.col(f"p{k}") * (F.col(f"_b{k}") + F.col(f"_o{k}") + F.col(f"n{k}") / 2.0)) for k in range(len(names))]
+    pairs = [F.sum(f"p{k}") * F.sum(f"n{k}") for k in range(len(names))]
+    row = below.agg(*(F.struct(F.lit(n).alias("slice"), (w / F.nullif(p, F.lit(0))).alias("auc")).alias(f"s{k}") for k, (n, w, p) in enumerate(zip(names, won, pairs, strict=True))))
+    return row.select(F.explode(F.array(*(F.col(f"s{k}") for k in range(len(names))))).alias("s")).select("s.*")
+
+
 def regime_slices(atr_median: Column, channel_median: Column) -> dict[str, Column]:
     """Masks over the columns of the swing features."""
     atr, width, trend, ratio, hour, day = (F.col(c) for c in ("atr_norm_14", "channel_width_20", "trend_regime", "vol_ratio_5_20", "hour", "day_of_week"))

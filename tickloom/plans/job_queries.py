@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import evaluate, features, jobs, models, quality, splits
+from tickloom import streaming
+from tickloom.operators import evaluate, features, jobs, linear, quality, splits, trees
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.explore_queries import _EXO, _REPORTS, exo_shifted, reports
@@ -76,20 +77,25 @@ def m21(spark, sf_dir):
     return made.groupBy("symbol", "y_pred", "y_gated").agg(F.count("*").alias("n"))
 
 
-def _logistic(train, names):
-    return models.logistic(train, names, iterations=10)  # a few seconds each; differences between runs are what is shown
+FITS = {
+    "logistic": linear.fit,
+    "logistic_balanced": lambda t, f: linear.fit(t, f, balanced=True),
+    "forest": lambda t, f: trees.fit(t, f, keys=["symbol", "time"]),
+    "forest_balanced": lambda t, f: trees.fit(t, f, keys=["symbol", "time"], balanced=True),
+}
 
 
 @query("M06_ablation")
 def m06(spark, sf_dir):
-    """Rows only: a logistic model without and with groups of features, fold by fold."""
-    folded = splits.folds(dataset(spark, sf_dir), 300, 2, 4).persist()
-    return jobs.ablation(folded, {"returns": FEATURES[:2], "all": FEATURES}, 2, _logistic)
+    """Rows only: a logistic model without and with groups of features, on ten folds."""
+    masked = streaming.stored(splits.fold_masks(dataset(spark, sf_dir), 300, 10, 4))
+    return jobs.ablation(masked, {"returns": FEATURES[:2], "all": FEATURES}, 10)
 
 
 @query("C08_final_test")
 def c08(spark, sf_dir):
-    """Rows only: scores on validation and test rows, and what a model loses between them."""
-    scores = jobs.held_out(splits.split(dataset(spark, sf_dir)).persist(), FEATURES, {"logistic": _logistic}, ("validation", "test"))
-    both = scores.groupBy("model").pivot("split", ["validation", "test"]).agg(F.first("accuracy").alias("accuracy"), F.first("balanced_accuracy").alias("balanced_accuracy"))
-    return both.withColumn("fall", F.col("validation_balanced_accuracy") - F.col("test_balanced_accuracy"))
+    """Rows only: the measures on validation and test rows, and what a model loses between them."""
+    table = streaming.stored(splits.split(dataset(spark, sf_dir)))
+    calls = streaming.stored(jobs.calls_of(table, FEATURES, {n: FITS[n] for n in ("logistic_balanced", "forest_balanced")}, ("validation", "test")))
+    both = jobs.held_out(calls).groupBy("model", "metric").pivot("split", ["validation", "test"]).agg(F.first("value"))
+    return both.withColumn("fall", F.col("validation") - F.col("test"))

@@ -425,8 +425,8 @@ def t02(spark, sf_dir):
 
 @query("T04_bootstrap")
 def t04(spark, sf_dir):
-    """Rows only: a seeded resampling."""
-    return stats.bootstrap_summary(stats.bootstrap(trades(spark, sf_dir), "net_pnl", 200))
+    """Rows only: 10,000 seeded resamples (tested against a plain loop and against the theory)."""
+    return stats.bootstrap_summary(stats.bootstrap(trades(spark, sf_dir), "net_pnl", 10_000))
 
 
 @query("T05_gates", f"{_T}, m AS (SELECT count(*) AS n, sum(net_pnl) AS total, avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0.0 END) AS wr FROM trades) SELECT unnest([{{g: 'enough_trades', p: n >= 100}}, {{g: 'profitable', p: total > 0}}, {{g: 'win_rate', p: wr > 0.5}}]).g AS gate, unnest([{{g: 'enough_trades', p: n >= 100}}, {{g: 'profitable', p: total > 0}}, {{g: 'win_rate', p: wr > 0.5}}]).p AS passed FROM m")

@@ -10,8 +10,8 @@ from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.explore_queries import _REPORTS, reports
 from tickloom.plans.feature_queries import PRICE, VOLATILITY
-from tickloom.plans.job_queries import SHIFT
-from tickloom.plans.model_queries import FEATURES, dataset
+from tickloom.plans.job_queries import FITS, SHIFT
+from tickloom.plans.model_queries import FEATURES, dataset, train_rows
 from tickloom.sources import readers
 from tickloom.sources.adapters import D1, H1, bars, exo_daily
 
@@ -127,27 +127,11 @@ def s08(spark, sf_dir):
     return made.select(F.element_at(F.split("path", "/"), -1).alias("name"), "n_bytes", "sha256")
 
 
-def _logistic(train, names):
-    return models.logistic(train, names, iterations=10)
-
-
-def _balanced(train, names):
-    return models.logistic(train, names, balanced=True, iterations=10)
-
-
-def _forest(train, names):
-    return models.forest(train, names, trees=10, depth=5)
-
-
-def _balanced_forest(train, names):
-    return models.forest(train, names, trees=10, depth=5, balanced=True)
-
-
 @query("K03_importance_ranks")
 def k03(spark, sf_dir):
-    """Rows only: features by forest importance and by mean absolute coefficient (the fits have tests)."""
-    train = streaming.stored(splits.split(dataset(spark, sf_dir)).filter("split = 'train'"))
-    ranked = [models.importances(fit(train, FEATURES), FEATURES).withColumn("model", F.lit(name)) for name, fit in (("forest", _forest), ("logistic", _logistic))]
+    """Rows only: features by forest importance and by mean absolute coefficient (the fits have tests and SQL of their own)."""
+    train = train_rows(spark, sf_dir)
+    ranked = [models.importances(FITS[name](train, FEATURES), FEATURES).withColumn("model", F.lit(name)) for name in ("forest", "logistic")]
     return ranked[0].unionByName(ranked[1])
 
 
@@ -155,15 +139,17 @@ def k03(spark, sf_dir):
 def c07(spark, sf_dir):
     """Rows only: majority, logistic and forest models, weighted by class and not, on the validation rows."""
     table = streaming.stored(splits.split(dataset(spark, sf_dir)))
-    fits = {"logistic": _logistic, "logistic_balanced": _balanced, "forest": _forest, "forest_balanced": _balanced_forest}
-    return jobs.held_out(table, FEATURES, fits, ("validation",))
+    return jobs.held_out(streaming.stored(jobs.calls_of(table, FEATURES, FITS, ("validation",))))
 
 
 @query("C09_candidate_features")
 def c09(spark, sf_dir):
-    """Rows only: does the candidate set beat the base set over the folds (gain, t, signs, gates)?"""
-    folded = streaming.stored(splits.folds(dataset(spark, sf_dir), 300, 3, 4, 2))
-    runs = jobs.ablation(folded, {"base": FEATURES[:3], "candidate": FEATURES}, 3, _logistic)
-    tested = stats.with_p_values(stats.one_sample(runs.filter("feature_set = 'candidate'"), ["feature_set"], "gain"))
+    """Rows only: does the candidate set beat the base set over ten embargoed folds (gain, t, signed ranks, gates)?"""
+    masked = streaming.stored(splits.fold_masks(dataset(spark, sf_dir), 300, 10, 4, 2))
+    runs = streaming.stored(jobs.ablation(masked, {"base": FEATURES[:3], "candidate": FEATURES}, 10))
+    gains = runs.filter("feature_set = 'candidate'")
+    tested = stats.with_p_values(stats.one_sample(gains, ["feature_set"], "gain"))
+    ranks = stats.with_signed_rank_p(stats.signed_rank(gains, ["feature_set"], "gain")).select("feature_set", "w_statistic", F.col("p_value").alias("signed_rank_p_value"))
     rules = {"mean_gain": "mean_value > 0", "most_folds": "n_positive > n / 2", "significant": "p_value < 0.05"}
-    return tested.join(stats.gates(tested, rules).groupBy().agg(F.bool_and("passed").alias("all_passed"), F.count_if("passed").alias("n_passed")).withColumn("feature_set", F.lit("candidate")), "feature_set")
+    gates = stats.gates(tested, rules).groupBy().agg(F.bool_and("passed").alias("all_passed"), F.count_if("passed").alias("n_passed")).withColumn("feature_set", F.lit("candidate"))
+    return tested.join(ranks, "feature_set", "left").join(gates, "feature_set")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import streaming
-from tickloom.operators import evaluate, features, labels, ledger, models, splits
+from tickloom.operators import evaluate, features, labels, ledger, linear, models, splits, trees
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.sources.adapters import H1, H4, bars, preds
@@ -146,25 +146,28 @@ def dataset(spark, sf_dir):
     return splits.usable(x.join(y, ["symbol", "time"]), [*FEATURES, "label"])
 
 
+def train_rows(spark, sf_dir):
+    """Stored once: a fit scans it in each step."""
+    return streaming.stored(splits.split(dataset(spark, sf_dir)).filter("split = 'train'"))
+
+
 @query("M03_logistic")
 def m03(spark, sf_dir):
-    """Rows only: fitted coefficients."""
-    return models.importances(models.logistic(splits.split(dataset(spark, sf_dir)).filter("split = 'train'"), FEATURES, balanced=True), FEATURES)
+    """Rows only: mean absolute coefficients of the converged fit (M03_newton_steps has SQL)."""
+    return models.importances(linear.fit(train_rows(spark, sf_dir), FEATURES, balanced=True), FEATURES)
 
 
 @query("M04_forest")
 def m04(spark, sf_dir):
-    """Rows only: forest importances."""
-    train = splits.split(dataset(spark, sf_dir)).filter("split = 'train'")
-    return models.importances(models.forest(train, FEATURES, trees=20, depth=5), FEATURES)
+    """Rows only: importances of 100 trees of ten levels (M04_grown_tree has SQL)."""
+    return models.importances(trees.fit(train_rows(spark, sf_dir), FEATURES, keys=["symbol", "time"]), FEATURES)
 
 
 @query("M05_walk_forward")
 def m05(spark, sf_dir):
-    """Rows only: out-of-fold metrics of two models."""
-    data = splits.folds(dataset(spark, sf_dir), 300, 2, 4).persist()
-    fits = {"logistic": models.logistic, "forest": lambda t, f: models.forest(t, f, trees=10, depth=4)}
-    return models.fold_metrics(models.walk_forward(data, FEATURES, 2, fits))
+    """Rows only: out-of-fold metrics of logistic models on ten folds, fitted in the same scans."""
+    data = streaming.stored(splits.fold_masks(dataset(spark, sf_dir), 300, 10, 4))
+    return models.fold_metrics(models.walk_forward_logistic(data, {"plain": FEATURES, "balanced_few": FEATURES[:3]}, 10))
 
 
 # streams: the result of a replay over the files equals the batch result

@@ -1,9 +1,11 @@
-"""Queries of streams with keyed state, run over several micro-batches with restarts."""
+"""Queries of streams with keyed state, run over several micro-batches with restarts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom import streaming
+from tickloom.operators import features, labels, linear
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.feature_queries import ACTIVITY, GAPS, MOMENTUM, TREND, VOLATILITY, digits_of, round_all, staged
@@ -54,6 +56,41 @@ def r03_state(spark, sf_dir):
     return round_all(spark.read.parquet(f"{folder}/out/*"))
 
 
+_INPUTS = ["roc_5", "rsi_14", "vol_std_20", "tick_vol_ratio_20"]
+_MODEL_AT = CUTS[1]
+
+
+def scored_by(path: str, version: str):
+    """Maps rows with features to rows with p_short, p_neutral and p_long by a saved model, which each micro-batch loads."""
+
+    def score(rows):
+        p = linear.load(rows.sparkSession, path, version).probabilities()
+        return rows.withColumn("_p", p).select("*", *(F.get("_p", F.lit(k)).alias(f"p_{c}") for k, c in enumerate(("short", "neutral", "long")))).drop("_p")
+
+    return score
+
+
+def fitted(spark, sf_dir):
+    """A model of the direction after four bars, fitted on the bars before the second cut, under a version in the shared folder."""
+    b = bars(spark, sf_dir, H1)
+    x = features.build(b, _BLOCKS).select("symbol", "time", *_INPUTS)
+    y = labels.label(b, labels.directions).select("symbol", "time", (F.col("direction_4") + 1.0).alias("label"))
+    train = streaming.stored(x.join(y, ["symbol", "time"]).filter(F.col("time") + 4 * H1 < _MODEL_AT))
+    folder = streaming.shared_folder(spark)
+    linear.save(linear.fit(train, _INPUTS), spark, folder, "v1")
+    return folder
+
+
+@query("R04_calls_of_a_fitted_model")
+def r04_model(spark, sf_dir):
+    """Rows only (a test holds them against the calls of the table): a saved model on bars that arrive in parts."""
+    models = fitted(spark, sf_dir)
+    parts = dealt(_arrivals(spark, sf_dir), F.col("time"))
+    then = lambda rows: streaming.with_calls(rows, scored_by(models, "v1"), H1, CUTS[2] + 10 * H1)
+    folder = stateful.in_parts(parts, lambda stream, folder: stateful.live_features(stream, folder, _BLOCKS, _INPUTS, H1, then))
+    return spark.read.parquet(f"{folder}/out/*").select("symbol", "time", "action", "reason", "confidence")
+
+
 @query(
     "R01_refused_bars",
     f"{q.bars_with(H1)} SELECT symbol, time, 'INCOMPLETE' AS reason FROM bars WHERE time//{H1} % 7 = 0 UNION ALL SELECT symbol, time, 'DUPLICATE' FROM bars WHERE time//{H1} % 11 = 0 UNION ALL SELECT symbol, time + 1, 'BAD_OHLC' FROM bars WHERE time//{H1} % 13 = 0 UNION ALL SELECT symbol, time - 10, 'REGRESSION' FROM bars WHERE time//{H1} % 17 = 0",

@@ -13,6 +13,8 @@ from tickloom.plans.feature_queries import SWING, staged
 from tickloom.plans.ledger_queries import _USABLE, DAY, usable
 from tickloom.sources.adapters import H1, H4, M15, bars, ticks
 
+# how far the last four bars went; prices have five digits
+_SCORE = f"round(close - {q.lag('close', 4)}, 7) + 0.0 AS score"
 # two-way calls of the persistence model on four-hour bars
 _CALLS = f"CASE WHEN close > {q.lag('close', 4)} THEN 1.0::DOUBLE ELSE -1.0 END AS y_pred, CASE WHEN {q.lead('close', 4)} > close THEN 1.0::DOUBLE WHEN {q.lead('close', 4)} < close THEN -1.0 END AS y_true"
 
@@ -20,10 +22,11 @@ _CALLS = f"CASE WHEN close > {q.lag('close', 4)} THEN 1.0::DOUBLE ELSE -1.0 END
 def calls(spark, sf_dir):
     def add(df, f):
         later = f.lead("close", 4)
-        return df.withColumn("y_pred", studies.persistence(F.col("close") - f.lag("close", 4))).withColumn("y_true", F.when(later > F.col("close"), 1.0).when(later < F.col("close"), -1.0))
+        moved = F.col("close") - f.lag("close", 4)
+        return df.withColumn("y_pred", studies.persistence(moved)).withColumn("score", F.round(moved, 7) + F.lit(0.0)).withColumn("y_true", F.when(later > F.col("close"), 1.0).when(later < F.col("close"), -1.0))
 
     made = over_blocks(bars(spark, sf_dir, H4), add, 4, 4)
-    return made.filter("y_true is not null").select("symbol", "time", "y_pred", "y_true")
+    return made.filter("y_true is not null").select("symbol", "time", "y_pred", "y_true", "score")
 
 
 def sliced_sql(masks: dict[str, str], source: str) -> str:
@@ -53,15 +56,19 @@ _TAKEN = {"atr": "atr_norm_14", "ratio": "vol_ratio_5_20", "trend": "trend_regim
 
 @query(
     "M19_regime_slices",
-    f"{staged(H4)}, ft AS (SELECT symbol, time, {', '.join(f'round({SWING[c]}, 9) AS {a}' for a, c in _TAKEN.items())} FROM f1), c AS (SELECT symbol, time, {_CALLS} FROM bars), k0 AS (SELECT * FROM c JOIN ft USING (symbol, time) WHERE y_true IS NOT NULL), k AS (SELECT k0.*, (SELECT quantile_cont(atr, 0.5) FROM k0) AS am, (SELECT quantile_cont(width, 0.5) FROM k0) AS wm FROM k0), {sliced_sql(_SLICES, 'k')}",
+    f"{staged(H4)}, ft AS (SELECT symbol, time, {', '.join(f'round({SWING[c]}, 9) AS {a}' for a, c in _TAKEN.items())} FROM f1), c AS (SELECT symbol, time, {_CALLS}, {_SCORE} FROM bars), k0 AS (SELECT * FROM c JOIN ft USING (symbol, time) WHERE y_true IS NOT NULL), k AS (SELECT k0.*, (SELECT quantile_cont(atr, 0.5) FROM k0) AS am, (SELECT quantile_cont(width, 0.5) FROM k0) AS wm FROM k0), "
+    f"q AS (SELECT y_true, score, unnest([{', '.join(f'{{s: {chr(39)}{n}{chr(39)}, m: coalesce({m}, false)}}' for n, m in _SLICES.items())}]) AS x FROM k WHERE score IS NOT NULL), r AS (SELECT x.s AS slice, y_true, rank() OVER w + (count(*) OVER (PARTITION BY x.s, score) - 1)/2.0 AS rk FROM q WHERE x.m WINDOW w AS (PARTITION BY x.s ORDER BY score)), "
+    f"u AS (SELECT slice, {q.count_if('y_true=1')} AS np, {q.count_if('y_true=-1')} AS nn, sum(CASE WHEN y_true=1 THEN rk END) AS rs FROM r GROUP BY 1), base AS (WITH {sliced_sql(_SLICES, 'k')}) "
+    "SELECT base.*, round((rs - np*(np+1)/2.0)/nullif(np*nn,0),6)+0.0 AS auc FROM base LEFT JOIN u USING (slice)",
 )
 def m19(spark, sf_dir):
     made = features.build(bars(spark, sf_dir, H4), ["swing"])
     made = made.select("symbol", "time", *(F.round(c, 9).alias(c) for c in _TAKEN.values()))  # clear of ties at the bounds
-    both = calls(spark, sf_dir).join(made, ["symbol", "time"])
+    both = streaming.stored(calls(spark, sf_dir).join(made, ["symbol", "time"]))
     bounds = both.agg(F.percentile("atr_norm_14", F.lit(0.5)).alias("atr_median"), F.percentile("channel_width_20", F.lit(0.5)).alias("channel_median"))
-    marked = both.crossJoin(F.broadcast(bounds))  # one row
-    return sliced(studies.sliced_metrics(marked, studies.regime_slices(F.col("atr_median"), F.col("channel_median"))))
+    marked = streaming.stored(both.crossJoin(F.broadcast(bounds)))  # one row of bounds
+    slices = studies.regime_slices(F.col("atr_median"), F.col("channel_median"))
+    return rounded(sliced(studies.sliced_metrics(marked, slices)).join(studies.sliced_auc(marked, slices, "score"), "slice", "left"), "auc", digits=6)
 
 
 _FINE = f"d1 AS (SELECT symbol, time, open, close, close - {q.lag('close')} AS dlt FROM bars), fine AS (SELECT symbol, time, sign(close-open) AS direction, round(100.0*({q.mean('greatest(dlt,0.0)', 14)})/nullif(({q.mean('greatest(dlt,0.0)', 14)})+({q.mean('greatest(-dlt,0.0)', 14)}),0),8) AS rsi, round(close/({q.mean('close', 20)})-1,10) AS trend FROM d1)"
