@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,26 @@ def strong_event_trades(events: DataFrame, bars: DataFrame, step: int, hold: int
     return studies.event_trades(strong, bars, step, hold, costs, DAY)
 
 
+def event_features(events: DataFrame, bars: DataFrame, step: int, hold: int, cost: float) -> DataFrame:
+    """Each event entered at once, with the move of the last whole bar, the hour on a circle and its side; label 1 if the trade wins after cost."""
+    moves = bars.select("symbol", "time", F.round(F.abs(F.col("close") / F.col("open") - 1), 6).alias("move"))
+    placed = asof.asof(events.withColumn("_whole", F.col("event_time") - step), moves, ["symbol"], "_whole", "time", ["move"], DAY).drop("_whole", "time")
+    traded = studies.event_trades(placed, bars, step, hold, (cost,), DAY).filter("mode = 'IMMEDIATE' and move is not null")
+    turn = F.hour(F.timestamp_seconds("event_time")) * (2 * math.pi / 24)
+    return traded.select("symbol", "event_id", "event_time", "move", F.sin(turn).alias("hour_sin"), F.cos(turn).alias("hour_cos"), "side", "net", (F.col("net") > 0).cast("double").alias("label"))
+
+
+def two_class_scores(train: DataFrame, rest: DataFrame, features: list[str], fits: dict) -> DataFrame:
+    """(model, n_rows, accuracy, auc, n_taken, mean_net) of models of a label of 0 and 1 on rows that they were not fitted on; trades with a chance above a half are taken."""
+    out = []
+    for name, fit in fits.items():
+        called = models.predict(fit(train, features), rest, ["event_id", "net"]).withColumn("score", F.get("probability", F.lit(1)))
+        sums = called.agg(F.count("*").alias("n_rows"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"), F.count_if(F.col("score") > 0.5).alias("n_taken"), F.avg(F.when(F.col("score") > 0.5, F.col("net"))).alias("mean_net"))
+        ranks = evaluate.ranked(called.withColumn("_one", F.lit(1)), F.col("score"), F.col("label") == 1, ["_one"])
+        out.append(sums.crossJoin(F.broadcast(evaluate.area_under_curve(ranks, ["_one"]).select("auc"))).withColumn("model", F.lit(name)))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
 def gated(scored: DataFrame, mask: Column, neutral: float = 0.0) -> DataFrame:
     """Rows scored once; outside the regime mask (missing included) the call is neutral."""
     return scored.withColumn("y_gated", F.when(F.coalesce(mask, F.lit(False)), F.col("y_pred")).otherwise(neutral))

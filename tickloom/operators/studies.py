@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,9 +112,9 @@ def stepped_folds(df: DataFrame, n_folds: int, horizon: int, initial: float = 0.
 
 
 def governance(table: DataFrame, least_rows: dict[str, int], purge: int, forbidden: set[str], features: list[str], classes: set[float], target: str) -> DataFrame:
-    """Named checks of a split table (split, time, usable_idx, target) before the test rows may be used."""
+    """Named checks of each symbol's split table (split, time, usable_idx, target) before its test rows may be used."""
     is_ = lambda s: F.col("split") == s
-    row = table.agg(
+    row = table.groupBy("symbol").agg(
         *(F.count_if(is_(s)).alias(f"n_{s}") for s in least_rows), *(F.min(F.when(is_(s), F.col("time"))).alias(f"from_{s}") for s in least_rows), *(F.max(F.when(is_(s), F.col("time"))).alias(f"to_{s}") for s in least_rows),
         *(F.min(F.when(is_(s), F.col("usable_idx"))).alias(f"first_{s}") for s in least_rows), *(F.max(F.when(is_(s), F.col("usable_idx"))).alias(f"last_{s}") for s in least_rows),
         F.array_sort(F.collect_set(F.when(is_("test"), F.col(target)))).alias("classes"),
@@ -125,7 +127,7 @@ def governance(table: DataFrame, least_rows: dict[str, int], purge: int, forbidd
         "classes": f"classes = array({', '.join(f'double({c})' for c in sorted(classes))})",
     }
     rows = F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(F.expr(r), F.lit(False)).alias("passed")) for n, r in rules.items()))
-    return row.select(F.explode(rows).alias("r")).select("r.*")
+    return row.select("symbol", F.explode(rows).alias("r")).select("symbol", "r.*")
 
 
 def merged_reports(legacy: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,11 +180,23 @@ def validated(bars: DataFrame, step: int) -> DataFrame:
 
 
 def explored(bars: DataFrame, step: int) -> DataFrame:
-    """Counts and figures of an exploratory report, one row a symbol: prices, gaps, worst gap, activity."""
-    prices = explore.price_statistics(bars).select("symbol", "n_rows", "mean_close", "n_bull", "n_bear", "n_doji")
-    gaps = micro.gaps(bars, step).groupBy("symbol").agg(F.count("*").alias("n_gaps"), F.max("missing_bars").alias("longest_gap"))
-    volume = bars.groupBy("symbol").agg(F.sum("tick_volume").alias("n_ticks"))
-    return prices.join(gaps, "symbol", "left").join(volume, "symbol").fillna(0, ["n_gaps", "longest_gap"])
+    """The whole exploratory report in long form (symbol, section, name, value): prices (A03), times (A04), volumes over all symbols (A05), gaps by class and their longest (A06), steps."""
+
+    def melted(made: DataFrame, section: str, *keys: str) -> DataFrame:
+        measures = [c for c in made.columns if c not in ("symbol", *keys)]
+        name = lambda c: F.concat_ws("/", *keys, F.lit(c))
+        return made.select("symbol", F.explode(F.array(*(F.struct(name(c).alias("name"), F.col(c).cast("double").alias("value")) for c in measures))).alias("m")).select("symbol", F.lit(section).alias("section"), "m.*")
+
+    found = micro.gaps(bars, step).groupBy("symbol", "gap_class").agg(F.count("*").alias("n"), F.max("missing_bars").alias("longest"))
+    volumes = explore.volume_statistics(bars, ["tick_volume", "spread", "real_volume"]).withColumn("symbol", F.lit("all"))
+    parts = [
+        melted(explore.price_statistics(bars), "prices"),
+        melted(explore.temporal_statistics(bars), "times", "kind", "value"),
+        melted(volumes, "volumes", "column"),
+        melted(found, "gaps", "gap_class"),
+        melted(micro.gap_statistics(bars, step), "steps"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def split_report(usable: DataFrame, horizons: tuple[int, ...], embargo: int, train: float = 0.7, validation: float = 0.15) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import linear, trees
+from tickloom import streaming
+from tickloom.operators import evaluate, jobs, ledger, linear, trees
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
-from tickloom.sources.adapters import trades
+from tickloom.plans.study_queries import events
+from tickloom.sources.adapters import H1, M15, bars, trades
 
 _STEPS = 4
 _X = ["entry_spread_pts", "holding_bars"]
@@ -66,10 +68,51 @@ def _tree_sql() -> str:
     return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT node, {names} AS feature, round(threshold,6)+0.0 AS threshold, round(gain,6)+0.0 AS gain, CAST({total('a')} AS BIGINT) AS n_rows FROM b{k}" for k in range(_DEPTH))
 
 
+def _grown(spark, sf_dir):
+    table = trades(spark, sf_dir).select("trade_id", *_T, F.expr(_LABEL).cast("double").alias("label"))
+    return trees.fit(table, _T, keys=["trade_id"], trees=1, depth=_DEPTH, least_leaf=_LEAF, bins=_BINS, draw=False)
+
+
+@query("M22_importances", f"SELECT feature, round(coalesce(g, 0)/sum(g) OVER (), 5)+0.0 AS importance, CAST(row_number() OVER (ORDER BY coalesce(g, 0) DESC, feature) AS INTEGER) AS rank FROM (SELECT unnest({_T}) AS feature) LEFT JOIN (SELECT feature, sum(gain) AS g FROM ({_tree_sql()}) GROUP BY 1) USING (feature)")
+def m22(spark, sf_dir):
+    """Shares of the gains of the grown tree."""
+    return rounded(_grown(spark, sf_dir).importances(spark), "importance", digits=5)
+
+
 @query("M04_grown_tree", _tree_sql())
 def m04_tree(spark, sf_dir):
     """The splits of one tree of three levels, without draws."""
-    table = trades(spark, sf_dir).select("trade_id", *_T, F.expr(_LABEL).cast("double").alias("label"))
-    model = trees.fit(table, _T, keys=["trade_id"], trees=1, depth=_DEPTH, least_leaf=_LEAF, bins=_BINS, draw=False)
-    nodes = model.table(spark).filter("feature is not null")
+    nodes = _grown(spark, sf_dir).table(spark).filter("feature is not null")
     return rounded(nodes.select("node", "feature", "threshold", "gain", F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("n_rows")), "threshold", "gain", digits=6)
+
+
+_BUY, _SELL = "p_long = top AND p_long > p_short AND p_long >= 0.45::DOUBLE", "p_short = top AND p_short >= 0.45::DOUBLE AND p_short > p_long"
+
+
+@query(
+    "R08_decision_counts",
+    f"WITH {q.preds()}, p AS (SELECT *, greatest(p_short,p_neutral,p_long) AS top, event_id * 17 % 500 AS latency_ms FROM preds), d AS (SELECT *, CASE WHEN {_BUY} THEN 'BUY' WHEN {_SELL} THEN 'SELL' ELSE 'HOLD' END AS action FROM p) "
+    "SELECT symbol, action, CAST(y_pred AS INT) AS class, top >= 0.6::DOUBLE AS is_sure, count(*) AS n, round(min(top),8)+0.0 AS min_confidence, round(max(top),8)+0.0 AS max_confidence, round(avg(top),8)+0.0 AS mean_confidence, round(avg(latency_ms),6)+0.0 AS mean_latency_ms, max(latency_ms) AS max_latency_ms FROM d GROUP BY ALL",
+)
+def r08_counts(spark, sf_dir):
+    """Running counts by decision, class and threshold, with confidences and latencies, at the stream's end."""
+    e = F.col("event_id")
+    quotes = streaming.read_quotes(spark, f"{sf_dir}/events.parquet")
+    raw = quotes.select("symbol", "event_id", *((e * m % k + 1).cast("double").alias(n) for n, m, k in (("a", 37, 101), ("b", 59, 103), ("c", 83, 107))))
+    total = F.col("a") + F.col("b") + F.col("c")
+    y_pred = F.when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), -1).when(F.col("b") >= F.col("c"), 0).otherwise(1)
+    scored = raw.select("symbol", "event_id", y_pred.alias("class"), *((F.col(x) / total).alias(n) for x, n in (("a", "p_short"), ("b", "p_neutral"), ("c", "p_long"))), (e * 17 % 500).alias("latency_ms"))
+    called = scored.withColumns({"action": ledger.decision(F.col("p_short"), F.col("p_neutral"), F.col("p_long"), 0.45), "top": evaluate.top()})
+    return rounded(rounded(streaming.replay(streaming.running_decisions(called, 0.6), "complete"), "min_confidence", "max_confidence", "mean_confidence"), "mean_latency_ms", digits=6)
+
+
+_EVENT_INPUTS = ["move", "hour_sin", "hour_cos", "side"]
+_HOLDOUT = 1_705_500_000
+
+
+@query("C10_event_models")
+def c10_models(spark, sf_dir):
+    """Rows only (the fits and the trades have SQL of their own): does the entry at once win? Models on event features, fitted before the holdout."""
+    table = streaming.stored(jobs.event_features(events(spark, sf_dir), bars(spark, sf_dir), M15, H1, 1.5))
+    train, rest = table.filter(F.col("event_time") < _HOLDOUT), table.filter(F.col("event_time") >= _HOLDOUT)
+    return jobs.two_class_scores(train, rest, _EVENT_INPUTS, {"logistic": linear.fit, "forest": lambda t, f: trees.fit(t, f, keys=["event_id"])})

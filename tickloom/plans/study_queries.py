@@ -8,7 +8,8 @@ from tickloom import streaming
 from tickloom.operators import asof, features, micro, splits, studies
 from tickloom.operators.frames import TICK_RANGE, over_blocks, with_row_index
 from tickloom.plans import sql as q
-from tickloom.plans.catalog import query, rounded
+from tickloom.plans.catalog import ORACLE_SQL, query, rounded
+from tickloom.plans import explore_queries, quality_queries  # noqa: F401  their SQL
 from tickloom.plans.feature_queries import SWING, staged
 from tickloom.plans.ledger_queries import _USABLE, DAY, usable
 from tickloom.sources.adapters import H1, H4, M15, bars, ticks
@@ -130,10 +131,10 @@ def d07(spark, sf_dir):
 
 @query(
     "V29_governance",
-    f"{_USABLE}, t AS (SELECT *, CASE WHEN r4 > 0 THEN 1.0::DOUBLE WHEN r4 < 0 THEN -1.0 ELSE 0.0 END AS y FROM sp WHERE symbol = 'click'), g AS (SELECT {q.count_if(chr(39).join(('split=', 'train', '')))} AS nt, {q.count_if(chr(39).join(('split=', 'validation', '')))} AS nv, {q.count_if(chr(39).join(('split=', 'test', '')))} AS ns, max(CASE WHEN split='train' THEN time END) AS t1, min(CASE WHEN split='validation' THEN time END) AS v0, max(CASE WHEN split='validation' THEN time END) AS v1, min(CASE WHEN split='test' THEN time END) AS s0, max(CASE WHEN split='train' THEN i END) AS ti, min(CASE WHEN split='validation' THEN i END) AS vi, max(CASE WHEN split='validation' THEN i END) AS vj, min(CASE WHEN split='test' THEN i END) AS si, count(DISTINCT CASE WHEN split='test' THEN y END) AS nc FROM t), c AS (SELECT unnest([{{c: 'row_counts', p: nt>=20 AND nv>=5 AND ns>=5}}, {{c: 'chronology', p: t1<v0 AND v1<s0}}, {{c: 'purge_gap', p: vi-ti>=4 AND si-vj>=4}}, {{c: 'forbidden_columns', p: true}}, {{c: 'classes', p: nc=2}}]) AS x FROM g) SELECT x.c AS \"check\", coalesce(x.p, false) AS passed FROM c",
+    f"{_USABLE}, t AS (SELECT *, CASE WHEN r4 > 0 THEN 1.0::DOUBLE WHEN r4 < 0 THEN -1.0 ELSE 0.0 END AS y FROM sp), g AS (SELECT symbol, {q.count_if(chr(39).join(('split=', 'train', '')))} AS nt, {q.count_if(chr(39).join(('split=', 'validation', '')))} AS nv, {q.count_if(chr(39).join(('split=', 'test', '')))} AS ns, max(CASE WHEN split='train' THEN time END) AS t1, min(CASE WHEN split='validation' THEN time END) AS v0, max(CASE WHEN split='validation' THEN time END) AS v1, min(CASE WHEN split='test' THEN time END) AS s0, max(CASE WHEN split='train' THEN i END) AS ti, min(CASE WHEN split='validation' THEN i END) AS vi, max(CASE WHEN split='validation' THEN i END) AS vj, min(CASE WHEN split='test' THEN i END) AS si, list_sort(list(DISTINCT y) FILTER (split='test')) = [-1.0::DOUBLE, 1.0::DOUBLE] AS nc FROM t GROUP BY symbol), c AS (SELECT symbol, unnest([{{c: 'row_counts', p: nt>=20 AND nv>=5 AND ns>=5}}, {{c: 'chronology', p: t1<v0 AND v1<s0}}, {{c: 'purge_gap', p: vi-ti>=4 AND si-vj>=4}}, {{c: 'forbidden_columns', p: true}}, {{c: 'classes', p: nc}}]) AS x FROM g) SELECT symbol, x.c AS \"check\", coalesce(x.p, false) AS passed FROM c",
 )
 def v29(spark, sf_dir):
-    table = splits.split(usable(spark, sf_dir), 0.7, 0.15, 4, 2).filter("symbol = 'click'").withColumn("y", F.when(F.col("r4") > 0, 1.0).when(F.col("r4") < 0, -1.0).otherwise(0.0))
+    table = splits.split(usable(spark, sf_dir), 0.7, 0.15, 4, 2).withColumn("y", F.when(F.col("r4") > 0, 1.0).when(F.col("r4") < 0, -1.0).otherwise(0.0))
     return studies.governance(table, {"train": 20, "validation": 5, "test": 5}, 4, {"y", "r4", "time", "close"}, ["sma_20"], {-1.0, 1.0}, "y")
 
 
@@ -214,9 +215,30 @@ def c01(spark, sf_dir):
     return studies.validated(bars(spark, sf_dir, H1), H1).groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
 
 
-@query("C02_explored", f"{q.bars_with(H1)}, s AS (SELECT symbol, time, time - {q.lag('time')} AS step FROM bars), g AS (SELECT symbol, {q.count_if('step > 3600')} AS n_gaps, coalesce(max(CASE WHEN step > 3600 THEN step//3600 - 1 END),0) AS longest_gap FROM s GROUP BY 1), p AS (SELECT symbol, count(*) AS n_rows, round(avg(close),6)+0.0 AS mean_close, {q.count_if('close>open')} AS n_bull, {q.count_if('close<open')} AS n_bear, {q.count_if('close=open')} AS n_doji, CAST(sum(tick_volume) AS BIGINT) AS n_ticks FROM bars GROUP BY 1) SELECT * FROM p JOIN g USING (symbol)")
+def _melt(name: str, section: str, keys: tuple[str, ...] = (), symbol: str = "symbol") -> str:
+    """A query's rows in long form; hours' bars in place of quarters'."""
+    sql = ORACLE_SQL[name].replace("900", "3600") if name.startswith(("A06", "A07")) else ORACLE_SQL[name]
+    out = [c for c in (symbol, *keys) if c != "'all'"]
+    dropped = ", ".join(f'"{c}"' for c in out)
+    labels = " || '/' || ".join([*(f'"{c}"' for c in keys), "name"])
+    if name.startswith("A06"):
+        sql = f"SELECT symbol, gap_class, count(*) AS n, max(missing_bars) AS longest FROM ({sql}) GROUP BY ALL"
+    ids = ", ".join(f'"{c}" AS k_{i}' for i, c in enumerate(out))
+    labels = " || '/' || ".join([*(f"k_{out.index(c)}" for c in keys), "name"])
+    first = "'all'" if symbol == "'all'" else "k_0"
+    return f"SELECT {first} AS symbol, '{section}' AS section, {labels} AS name, value FROM (UNPIVOT (SELECT {ids}{', ' if ids else ''}CAST(COLUMNS(* EXCLUDE ({dropped})) AS DOUBLE) FROM ({sql})) ON COLUMNS(* EXCLUDE ({', '.join(f'k_{i}' for i in range(len(out)))})) INTO NAME name VALUE value)"
+
+
+_PARTS = " UNION ALL ".join(f"({x})" for x in (_melt("A03_price_statistics", "prices"), _melt("A04_temporal_statistics", "times", ("kind", "value")), _melt("A05_volume_statistics", "volumes", ("column",), "'all'"), _melt("A06_gaps", "gaps", ("gap_class",)), _melt("A07_gap_statistics", "steps")))
+
+
+@query("C02_explored", f"SELECT symbol, section, name, round(value, 6) + 0.0 AS value FROM ({_PARTS}) WHERE value IS NOT NULL")
 def c02(spark, sf_dir):
-    return rounded(studies.explored(bars(spark, sf_dir, H1), H1), "mean_close", digits=6)
+    """Moments of returns have four digits, as in A03; values that are missing are left out."""
+    made = studies.explored(streaming.stored(bars(spark, sf_dir, H1)), H1).filter("value is not null")
+    short = F.col("name").isin("skew_return", "kurtosis_return")
+    return made.withColumn("value", F.when(short, F.round("value", 4)).otherwise(F.round("value", 6)) + F.lit(0.0))
+
 
 
 _C06 = "unnest([" + ", ".join(f"{{h: {h}, e: {e}}}" for h in (1, 2, 4, 8) for e in (0, 3)) + "])"

@@ -92,6 +92,12 @@ def running_counts(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("symbol").agg(F.count("*").alias("n_ticks"), F.min("spread_points").alias("min_spread"), F.max("spread_points").alias("max_spread"), F.avg("spread_points").alias("mean_spread"))
 
 
+def running_decisions(called: DataFrame, threshold: float) -> DataFrame:
+    """Running counts by symbol, decision, class and whether the confidence reaches the threshold, with confidences and latencies (update or complete mode)."""
+    groups = called.groupBy("symbol", "action", "class", (F.col("top") >= threshold).alias("is_sure"))
+    return groups.agg(F.count("*").alias("n"), F.min("top").alias("min_confidence"), F.max("top").alias("max_confidence"), F.avg("top").alias("mean_confidence"), F.avg("latency_ms").alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
+
+
 def with_slow_table(bars: DataFrame, slow: DataFrame) -> DataFrame:
     """A static table of daily values joined to live bars by the day before, the last one that may be used."""
     return bars.withColumn("day", F.date_sub(F.timestamp_seconds("time").cast("date"), 1)).join(slow, "day", "left")
