@@ -6,17 +6,18 @@ folded) on its host. Spark sums the votes and takes the winner of each host. Sec
 again from its container at the host's winning path, or from its own best one where the page has none there, with
 the siblings on the same path that hold more text than links. A name's hint counts for the containers around it, so an
 inner container beats an outer one only where that adds no text outside links, or is no article where the inner one is.
-The page itself stands for an article where most of its text lies in none of several containers. Of equal scores the
+The page itself stands for an article where no container is one by tag or name, or where most of its text lies in none of several containers. Of equal scores the
 last in page order counts, of equal votes the last path in alphabetical order.
 
 The text of a container leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-hidden parts and reader comments. A header within an article belongs to it. Class words do not drop an article or
+hidden parts and reader comments. A header within an article belongs to it; there a class word leaves an element out only
+where the whole name says so. Class words do not drop an article or
 main element, nor an element that holds most of the page's text and is named as content in another word, nor the
 largest one that is not of comments where otherwise no text would be left. Character references are decoded, white space inside a block becomes one space, blocks
 are joined by one newline in page order.
 
 Defined results: a null html is the empty page, with an empty text; a null or odd url has no host, so the page goes
-by its own best container; unclosed and misnested tags are mended as browsers do for paragraphs, list items and table cells;
+by its own best container; unclosed and misnested tags are mended as browsers do for paragraphs, list items and table cells; the end tag of a left-out element ends it whatever blocks are open in it;
 repeated rows give repeated results; other columns are not read.
 """
 
@@ -51,6 +52,8 @@ _BOILERPLATE = re.compile(
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|comment-?\w+|disqus|respond|replies|reply|masthead|skip|search|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Name parts that say nothing of what an element holds.
+_PLAIN = re.compile(r"(?:area|articles?|bar|blocks?|bottom|box(?:es)?|btns?|buttons?|cards?|column|container|content|counts?|entr(?:y|ies)|feed|form|group|holder|icons?|inner|inline|inserts?|items?|left|links?|list|media|message|module|msg|outer|panel|posts?|right|row|section|slot|stories|story|text|thread|title|tools?|top|unit|wrap(?:per)?|zone|[0-9]+)", re.I)
 _COMMENTS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
 _HEADER = re.compile(r"header|masthead", re.I)
 _GOOD = re.compile(r"article|content|main|post|entry|story|body|text", re.I)
@@ -98,7 +101,11 @@ def _drops(name: str, names: str, in_article: bool) -> bool:
     """Whether class, id or role say that an element is no main text."""
     if name in ("html", "body", "article", "main") or not names.strip():
         return False
-    return any(not (in_article and _HEADER.search(m.group(0))) for m in _BOILERPLATE.finditer(names.replace(" ", "  ")))
+    if not in_article:
+        return _BOILERPLATE.search(names) is not None
+    # within an article a word counts only where the whole name says so: "related-posts", but not "related-work"
+    whole = (w for w in names.split() if all(_BOILERPLATE.fullmatch(part) or _PLAIN.fullmatch(part) for part in re.split(r"[-_]+", w) if part))
+    return any(not _HEADER.search(m.group(0)) for w in whole for m in _BOILERPLATE.finditer(w))
 
 
 def _parse(page: str, kept: frozenset[int]) -> tuple[list[Node], list[tuple[str | None, bool, bool]], list[Node]]:
@@ -152,7 +159,8 @@ def _parse(page: str, kept: frozenset[int]) -> tuple[list[Node], list[tuple[str
             pieces.append((" ", stack[-1].drop, links > 0))
         if m.group(1):
             k = last(name)
-            if k and (name in BLOCKS or blocks[-1] < k):  # an inline end tag does not close blocks
+            # an inline end tag does not close blocks, unless its element is where left-out text began
+            if k and (name in BLOCKS or blocks[-1] < k or (stack[k].drop and not stack[k - 1].drop)):
                 close_from(k)
             continue
         if name in RAW:
@@ -238,13 +246,16 @@ def scores(containers: list[Node], pieces: list[tuple[str | None, bool, bool]])
             inner.setdefault(c.up, []).append(size[c])
             if c in good:
                 good.add(c.up)
+    named = any((c.tag in ("article", "main") or c.good) and not c.drop and size[c] and c.tag not in ("body", "#") for c in containers)
     out = []
     for c in containers:
         body, links = size[c], linked[c.end] - linked[c.begin]
         own = inner.get(c, [0])
-        # the page as a whole stands for an article only if it adds text to a single container, or most lies directly in it
         adds = body - sum(own)
-        whole = c.tag in ("body", "#") and c in inner and (not adds or (sum(own) != max(own) and adds <= max(own)))
+        # the page as a whole stands for an article if no container is named as one; else only if it adds text to a
+        # single container, or most lies directly in it
+        alone = not adds and sum(own) == max(own)
+        whole = c.tag in ("body", "#") and c in inner and (alone or (named and (not adds or (sum(own) != max(own) and adds <= max(own)))))
         if c.drop or whole or body + links == 0:
             out.append(0.0)
             continue
