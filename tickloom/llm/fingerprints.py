@@ -105,7 +105,7 @@ def _blocks(docs: DataFrame) -> Column:
     total = docs.count()
     strata = min(STRATA, max(1, total // BLOCK_ROWS))
     bounds = sorted(set(docs.approxQuantile("doc_id", [i / strata for i in range(1, strata)], 0.2 / strata))) if strata > 1 else []
-    above = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    above = F.size(F.filter(F.array(*(F.lit(min(int(b), (1 << 63) - 1)) for b in bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
     stats = {r["s"]: r for r in docs.filter("doc_id is not null").groupBy(above.alias("s")).agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}  # at most STRATA rows
     firsts, lows, widths, at = [], [], [], 0
     for k in range(len(bounds), -1, -1):
@@ -116,8 +116,10 @@ def _blocks(docs: DataFrame) -> Column:
         lows.append(high)
         widths.append(max(1, -(-(high - low + 1) // n)))
         at += n
-    numbers = lambda x: F.array(*(F.lit(v).cast("long") for v in reversed(x)))
-    place = F.floor((F.get(numbers(lows), above) - F.col("doc_id")) / F.get(numbers(widths), above))
+    # ids may lie as far apart as longs can, so distances are wider numbers; rounding in the division keeps the order
+    numbers = lambda x, kind="long": F.array(*(F.lit(str(v)).cast(kind) for v in reversed(x)))
+    wide = "decimal(20,0)"
+    place = F.floor((F.get(numbers(lows, wide), above) - F.col("doc_id").cast(wide)) / F.get(numbers(widths, wide), above))
     nameless = max(1, docs.filter("doc_id is null").count() // BLOCK_ROWS)
     last = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * nameless)
     return F.coalesce(F.get(numbers(firsts), above) + place, F.lit(at) + last).cast("long")
@@ -134,7 +136,7 @@ def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     w = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "_tie", "text")
     near = dealt.withColumn("next_text", F.lead("text").over(w)).withColumn("words", word_hashes(F.col("text")))
     near = near.withColumn("sketch", bottom(shingle_hashes(F.col("words")), size)).drop("words").withColumn("next_sketch", F.lead("sketch").over(w))
-    heads = store(dealt.groupBy("block").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(0)), "_tie", "text")).alias("head")))
+    heads = store(dealt.groupBy("block").agg(F.min_by("text", F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(0))), "_tie", "text")).alias("head")))
     # numbers only, one for each block; order within groups of blocks, then one row for each group
     numbers = heads.select("block", F.floor(F.col("block") / BLOCK_GROUP).alias("group"))
     everywhere = Window.orderBy("group")
