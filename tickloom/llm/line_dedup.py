@@ -74,15 +74,21 @@ class Lines:
         self.number = np.arange(len(ends)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         letters = mix(self.code.astype(np.uint64) + _U(0x632BE59BD9B4E019))
         self.down = _powers(len(self.code) + 1, _INVERSE)
+        self.letters = letters
         self.total = np.zeros(len(self.code) + 1, dtype=np.uint64)
         np.cumsum(letters * _powers(len(self.code), _BASE), out=self.total[1:])
 
     def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Hash of each substring."""
+        """Rolling hash of each substring, for probes: what they find is verified."""
         return mix((self.total[start + length] - self.total[start]) * self.down[start] + length.astype(np.uint64))
 
     def ids(self) -> np.ndarray:
-        return self.hash(self.start, self.length)
+        """Identity of each line: a sum of mixed numbers of its characters and their places, which repetitive lines don't meet as they do rolling hashes."""
+        if not len(self.start):
+            return np.zeros(0, dtype=np.uint64)
+        place = np.arange(len(self.code)) - np.repeat(self.start, self.length + 1)  # the line's end counts too
+        places = mix(np.arange(1, int(self.length.max()) + 2, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+        return mix(np.add.reduceat(mix(self.letters ^ places[place]), self.start))
 
     def filled(self) -> np.ndarray:
         """Places of the lines that are not blank."""
