@@ -238,6 +238,15 @@ class Encoder:
         own = length > WIDE if self.rate > 0 else np.zeros(len(start), dtype=bool)  # nearly every long one skips something
         shared = np.flatnonzero(~own)
         _, first, which = np.unique(letters[shared], return_index=True, return_inverse=True)
+        # segments of one hash whose characters differ go alone, so that the hash decides nothing
+        twin = start[shared[first]][which]
+        at = np.repeat(start[shared], length[shared]) + (step := np.arange(int(length[shared].sum())) - np.repeat(np.cumsum(length[shared]) - length[shared], length[shared]))
+        odd = code[at] != code[np.minimum(np.repeat(twin, length[shared]) + step, n - 1)]
+        other = (length[shared[first]][which] != length[shared]) | (np.bincount(np.repeat(np.arange(len(shared)), length[shared]), weights=odd, minlength=len(shared)) > 0)
+        if other.any():
+            own[shared[other]] = True
+            shared = np.flatnonzero(~own)
+            _, first, which = np.unique(letters[shared], return_index=True, return_inverse=True)
         taken: list | None = [] if self.rate > 0 else None
         some = shared[first]
         flat_ids, begin, size = self._segments(symbol, start[some], length[some], key[some], 0.0, taken)
@@ -245,7 +254,8 @@ class Encoder:
         out_start[shared], out_length[shared] = begin[which], size[which]
         if taken is not None:
             own[shared] = self._skips(key[shared], which, len(some), taken)
-            some = np.flatnonzero(own)
+        some = np.flatnonzero(own)
+        if len(some):
             more, begin, size = self._segments(symbol, start[some], length[some], key[some], self.rate)
             out_start[some], out_length[some] = begin + len(flat_ids), size
             flat_ids = np.concatenate([flat_ids, more])
