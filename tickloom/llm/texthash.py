@@ -1,8 +1,9 @@
 """Word and shingle hashes of many texts at once, in NumPy on the UTF-8 bytes.
 
-A word is a run of bytes other than 20 and 09-0D (hex), with A-Z in lower case. Its hash is a sum of
-per-byte random constants times powers of an odd number, modulo 2^64, passed through a finaliser. Equal
-words have equal hashes; two different words share one with probability about 2^-64.
+A word is a run of bytes other than 20 and 09-0D (hex), with A-Z in lower case. Its hash is the sum, modulo 2^64, of a
+mixed number for each byte and its place in the word, passed through a finaliser. Equal words have equal hashes; the
+numbers follow no rule that repetitive words could meet (sums of constants times powers do), so two different words
+share a hash as random numbers do, with a chance of about 2^-64.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _MOST = 1 << 22
+#: Places in a word whose mixed numbers are looked up; later ones are mixed once more.
+_PLACES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,8 +54,9 @@ class WordHasher:
     """Holds the constants of one task. With split_marks, runs of ASCII punctuation are words of their own."""
 
     def __init__(self, split_marks: bool = False) -> None:
-        self.byte, self.kind = _constants(split_marks)
-        self.up = self.down = np.zeros(0, dtype=np.uint64)
+        byte, self.kind = _constants(split_marks)
+        places = mix(np.arange(1, _PLACES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
+        self.mixed = mix(byte[None, :] ^ places[:, None]).ravel()
 
     def words(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word of each text, and per text the number of words."""
@@ -75,17 +77,23 @@ class WordHasher:
             for s, n, e in zip(starts.tolist(), lengths.tolist(), ends.tolist(), strict=True):
                 joined[e - 1 - n : e - 1] = raw[s : s + n]
         n = len(joined)
-        if len(self.up) < n:
-            self.up, self.down = _powers(n, _BASE), _powers(n, _BASE_INVERSE)
         kind = self.kind[joined]  # the last byte is a space
         edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
         first = edge[kind[edge] > 0]
         last = edge[kind[edge - 1] > 0]
         if kind[0]:
             first = np.concatenate([[0], first])
+        # where each word's first byte is; bytes between words are never summed
+        origin = np.zeros(n, dtype=np.int64)
+        origin[first] = first
+        place = np.arange(n) - np.maximum.accumulate(origin)
+        number = self.mixed[(place % _PLACES) * 256 + joined]
+        if len(first) and int((last - first).max()) > _PLACES:
+            far = np.flatnonzero(place >= _PLACES)
+            number[far] = mix(number[far] ^ mix((place[far] // _PLACES).astype(np.uint64)))
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.byte[joined] * self.up[:n], out=total[1:])
-        hashes = mix((total[last] - total[first]) * self.down[first])
+        np.cumsum(number, out=total[1:])
+        hashes = mix(total[last] - total[first])
         counts = np.searchsorted(first, ends) - np.searchsorted(first, ends - lengths - 1)
         return hashes, counts.astype(np.int64)
 
