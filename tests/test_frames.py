@@ -212,3 +212,23 @@ def test_percentiles_equal_those_of_one_buffer(spark):
         assert [r[n] for n in names] == ([None] * 5 if k == "none" else pytest.approx(r["want"], abs=1e-12))
     assert with_percentiles(df.limit(0).groupBy("k").count(), df.limit(0), ["k"], "v", names).count() == 0
     assert with_percentiles(df.agg(F.count("*").alias("n")), df, [], "v", {"mid": 0.5}).first()["mid"] is not None
+
+
+def test_slow_series_on_rows_of_all_keys(spark):
+    """As-of by cells against a plain loop: rows before the first value, ties, missing payloads, long silences."""
+    import random
+
+    from tickloom.operators.asof import asof_slow
+
+    rng = random.Random(2)
+    slow = [(rng.randrange(-50, 400), rng.choice([None, 1.0, 2.0, 3.0]), k) for k in range(40)] + [(5000, 9.0, 99), (None, 4.0, 100)]
+    left = [(s, rng.choice([rng.randrange(-100, 600), rng.randrange(4000, 9000)])) for s in "abc" for _ in range(60)] + [("a", None)]
+    rows = asof_slow(spark.createDataFrame(left, "s string, time long"), spark.createDataFrame(slow, "t long, v double, k long"), "time", "t", ["v"], 30, ["k"]).collect()
+
+    def plain(time):
+        known = [x for x in slow if time is not None and x[0] is not None and x[0] <= time]
+        return max(known, key=lambda x: (x[0], x[2]))[:2] if known else (None, None)
+
+    assert sorted(((r["s"], r["time"], r["t"], r["v"]) for r in rows), key=repr) == sorted(((s, t, *plain(t)) for s, t in left), key=repr)
+    none = asof_slow(spark.createDataFrame(left, "s string, time long"), spark.createDataFrame([], "t long, v double"), "time", "t", ["v"])
+    assert none.count() == len(left) and none.filter("t is not null or v is not null").count() == 0

@@ -41,6 +41,30 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return joined.select(f"{_KEEP}.*", F.when(near, F.col("_p._t")).alias(out_time), *(F.when(near, F.col(f"_p.{p}")).alias(f"{prefix}{p}") for p in payload))
 
 
+def asof_slow(left: DataFrame, slow: DataFrame, left_time: str, slow_time: str, payload: list[str], cell: int = BAR_RANGE, ties: list[str] | None = None) -> DataFrame:
+    """Each left row with the last row at or before its time of a slow series that all left rows share, whatever their keys.
+
+    A cell of time (few slow rows lie in one) is one row: the slow rows in it, in order, and the last one before it. Left
+    rows meet their cell in an equi-join, small enough for a broadcast or split where a cell is crowded, and take the last
+    entry that is not later. So left rows are neither sorted nor gathered by time. Of slow rows of one time the last by
+    `ties` counts; one with a missing payload resets what is carried. No left row is lost; a null time takes nothing.
+    """
+    row = F.struct(F.col(slow_time).alias(slow_time), *payload)
+    tie = F.struct(*ties) if ties else F.struct(F.lit(0))
+    known = slow.filter(F.col(slow_time).isNotNull())
+    one = known.groupBy(F.col(slow_time).alias("_t")).agg(F.max_by(row, tie).alias("_row"))
+    place = lambda c: F.floor(F.col(c) / cell)
+    cells = one.groupBy(place("_t").alias("_cell")).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    wanted = left.select(place(left_time).alias("_cell")).filter("_cell is not null").distinct()
+    every = wanted.join(cells, "_cell", "full")
+    before = F.last(F.element_at("_rows", -1), ignorenulls=True).over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))  # a row a cell
+    table = every.withColumn("_before", before).select("_cell", "_rows", "_before")
+    joined = left.withColumn("_cell", place(left_time)).join(table, "_cell", "left")
+    inside = F.filter(F.coalesce("_rows", F.array().cast(table.schema["_rows"].dataType)), lambda r: r[slow_time] <= F.col(left_time))
+    found = joined.withColumn("_p", F.when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(F.col("_before")))
+    return found.select(*left.columns, *(F.col(f"_p.{c}").alias(c) for c in (slow_time, *payload)))
+
+
 def in_windows(points: DataFrame, windows: DataFrame, keys: list[str], time: str, start: str, end: str, bucket: int) -> DataFrame:
     """Points with start <= time <= end of each window: an equi-join on keys and time buckets, then the exact bounds.
 
@@ -57,9 +81,10 @@ def exogenous(bars: DataFrame, events: DataFrame, keys: list[str], most_age: int
     `bars` has close_time, `events` has usable_time and value; a missing value resets. `exact` keeps a value only on
     the first bar that can use it.
     """
-    joined = asof(bars, events, keys, "close_time", "usable_time", ["value"], bucket)
-    age = F.row_number().over(Window.partitionBy(*keys, "usable_time").orderBy("close_time")) - 1
-    joined = joined.withColumn("age_bars", F.when(F.col("usable_time").isNotNull(), age))
+    # ages are differences of row numbers, so that no window holds all bars after an event
+    joined = with_row_index(asof(bars, events, keys, "close_time", "usable_time", ["value"], bucket), keys, "close_time", bucket, "_i")
+    first = joined.filter("usable_time is not null").groupBy(*keys, "usable_time").agg(F.min("_i").alias("_first"))
+    joined = joined.join(first, [*keys, "usable_time"], "left").withColumn("age_bars", F.col("_i") - F.col("_first"))
     ok = F.col("usable_time").isNotNull()
     if exact:
         ok = ok & (F.col("age_bars") == 0)
@@ -67,7 +92,7 @@ def exogenous(bars: DataFrame, events: DataFrame, keys: list[str], most_age: int
         ok = ok & (F.col("close_time") - F.col("usable_time") <= most_age)
     if most_bars is not None:
         ok = ok & (F.col("age_bars") <= most_bars)
-    return joined.withColumn("value", F.when(ok, F.col("value")))
+    return joined.withColumn("value", F.when(ok, F.col("value"))).select(*bars.columns, "usable_time", "value", "age_bars")
 
 
 def first_tick_after(targets: DataFrame, ticks: DataFrame, coverage: DataFrame, tolerance: int, bucket: int) -> DataFrame:

@@ -103,7 +103,9 @@ def buckets(preds: DataFrame, edges: tuple[float, ...]) -> DataFrame:
 def errors(preds: DataFrame) -> DataFrame:
     """Every (actual, predicted) cell, empty ones too, with shares and confidence."""
     values = preds.sparkSession.createDataFrame([(a, b) for a, _ in CLASSES for b, _ in CLASSES], "y_true double, y_pred double")
-    cells = preds.withColumn("_c", top()).groupBy("y_true", "y_pred").agg(F.count("*").alias("n"), F.avg("_c").alias("mean_confidence"), F.percentile("_c", F.lit(0.5)).alias("median_confidence"), F.min("_c").alias("min_confidence"), F.max("_c").alias("max_confidence"))
+    marked = preds.withColumn("_c", top())
+    cells = marked.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"), F.avg("_c").alias("mean_confidence"), F.min("_c").alias("min_confidence"), F.max("_c").alias("max_confidence"))
+    cells = with_percentiles(cells, marked, ["y_true", "y_pred"], "_c", {"median_confidence": 0.5})
     full = F.broadcast(values).join(cells, ["y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     nine = Window.partitionBy(F.lit(0))
     wrong = F.when(F.col("y_true") != F.col("y_pred"), F.col("n")).otherwise(0)

@@ -13,10 +13,10 @@ from tickloom.operators import asof, evaluate, explore, ledger, models, quality,
 DAY = 86_400
 
 
-def yields_on_bars(bars: DataFrame, series: DataFrame, least: float, most: float, bucket: int = 30 * DAY) -> DataFrame:
+def yields_on_bars(bars: DataFrame, series: DataFrame, least: float, most: float) -> DataFrame:
     """A slow series (usable_time, value), without missing and impossible values, on bars from the instant it may be used."""
     sound = series.filter(F.col("value").between(least, most))
-    return asof.asof(bars, sound, [], "time", "usable_time", ["value"], bucket)
+    return asof.asof_slow(bars, sound, "time", "usable_time", ["value"])
 
 
 def reports_on_bars(bars: DataFrame, reports: DataFrame, codes: list[int], shift_days: int = 0, bucket: int = 30 * DAY) -> DataFrame:
@@ -33,7 +33,7 @@ def reports_on_bars(bars: DataFrame, reports: DataFrame, codes: list[int], shift
 def daily_research(bars: DataFrame, series: DataFrame, cutoff: int) -> DataFrame:
     """Daily bars with the slow value that may be used at their open, without the locked period."""
     daily = rollup.longer_bars(bars, DAY)
-    return quality.locked_period(asof.asof(daily, series, [], "time", "usable_time", ["value"], 30 * DAY), cutoff)
+    return quality.locked_period(asof.asof_slow(daily, series, "time", "usable_time", ["value"]), cutoff)
 
 
 def strong_event_trades(events: DataFrame, bars: DataFrame, step: int, hold: int, costs: tuple[float, ...], cutoff: int, share: float = 0.75) -> DataFrame:

@@ -105,7 +105,9 @@ def swing_distribution(targets: DataFrame, horizons: tuple[int, ...]) -> DataFra
     """Per horizon: sample, excluded share, long and short shares, mean and median return in basis points."""
     rows = targets.select("symbol", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"direction_{h}").alias("d"), F.col(f"future_return_{h}").alias("r")) for h in horizons))).alias("x")).select("symbol", "x.*")
     n = F.count("d")
-    return rows.groupBy("horizon").agg(
+    rows = rows.withColumn("bps", F.when(F.col("d").isNotNull(), F.col("r") * 10_000))
+    per = rows.groupBy("horizon").agg(
         n.alias("n_sample"), ((F.count("*") - n) * 100.0 / F.count("*")).alias("excluded_pct"), (F.count_if(F.col("d") > 0) * 100.0 / n).alias("long_pct"), (F.count_if(F.col("d") < 0) * 100.0 / n).alias("short_pct"),
-        (F.avg(F.when(F.col("d").isNotNull(), F.col("r"))) * 10_000).alias("mean_bps"), (F.percentile(F.when(F.col("d").isNotNull(), F.col("r")), F.lit(0.5)) * 10_000).alias("median_bps"),
+        F.avg("bps").alias("mean_bps"),
     )
+    return with_percentiles(per, rows, ["horizon"], "bps", {"median_bps": 0.5})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.frames import BAR_RANGE, running
+from tickloom.operators.frames import BAR_RANGE, running, with_percentiles
 
 
 
@@ -50,7 +50,8 @@ def time_blocks(trades: DataFrame, time: Column, start: int, end: int, n_blocks:
 def exits(trades: DataFrame) -> DataFrame:
     """By exit reason."""
     pnl = F.col("net_pnl")
-    per = trades.groupBy("exit_reason").agg(F.count("*").alias("n_trades"), F.sum(pnl).alias("total_pnl"), F.avg(pnl).alias("mean_pnl"), F.percentile(pnl, F.lit(0.5)).alias("median_pnl"), F.count_if(pnl > 0).alias("n_wins"))
+    per = trades.groupBy("exit_reason").agg(F.count("*").alias("n_trades"), F.sum(pnl).alias("total_pnl"), F.avg(pnl).alias("mean_pnl"), F.count_if(pnl > 0).alias("n_wins"))
+    per = with_percentiles(per, trades, ["exit_reason"], "net_pnl", {"median_pnl": 0.5})
     return per.withColumn("trade_pct", F.col("n_trades") * 100.0 / F.sum("n_trades").over(Window.partitionBy(F.lit(0)))).withColumn("win_share", F.col("n_wins") / F.sum("n_wins").over(Window.partitionBy(F.lit(0))))  # a few reasons
 
 
@@ -73,7 +74,8 @@ def outliers(trades: DataFrame, reconciled: DataFrame, n: int) -> DataFrame:
 def transitions(reconciled: DataFrame) -> DataFrame:
     """Exit reasons of two ledgers against each other."""
     both = reconciled.filter("a_pnl is not null and b_pnl is not null").withColumn("_d", F.col("b_pnl") - F.col("a_pnl"))
-    return both.groupBy("a_reason", "b_reason").agg(F.count("*").alias("n"), F.sum("_d").alias("sum_diff"), F.avg("_d").alias("mean_diff"), F.percentile("_d", F.lit(0.5)).alias("median_diff"))
+    per = both.groupBy("a_reason", "b_reason").agg(F.count("*").alias("n"), F.sum("_d").alias("sum_diff"), F.avg("_d").alias("mean_diff"))
+    return with_percentiles(per, both, ["a_reason", "b_reason"], "_d", {"median_diff": 0.5})
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.frames import BAR_RANGE, ID_RANGE, TICK_RANGE, running_sum, with_previous
+from tickloom.operators.frames import BAR_RANGE, ID_RANGE, TICK_RANGE, running_sum, with_percentiles, with_previous
 
 #: Month and day of the days on which the market is closed or nearly so, at a gap's start and end.
 HOLIDAY_STARTS, HOLIDAY_ENDS = ("12-24", "12-25", "12-31", "01-01"), ("12-25", "12-26", "01-01", "01-02")
@@ -106,12 +106,12 @@ def session_of(hour: Column) -> Column:
 def sessions(ticks: DataFrame) -> DataFrame:
     """Per session: share, spreads, ticks a minute over the session's whole span, median time between its ticks."""
     marked = ticks.withColumn("session", session_of(F.floor(F.col("time_msc") / 3_600_000) % 24))
-    gap = F.col("time_msc") - F.lag("time_msc").over(Window.partitionBy("symbol", "session").orderBy("event_id"))
+    marked = with_previous(marked, ["symbol", "session"], ["event_id"], {"_before": "time_msc"}, ID_RANGE).withColumn("gap", F.col("time_msc") - F.col("_before"))
     s = F.col("spread_points")
-    per = marked.withColumn("gap", gap).groupBy("symbol", "session").agg(
-        F.count("*").alias("n_ticks"), F.avg(s).alias("mean_points"), F.percentile(s, F.lit(0.5)).alias("median_points"), F.percentile(s, F.lit(0.95)).alias("p95_points"),
-        (F.count("*") * 60_000.0 / F.nullif(F.max("time_msc") - F.min("time_msc"), F.lit(0))).alias("ticks_per_minute"), F.percentile("gap", F.lit(0.5)).alias("median_gap_ms"),
-    )
+    keys = ["symbol", "session"]
+    per = marked.groupBy(*keys).agg(F.count("*").alias("n_ticks"), F.avg(s).alias("mean_points"), (F.count("*") * 60_000.0 / F.nullif(F.max("time_msc") - F.min("time_msc"), F.lit(0))).alias("ticks_per_minute"))
+    per = with_percentiles(per, marked, keys, "spread_points", {"median_points": 0.5, "p95_points": 0.95})
+    per = with_percentiles(per, marked, keys, "gap", {"median_gap_ms": 0.5})
     total = F.sum("n_ticks").over(Window.partitionBy("symbol"))  # five rows a symbol
     return per.withColumn("share", F.col("n_ticks") / total)
 

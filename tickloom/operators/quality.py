@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.frames import BAR_RANGE, ID_RANGE, with_previous
+from tickloom.operators.frames import BAR_RANGE, ID_RANGE, with_percentiles, with_previous
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType
 
 PRICES = ("open", "high", "low", "close")
@@ -143,24 +143,19 @@ def validate_ticks(df: DataFrame) -> DataFrame:
     df = with_previous(df.select("symbol", "event_id", "time_msc", "bid", "ask"), ["symbol"], ["event_id"], {"_msc": "time_msc", "_bid": "bid", "_ask": "ask"}, ID_RANGE)
     gap = F.col("time_msc") - F.col("_msc")
     same = (F.col("_bid") == F.col("bid")) & (F.col("_ask") == F.col("ask"))
-    at = F.percentile("_gap", F.array(F.lit(0.5), F.lit(0.95)))
-    return (
-        df.withColumn("_gap", gap)
-        .withColumn("_same", same)
-        .groupBy("symbol")
-        .agg(
-            F.count("*").alias("n_ticks"),
-            _sum_if(F.col("_gap") < 0).alias("n_out_of_order"),
-            (F.count("time_msc") - F.count_distinct("time_msc")).alias("n_duplicate_ms"),
-            _sum_if(F.col("_same")).alias("n_duplicate_quotes"),
-            _sum_if(F.col("ask") < F.col("bid")).alias("n_negative_spread"),
-            _sum_if(F.col("ask") == F.col("bid")).alias("n_zero_spread"),
-            _sum_if((F.col("bid") <= 0) | (F.col("ask") <= 0)).alias("n_invalid_price"),
-            F.round(at[0], 6).alias("median_gap_ms"),
-            F.round(at[1], 6).alias("p95_gap_ms"),
-            F.round(F.max("_gap") / 1000.0, 6).alias("max_gap_s"),
-        )
+    marked = df.withColumn("_gap", gap).withColumn("_same", same)
+    per = marked.groupBy("symbol").agg(
+        F.count("*").alias("n_ticks"),
+        _sum_if(F.col("_gap") < 0).alias("n_out_of_order"),
+        (F.count("time_msc") - F.count_distinct("time_msc")).alias("n_duplicate_ms"),
+        _sum_if(F.col("_same")).alias("n_duplicate_quotes"),
+        _sum_if(F.col("ask") < F.col("bid")).alias("n_negative_spread"),
+        _sum_if(F.col("ask") == F.col("bid")).alias("n_zero_spread"),
+        _sum_if((F.col("bid") <= 0) | (F.col("ask") <= 0)).alias("n_invalid_price"),
+        F.round(F.max("_gap") / 1000.0, 6).alias("max_gap_s"),
     )
+    made = with_percentiles(per, marked, ["symbol"], "_gap", {"median_gap_ms": 0.5, "p95_gap_ms": 0.95})
+    return made.withColumns({c: F.round(c, 6) for c in ("median_gap_ms", "p95_gap_ms")})
 
 
 def tick_violations(df: DataFrame, cutoff_msc: int) -> DataFrame:

@@ -114,7 +114,7 @@ def w22(spark, sf_dir):
 
 @query("J05_causal_yields", f"WITH {q.TICKS}, {q.bars(H4)}, {_EXO}, j AS (SELECT b.symbol, b.time, x.usable_time, x.value FROM bars b ASOF LEFT JOIN x ON b.time >= x.usable_time), v AS (SELECT {q.count_if('usable_time > time')} AS n FROM j) SELECT symbol, time, round(value,8)+0.0 AS value, CASE WHEN value IS NULL THEN 'UNAVAILABLE' WHEN v.n > 0 THEN 'VIOLATION' ELSE 'ALIGNED' END AS status FROM j, v")
 def j05(spark, sf_dir):
-    out = asof.asof(bars(spark, sf_dir, H4), exo_shifted(spark, sf_dir), [], "time", "usable_time", ["value"], 30 * 86_400).select("symbol", "time", "usable_time", "value")
+    out = asof.asof_slow(bars(spark, sf_dir, H4), exo_shifted(spark, sf_dir), "time", "usable_time", ["value"]).select("symbol", "time", "usable_time", "value")
     violations = out.agg(F.count_if(F.col("usable_time") > F.col("time")).alias("n"))  # one row
     status = F.when(F.col("value").isNull(), "UNAVAILABLE").when(F.col("n") > 0, "VIOLATION").otherwise("ALIGNED")
     return rounded(out.crossJoin(F.broadcast(violations)).select("symbol", "time", "value", status.alias("status")), "value")

@@ -28,13 +28,13 @@ _B4 = f"WITH {q.TICKS}, {q.bars(H4)}, {_EXO}"
     f"{_B4}, j AS (SELECT b.symbol, b.time, x.usable_time, x.value FROM bars b ASOF LEFT JOIN x ON b.time >= x.usable_time) SELECT symbol, time, usable_time, round(value,8)+0.0 AS value FROM j",
 )
 def j04(spark, sf_dir):
-    out = asof.asof(bars(spark, sf_dir, H4), exo_shifted(spark, sf_dir), [], "time", "usable_time", ["value"], 30 * DAY)
+    out = asof.asof_slow(bars(spark, sf_dir, H4), exo_shifted(spark, sf_dir), "time", "usable_time", ["value"])
     return rounded(out.select("symbol", "time", "usable_time", "value"), "value")
 
 
 @query("J04_alignment_audit", f"{_B4}, j AS (SELECT b.symbol, b.time, x.usable_time FROM bars b ASOF LEFT JOIN x ON b.time >= x.usable_time) SELECT count(usable_time) AS n_aligned, count(*)-count(usable_time) AS n_unaligned, count(DISTINCT usable_time) AS n_reports, {q.count_if('usable_time > time')} AS n_violations FROM j")
 def j04_audit(spark, sf_dir):
-    out = asof.asof(bars(spark, sf_dir, H4), exo_shifted(spark, sf_dir), [], "time", "usable_time", ["value"], 30 * DAY)
+    out = asof.asof_slow(bars(spark, sf_dir, H4), exo_shifted(spark, sf_dir), "time", "usable_time", ["value"])
     return out.agg(F.count("usable_time").alias("n_aligned"), (F.count("*") - F.count("usable_time")).alias("n_unaligned"), F.count_distinct("usable_time").alias("n_reports"), F.count_if(F.col("usable_time") > F.col("time")).alias("n_violations"))
 
 
