@@ -38,7 +38,8 @@ def frame(spark, x, y):
 
 
 @pytest.mark.parametrize("balanced", [False, True])
-def test_equals_a_plain_fit(spark, balanced):
+def test_equals_a_plain_fit(spark, balanced, monkeypatch):
+    monkeypatch.setattr(linear, "DRIVER_BYTES", 0 if balanced else 1 << 20)
     x, y = sample()
     model = linear.fit(frame(spark, x, y), ["a", "b", "c"], balanced=balanced)
     coef, intercept = plain(x, y, balanced)

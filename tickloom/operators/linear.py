@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tasks' sums merge in so many groups, then in one.
-MERGE = 32
+#: Tasks' sums merge in so many groups; these merge on the driver where they have at most so many bytes, else in one more step.
+MERGE, DRIVER_BYTES = 32, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ def softmax(scores: Column) -> Column:
     return F.transform(powers, lambda p: p / total)
 
 
-def _summed(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
-    """Sums of the arrays that tasks give for each fold."""
+def _summed(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], numbers: int) -> dict[int, np.ndarray]:
+    """Sums of the arrays that tasks give for each fold; all folds' arrays together have so many numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(work(batches))
@@ -59,7 +59,12 @@ def _summed(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[t
 
     parts = df.mapInArrow(run, "fold int, sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE)))
     some = parts.groupBy("fold", "part").applyInArrow(merge, "fold int, sums binary")
-    return {r["fold"]: np.frombuffer(bytes(r["sums"]), dtype=np.float64) for r in some.groupBy("fold").applyInArrow(merge, "fold int, sums binary").collect()}
+    if MERGE * numbers * 8 > DRIVER_BYTES:
+        some = some.groupBy("fold").applyInArrow(merge, "fold int, sums binary")
+    out: dict[int, np.ndarray] = {}
+    for r in some.collect():
+        out[r["fold"]] = out.get(r["fold"], 0.0) + np.frombuffer(bytes(r["sums"]), dtype=np.float64)
+    return out
 
 
 def _rows(batch: pa.RecordBatch, features: list[str], classes: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +102,7 @@ def fit_folds(table: DataFrame, features: list[str], label: str = "label", folds
         yield from total.items()
 
     state = {}
-    for f, s in _summed(data, moments).items():
+    for f, s in _summed(data, moments, n_folds * (k + 2 * d)).items():
         n = s[:k].sum()
         if n:
             shift = s[k : k + d] / n
@@ -131,7 +136,7 @@ def fit_folds(table: DataFrame, features: list[str], label: str = "label", folds
 
         size = k * (d + 1)
         out = {}
-        for f, s in _summed(data, sums).items():
+        for f, s in _summed(data, sums, len(at) * (1 + size + size * size)).items():
             v = at[f].ravel()
             out[f] = (s[0] + 0.5 * (penalty * v**2).sum(), s[1 : 1 + size] + penalty * v, s[1 + size :].reshape(size, size) + np.diag(penalty))
         return out
