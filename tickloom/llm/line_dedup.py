@@ -64,7 +64,7 @@ class Lines:
     """Lines of a batch of texts as one array of code points."""
 
     def __init__(self, texts: list[str]) -> None:
-        flat = "\n".join([*texts, ""])
+        flat = self.flat = "\n".join([*texts, ""])
         self.code = np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32)
         ends = np.flatnonzero(self.code == 10)
         self.start = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
@@ -74,7 +74,6 @@ class Lines:
         self.number = np.arange(len(ends)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         letters = mix(self.code.astype(np.uint64) + _U(0x632BE59BD9B4E019))
         self.down = _powers(len(self.code) + 1, _INVERSE)
-        self.letters = letters
         self.total = np.zeros(len(self.code) + 1, dtype=np.uint64)
         np.cumsum(letters * _powers(len(self.code), _BASE), out=self.total[1:])
 
@@ -83,12 +82,9 @@ class Lines:
         return mix((self.total[start + length] - self.total[start]) * self.down[start] + length.astype(np.uint64))
 
     def ids(self) -> np.ndarray:
-        """Identity of each line: a sum of mixed numbers of its characters and their places, which repetitive lines don't meet as they do rolling hashes."""
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        place = np.arange(len(self.code)) - np.repeat(self.start, self.length + 1)  # the line's end counts too
-        places = mix(np.arange(1, int(self.length.max()) + 2, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-        return mix(np.add.reduceat(mix(self.letters ^ places[place]), self.start))
+        """Identity of each line, from its bytes: repetitive lines don't meet as they may in rolling hashes."""
+        lines = self.flat.encode("utf-8", "surrogatepass").split(b"\n")[:-1]
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), dtype=np.uint64, count=len(lines))
 
     def filled(self) -> np.ndarray:
         """Places of the lines that are not blank."""
