@@ -72,13 +72,15 @@ class Lines:
         per_text = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
         self.owner = np.repeat(np.arange(len(texts)), per_text)
         self.number = np.arange(len(ends)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        letters = mix(self.code.astype(np.uint64) + _U(0x632BE59BD9B4E019))
-        self.down = _powers(len(self.code) + 1, _INVERSE)
-        self.total = np.zeros(len(self.code) + 1, dtype=np.uint64)
-        np.cumsum(letters * _powers(len(self.code), _BASE), out=self.total[1:])
+        self.total = self.down = None
 
     def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Rolling hash of each substring, for probes: what they find is verified."""
+        if self.total is None:  # made for probes only
+            letters = mix(self.code.astype(np.uint64) + _U(0x632BE59BD9B4E019))
+            self.down = _powers(len(self.code) + 1, _INVERSE)
+            self.total = np.zeros(len(self.code) + 1, dtype=np.uint64)
+            np.cumsum(letters * _powers(len(self.code), _BASE), out=self.total[1:])
         return mix((self.total[start + length] - self.total[start]) * self.down[start] + length.astype(np.uint64))
 
     def ids(self) -> np.ndarray:
