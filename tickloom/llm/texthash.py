@@ -84,10 +84,14 @@ class WordHasher:
         if kind[0]:
             first = np.concatenate([[0], first])
         # where each word's first byte is; bytes between words are never summed
-        origin = np.zeros(n, dtype=np.int64)
+        origin = np.zeros(n, dtype=np.int32)
         origin[first] = first
-        place = np.arange(n) - np.maximum.accumulate(origin)
-        number = self.mixed[(place % _PLACES) * 256 + joined]
+        place = np.arange(n, dtype=np.int32)
+        place -= np.maximum.accumulate(origin)
+        index = place & (_PLACES - 1)
+        index <<= 8
+        index |= joined
+        number = self.mixed[index]
         if len(first) and int((last - first).max()) > _PLACES:
             far = np.flatnonzero(place >= _PLACES)
             number[far] = mix(number[far] ^ mix((place[far] // _PLACES).astype(np.uint64)))
