@@ -85,11 +85,14 @@ class LiveBars(StatefulProcessor):
         names = [c.split()[0] for c in _HELD.split(", ")]
         held = [dict(zip(names, r, strict=True)) for r in self.bars.get()]
         before = len(held)
-        refused = []
+        refused, times = [], {b["time"] for b in held}
         for bar in _seen(rows, "arrival").to_dict("records"):
-            reason = self._refusal(bar, {b["time"] for b in held[-self.held :]}, held)
+            reason = self._refusal(bar, times, held)
             if reason is None:
                 held.append(self._carried(bar, held[-1] if held else None))
+                times.add(bar["time"])
+                if len(held) > self.held:
+                    times.discard(held[-self.held - 1]["time"])
             else:
                 refused.append({**bar, "reason": reason, "is_new": True, "bar_idx": None})
         if len(held) > before:
