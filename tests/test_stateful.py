@@ -2,6 +2,7 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,50 @@ def test_a_key_is_forgotten_after_its_time(spark):
     folder = stateful.in_parts([requests, requests.filter("request_id = 2")], lambda stream, folder: stateful.run(stateful.flagged_requests(stream), folder))
     got = sorted((str(r["key"]), r["request_id"], r["n_before"]) for r in spark.read.parquet(f"{folder}/out").collect())
     assert got == [("None", 3, 0), ("None", 4, 1), ("k", 1, 0), ("k", 2, 1), ("k", 2, 2)]
+
+
+class _Handle:
+    """Values of one bucket's state, as a processor sees them."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def _calls(processor, *batches, handle=None):
+    """What calls for one bucket give, batch after batch; each batch comes in two pieces."""
+    processor.init(handle or _Handle())
+    return [[tuple(r) for out in processor.handleInputRows((7,), iter([b.iloc[::2], b.iloc[1::2]]), clock) for r in out.astype(object).itertuples(index=False)] for b, clock in batches]
+
+
+def test_one_call_serves_all_keys_of_a_bucket():
+    frame = lambda rows: pd.DataFrame(rows, columns=["key", "request_id"])
+    first, second = frame([("a", 2), (None, 3), ("b", 1), ("a", 1), (None, 9)]), frame([("c", 12), ("b", 11), (None, 13), ("a", 10)])
+    got = _calls(stateful.SeenKeys(None), (first, None), (second, None))
+    assert sorted(got[0], key=str) == sorted([("a", 1, 0, False), ("a", 2, 1, True), ("b", 1, 0, False), (None, 3, 0, False), (None, 9, 1, True)], key=str)
+    assert sorted(got[1], key=str) == sorted([("a", 10, 2, True), ("b", 11, 1, True), ("c", 12, 0, False), (None, 13, 2, True)], key=str)
+
+
+def test_each_key_of_a_bucket_has_its_own_time():
+    frame = lambda *rows: pd.DataFrame(rows, columns=["key", "request_id"])
+    batches = [(frame(("a", 1), ("b", 2)), _Clock(1000)), (frame(("b", 3)), _Clock(1090)), (frame(("a", 4), ("b", 5)), _Clock(1100))]
+    assert [[r[2] for r in out] for out in _calls(stateful.SeenKeys(100), *batches)] == [[0, 0], [1], [0, 2]]

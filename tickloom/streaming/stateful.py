@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -243,29 +245,63 @@ def equity_alerts(snapshots: DataFrame, limit_pct: float) -> DataFrame:
     return keyed(snapshots, ["account"], EquityPeaks(limit_pct), ALERT)
 
 
-class SeenKeys(StatefulProcessor):
-    """How many requests with the key there were before each one; a key is forgotten `ttl` ms after its last request."""
+#: State buckets of `bucketed` streams. Part of a checkpoint: a stream goes on only with the number it started with.
+BUCKETS = 1 << 11
 
-    def __init__(self, ttl: int | None) -> None:
-        self.ttl = ttl
+
+def bucketed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, clock: str = "None") -> DataFrame:
+    """`keyed` by hash buckets of a key with many values, so that a call of the processor serves all keys of a bucket at once."""
+    return keyed(stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))), ["_bucket"], processor, schema, clock)
+
+
+class _Buckets(StatefulProcessor):
+    """Holds a small table (a row for each key) for each bucket, in one value as Arrow bytes: read once and written once a micro-batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n bigint", self.ttl)
+        self.table = handle.getValueState("table", "rows binary")
 
     def close(self) -> None:
         pass
 
+    def _held(self, columns: list[str]) -> pd.DataFrame:
+        return pa.ipc.open_stream(self.table.get()[0]).read_pandas() if self.table.exists() else pd.DataFrame({c: [] for c in columns})
+
+    def _hold(self, table: pd.DataFrame) -> None:
+        batch = pa.RecordBatch.from_pandas(table, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        self.table.update((sink.getvalue().to_pybytes(),))
+
+
+class SeenKeys(_Buckets):
+    """How many requests with the key there were before each one; a key is forgotten `ttl` ms after its last request."""
+
+    def __init__(self, ttl: int | None) -> None:
+        self.ttl = ttl
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        seen = _seen(rows, "request_id")
-        self.count.update((n + len(seen),))
-        before = range(n, n + len(seen))
-        yield pd.DataFrame({"key": key[0], "request_id": seen["request_id"].to_numpy(), "n_before": list(before), "is_replay": [b > 0 for b in before]})
+        held, seen = self._held(["key", "n", "last"]), _seen(rows, "request_id")
+        now = 0 if self.ttl is None else timerValues.getCurrentProcessingTimeInMs()
+        if self.ttl is not None:
+            held = held[held["last"] + self.ttl > now]
+        codes, keys = pd.factorize(np.concatenate([held["key"].to_numpy(object), seen["key"].to_numpy(object)]), use_na_sentinel=False)
+        known, mine = codes[: len(held)], codes[len(held) :]
+        n, last = np.zeros(len(keys), "int64"), np.full(len(keys), now, "int64")
+        n[known], last[known] = held["n"], held["last"]
+        last[mine] = now
+        before = n[mine] + pd.Series(mine).groupby(mine).cumcount().to_numpy()
+        self._hold(pd.DataFrame({"key": keys, "n": n + np.bincount(mine, minlength=len(keys)), "last": last}))
+        yield pd.DataFrame({"key": seen["key"].to_numpy(), "request_id": seen["request_id"].to_numpy(), "n_before": before, "is_replay": before > 0})
 
 
 def flagged_requests(requests: DataFrame, ttl: int | None = None) -> DataFrame:
-    """Every request (key, request_id) with a flag: the first of its key is processed, later ones are replays."""
-    return keyed(requests.select("key", "request_id"), ["key"], SeenKeys(ttl), "key string, request_id bigint, n_before bigint, is_replay boolean")
+    """Every request (key, request_id) with a flag: the first of its key is processed, later ones are replays.
+
+    A time to live is told by the machine's clock; such a stream needs a trigger that goes on, as `availableNow` would not end.
+    """
+    clock = "None" if ttl is None else "ProcessingTime"
+    return bucketed(requests.select("key", "request_id"), "key", SeenKeys(ttl), "key string, request_id bigint, n_before bigint, is_replay boolean", clock)
 
 
 TICK_BAR = "symbol string, kind string, time bigint, open double, high double, low double, close double, tick_volume bigint"
