@@ -142,11 +142,11 @@ def non_overlapping(candidates: DataFrame, keys: list[str], start: str, end: str
 
 def first_touch(trades: DataFrame, ticks: DataFrame, minutes: int, bucket: int) -> DataFrame:
     """Whether later ticks touch a trade's target or stop first; the target is tested first on one tick."""
-    from tickloom.operators.asof import in_windows
-
-    windows = trades.withColumn("_until", F.col("exit_msc") + minutes * 60_000)
-    later = in_windows(ticks.select("symbol", "time_msc", "event_id", "bid"), windows, ["symbol"], "time_msc", "exit_msc", "_until", bucket)
-    which = F.when(F.col("bid") >= F.col("target"), "TAKE_PROFIT").when(F.col("bid") <= F.col("stop"), "STOP_LOSS")
-    hits = later.withColumn("touch", which).filter("touch is not null").groupBy("trade_id").agg(F.min_by("touch", F.struct("time_msc", "event_id")).alias("touch"))
-    return trades.join(hits, "trade_id", "left").withColumn("touch", F.coalesce("touch", F.lit("NONE")))
-
+    from tickloom.operators.windows import first_hits
+
+    width = max(bucket, minutes * 60_000)  # so that a window lies in two cells at most
+    windows = trades.select("symbol", "trade_id", "exit_msc", (F.col("exit_msc") + minutes * 60_000).alias("_until"), "target", "stop")
+    hits = first_hits(ticks.select("symbol", "time_msc", "event_id", "bid"), windows, ["symbol"], "time_msc", "exit_msc", "_until", width, ["event_id"], "bid", "target", "stop")
+    which = F.when(F.col("is_above"), "TAKE_PROFIT").otherwise("STOP_LOSS")
+    touches = hits.groupBy("trade_id").agg(F.min_by(which, "hit_time").alias("touch"))
+    return trades.join(touches, "trade_id", "left").withColumn("touch", F.coalesce("touch", F.lit("NONE")))
