@@ -66,3 +66,20 @@ def test_later_paths_make_no_pair_of_a_trade_and_a_tick(spark):
     plan = explore.first_touch(trades, ticks, 60, 900_000)
     assert plan.groupBy("touch").count().collect() == [("NONE", 20_000)]
     assert "MapInArrow" in plan._jdf.queryExecution().toString()
+
+
+def test_summed_windows_equal_a_plain_loop(spark, small):
+    nan = float("nan")
+    points = [(s, t, nan if i % 41 == 0 else v) for s, t, i, v in crowded(500, 2)]
+    rng = random.Random(5)
+    spans = [(rng.choice(["a", "b", "c", None]), i, a, a + rng.choice([-5, 0, 3, 300, 2500])) for i, a in enumerate(rng.randrange(-50, 4000) for _ in range(300))] + [("a", 300, None, 5)]
+    made = windows.summed(spark.createDataFrame(points, "symbol string, at long, v double"), spark.createDataFrame(spans, "symbol string, id long, a long, b long"), ["symbol"], "at", "a", "b", 300, "v", ["symbol", "id"])
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+    got = {r["id"]: (r["n_points"], str(r["max_value"]), str(r["min_value"])) for r in made.collect()}
+    want, place = {}, lambda v: (v != v, v)
+    for s, i, a, b in spans:
+        inside = [v for k, t, v in points if a is not None and s is not None and k == s and t is not None and a <= t <= b]
+        if inside:
+            some = [v for v in inside if v is not None]
+            want[i] = (len(inside), str(max(some, key=place, default=None)), str(min(some, key=place, default=None)))
+    assert got == want and any(w[1] == "nan" for w in want.values())

@@ -127,8 +127,8 @@ def _numbers(column: pa.ChunkedArray, missing: float) -> np.ndarray:
     return np.array(pc.fill_null(column, missing).to_numpy(), "float64")
 
 
-def summed(points: DataFrame, windows: DataFrame, keys: list[str], time: str, start: str, end: str, width: int, value: str) -> DataFrame:
-    """Number of points, and largest and smallest value, in each window that has points. A NaN is larger than all."""
+def summed(points: DataFrame, windows: DataFrame, keys: list[str], time: str, start: str, end: str, width: int, value: str, by: list[str]) -> DataFrame:
+    """Number of points, and largest and smallest value, in the windows of each `by` that have points. A NaN is larger than all."""
 
     def answer(seen, asking, low, high):
         v = seen[value]
@@ -142,7 +142,7 @@ def summed(points: DataFrame, windows: DataFrame, keys: list[str], time: str, st
         return {"_n": high - low, "_most": pa.array(most, mask=~some), "_least": pa.array(least, mask=~some)}
 
     pieces = in_cells(points.select(*keys, time, F.col(value).cast("double").alias(value)), windows, keys, time, start, end, width, [], answer, "_n long, _most double, _least double").filter("_n > 0")
-    return pieces.groupBy(*windows.columns).agg(F.sum("_n").alias("n_points"), F.max("_most").alias("max_value"), F.min("_least").alias("min_value"))
+    return pieces.groupBy(*by).agg(F.sum("_n").alias("n_points"), F.max("_most").alias("max_value"), F.min("_least").alias("min_value"))
 
 
 def first_hits(points: DataFrame, windows: DataFrame, keys: list[str], time: str, start: str, end: str, width: int, ties: list[str], value: str, above: str, below: str) -> DataFrame:

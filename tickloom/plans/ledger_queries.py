@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, labels, ledger, micro, splits, stats
+from tickloom.operators.windows import summed
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.sources.adapters import H1, H4, M15, bars, exo_daily, ticks, trades
@@ -85,8 +86,8 @@ def windows(spark, sf_dir):
 @query("J09_ticks_in_windows", f"WITH {q.TICKS}, {_WINDOWS} SELECT w.symbol, w.window_id, count(*) AS n_ticks, round(max(t.bid),8)+0.0 AS max_bid, round(min(t.bid),8)+0.0 AS min_bid FROM wins w JOIN ticks t ON t.symbol = w.symbol AND t.time_msc BETWEEN w.window_start AND w.window_end GROUP BY ALL")
 def j09(spark, sf_dir):
     t = ticks(spark, sf_dir).select("symbol", "time_msc", "bid")
-    out = asof.in_windows(t, windows(spark, sf_dir), ["symbol"], "time_msc", "window_start", "window_end", 900_000)
-    return rounded(out.groupBy("symbol", "window_id").agg(F.count("*").alias("n_ticks"), F.max("bid").alias("max_bid"), F.min("bid").alias("min_bid")), "max_bid", "min_bid")
+    out = summed(t, windows(spark, sf_dir), ["symbol"], "time_msc", "window_start", "window_end", 2_700_000, "bid", ["symbol", "window_id"])
+    return rounded(out.withColumnsRenamed({"n_points": "n_ticks", "max_value": "max_bid", "min_value": "min_bid"}), "max_bid", "min_bid")
 
 
 @query("J10_window_coverage", f"WITH {q.TICKS}, {_COVER}, {_WINDOWS} SELECT w.symbol, w.window_id, EXISTS (SELECT 1 FROM cover c WHERE c.symbol = w.symbol AND c.start_msc - 600000 <= w.window_start AND w.window_end <= c.end_msc + 600000) AS is_covered FROM wins w")
