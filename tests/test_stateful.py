@@ -154,3 +154,24 @@ def test_each_key_of_a_bucket_has_its_own_time():
     frame = lambda *rows: pd.DataFrame(rows, columns=["key", "request_id"])
     batches = [(frame(("a", 1), ("b", 2)), _Clock(1000)), (frame(("b", 3)), _Clock(1090)), (frame(("a", 4), ("b", 5)), _Clock(1100))]
     assert [[r[2] for r in out] for out in _calls(stateful.SeenKeys(100), *batches)] == [[0, 0], [1], [0, 2]]
+
+
+def test_peaks_of_all_accounts_of_a_bucket_equal_a_plain_loop():
+    import random
+
+    rng = random.Random(4)
+    names = ["1", "22", None, str(2**60 + 1)]
+    rows = [(rng.choice(names), at, at * 10 + k, rng.choice([None, *(float(rng.randrange(80, 120)) for _ in range(9))])) for at in range(60) for k in range(5)]
+    frames = [pd.DataFrame(rows[a:b], columns=["account", "at", "snapshot_id", "equity"]) for a, b in ((0, 1), (1, 150), (150, 300))]
+    got = [r for out in _calls(stateful.EquityPeaks(5.0), *((f.sample(frac=1, random_state=1), None) for f in frames)) for r in out]
+    want, peaks, alerted = [], {}, {}
+    for account, _, snapshot, equity in rows:
+        if equity is None:
+            alerted[account] = False
+            continue
+        top = peaks[account] = max(peaks.get(account, equity), equity)
+        fall = (top - equity) * 100.0 / top
+        if (fall > 5.0) != alerted.get(account, False):
+            want.append((None if account is None else int(account), snapshot, top, fall, "ALERT" if fall > 5.0 else "RECOVERED"))
+        alerted[account] = fall > 5.0
+    assert sorted(((None if pd.isna(r[0]) else r[0], *r[1:]) for r in got), key=str) == sorted(want, key=str) and len(want) > 50

@@ -215,36 +215,6 @@ def silent_feeds(quotes: DataFrame, limit: int, watermark: str | None = "1 day")
 ALERT = "account bigint, snapshot_id bigint, peak double, drawdown_pct double, kind string"
 
 
-class EquityPeaks(StatefulProcessor):
-    """The peak of each account in state; one row when the fall passes the limit, one when it is within it again."""
-
-    def __init__(self, limit_pct: float) -> None:
-        self.limit_pct = limit_pct
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.peak = handle.getValueState("peak", "peak double, alerted boolean")
-
-    def close(self) -> None:
-        pass
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        peak, alerted = self.peak.get() if self.peak.exists() else (None, False)
-        out = []
-        for snapshot, equity in _seen(rows, "at", "snapshot_id")[["snapshot_id", "equity"]].itertuples(index=False):
-            peak = equity if peak is None else max(peak, equity)
-            fall = (peak - equity) * 100.0 / peak if peak else 0.0
-            if (fall > self.limit_pct) != alerted:
-                alerted = not alerted
-                out.append((key[0], snapshot, peak, fall, "ALERT" if alerted else "RECOVERED"))
-        self.peak.update((peak, alerted))
-        yield pd.DataFrame(out, columns=["account", "snapshot_id", "peak", "drawdown_pct", "kind"]).astype({"account": "int64", "snapshot_id": "int64", "peak": "float64", "drawdown_pct": "float64"})
-
-
-def equity_alerts(snapshots: DataFrame, limit_pct: float) -> DataFrame:
-    """Crossings of the limit; `snapshots` has account, snapshot_id, at (orders the rows) and equity, in time order over micro-batches."""
-    return keyed(snapshots, ["account"], EquityPeaks(limit_pct), ALERT)
-
-
 #: State buckets of `bucketed` streams. Part of a checkpoint: a stream goes on only with the number it started with.
 BUCKETS = 1 << 11
 
@@ -274,6 +244,37 @@ class _Buckets(StatefulProcessor):
         self.table.update((sink.getvalue().to_pybytes(),))
 
 
+class EquityPeaks(_Buckets):
+    """The peak of each account in state; one row when the fall passes the limit, one when it is within it again."""
+
+    def __init__(self, limit_pct: float) -> None:
+        self.limit_pct = limit_pct
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, seen = self._held(["account", "peak", "alerted"]), _seen(rows, "account", "at", "snapshot_id")
+        codes, accounts = pd.factorize(np.concatenate([held["account"].to_numpy(object), seen["account"].to_numpy(object)]), use_na_sentinel=False)
+        known, mine = codes[: len(held)], codes[len(held) :]
+        peak, alerted = np.full(len(accounts), np.nan), np.zeros(len(accounts), bool)
+        peak[known], alerted[known] = held["peak"], held["alerted"]
+        equity = seen["equity"].to_numpy("float64")
+        top = np.fmax(pd.Series(equity).groupby(mine).cummax().groupby(mine).ffill().to_numpy(), peak[mine])
+        fall = np.divide((top - equity) * 100.0, top, out=np.zeros(len(top)), where=top != 0)
+        past = fall > self.limit_pct
+        first, last = np.diff(mine, prepend=-1) != 0, np.diff(mine, append=-1) != 0
+        crossed = (past != np.where(first, alerted[mine], np.roll(past, 1))) & ~np.isnan(fall)  # a missing equity crosses nothing
+        peak[mine[last]], alerted[mine[last]] = top[last], past[last]
+        self._hold(pd.DataFrame({"account": accounts, "peak": peak, "alerted": alerted}))
+        kind = np.where(past, "ALERT", "RECOVERED")
+        number = pa.array(accounts, "string", from_pandas=True).cast("int64").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        yield pd.DataFrame({"account": number.array[mine], "snapshot_id": seen["snapshot_id"].to_numpy(), "peak": top, "drawdown_pct": fall, "kind": kind})[crossed]
+
+
+def equity_alerts(snapshots: DataFrame, limit_pct: float) -> DataFrame:
+    """Crossings of the limit; `snapshots` has account, snapshot_id, at (orders the rows) and equity, in time order over micro-batches."""
+    texts = snapshots.withColumn("account", F.col("account").cast("string"))  # whole numbers beside a null would lose digits in pandas
+    return bucketed(texts, "account", EquityPeaks(limit_pct), ALERT)
+
+
 class SeenKeys(_Buckets):
     """How many requests with the key there were before each one; a key is forgotten `ttl` ms after its last request."""
 
