@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import explore, windows
+from tickloom.operators import explore, frames, windows
 
 POINT = "symbol string, time_msc long, event_id long, bid double"
 
@@ -83,3 +83,32 @@ def test_summed_windows_equal_a_plain_loop(spark, small):
             some = [v for v in inside if v is not None]
             want[i] = (len(inside), str(max(some, key=place, default=None)), str(min(some, key=place, default=None)))
     assert got == want and any(w[1] == "nan" for w in want.values())
+
+
+def test_end_ticks_equal_a_plain_loop(spark, small):
+    points = [(s, t) for s, t, _, _ in crowded(500, 6)]
+    rng = random.Random(7)
+    spans = [(rng.choice(["a", "b", None]), i, a, a + rng.choice([-5, 0, 40, 300, 2500])) for i, a in enumerate(rng.randrange(-50, 4000) for _ in range(200))]
+    made = windows.end_ticks(spark.createDataFrame(points, "symbol string, time_msc long"), spark.createDataFrame(spans, "symbol string, window_id long, window_start long, window_end long"), 60, 300)
+    got = {r["window_id"]: (r["entry_ticks"], r["exit_ticks"]) for r in made.collect()}
+    want = {}
+    for s, i, a, b in spans:
+        inside = [t for k, t in points if s is not None and k == s and t is not None and a <= t <= b]
+        ends = (sum(t <= a + 60 for t in inside), sum(t >= b - 60 for t in inside))
+        if any(ends):
+            want[i] = ends
+    assert got == want and len(want) > 60
+
+
+def test_coverage_classes_make_no_pair_of_a_window_and_a_tick(spark):
+    from tickloom import plans
+
+    plan = plans.QUERIES["J11_coverage_class"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in plan._jdf.queryExecution().toString()
+
+
+def test_runs_of_ticks_do_not_depend_on_the_order_of_one_instant(spark):
+    """The first tick after a gap may come after its twins: all of them belong to the new run."""
+    rows = spark.createDataFrame([("a", 1, 0, 1), ("a", 9, 0, 2), ("a", 9, 1, 3), ("a", 9, 0, 4)], "symbol string, time_msc long, cut long, event_id long")
+    made = frames.running_sum(rows.coalesce(1), ["symbol"], "time_msc", "cut", "island", 100)
+    assert sorted((r["time_msc"], r["island"]) for r in made.collect()) == [(1, 0), (9, 1), (9, 1), (9, 1)]

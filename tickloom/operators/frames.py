@@ -103,12 +103,12 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: dic
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int) -> DataFrame:
-    """Adds the sum of `value` up to each row of the key's order, in ranges that start from the sums of earlier ones."""
+    """Adds the sum of `value` up to each row of the key's order, in ranges that start from the sums of earlier ones; rows of one place share it."""
     marked = df.withColumn("_range", _range(order, width))
     sums = marked.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("_inside", F.sum(value).over(inside)).join(offsets, [*keys, "_range"]).withColumn(name, F.col("_offset") + F.col("_inside")).drop("_range", "_inside", "_offset")
 
 

@@ -145,6 +145,16 @@ def summed(points: DataFrame, windows: DataFrame, keys: list[str], time: str, st
     return pieces.groupBy(*by).agg(F.sum("_n").alias("n_points"), F.max("_most").alias("max_value"), F.min("_least").alias("min_value"))
 
 
+def end_ticks(ticks: DataFrame, windows: DataFrame, slack: int, width: int) -> DataFrame:
+    """Ticks of each window (symbol, window_id) within `slack` of its start and of its end; windows without any are left out."""
+    entry = F.struct(F.lit(True).alias("is_entry"), F.col("window_start").alias("a"), F.least("window_end", F.col("window_start") + slack).alias("b"))
+    leave = F.struct(F.lit(False).alias("is_entry"), F.greatest("window_start", F.col("window_end") - slack).alias("a"), F.col("window_end").alias("b"))
+    parts = windows.select("symbol", "window_id", F.explode(F.array(entry, leave)).alias("_e")).select("symbol", "window_id", "_e.*")
+    pieces = in_cells(ticks.select("symbol", "time_msc"), parts, ["symbol"], "time_msc", "a", "b", width, [], lambda seen, asking, low, high: {"_n": high - low}, "_n long").filter("_n > 0")
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    return pieces.groupBy("symbol", "window_id").agg(of(F.col("is_entry")).alias("entry_ticks"), of(~F.col("is_entry")).alias("exit_ticks"))
+
+
 def first_hits(points: DataFrame, windows: DataFrame, keys: list[str], time: str, start: str, end: str, width: int, ties: list[str], value: str, above: str, below: str) -> DataFrame:
     """Pieces of windows with the first point whose value is at least `above` or at most `below`: hit_time and is_above.
 

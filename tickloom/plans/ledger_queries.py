@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import asof, labels, ledger, micro, splits, stats
-from tickloom.operators.windows import summed
+from tickloom.operators.windows import end_ticks, summed
 from tickloom.plans import sql as q
 from tickloom.plans.catalog import query, rounded
 from tickloom.sources.adapters import H1, H4, M15, bars, exo_daily, ticks, trades
@@ -103,8 +103,7 @@ def j10(spark, sf_dir):
 def j11(spark, sf_dir):
     t = ticks(spark, sf_dir)
     w = windows(spark, sf_dir)
-    hits = asof.in_windows(t.select("symbol", "time_msc"), w, ["symbol"], "time_msc", "window_start", "window_end", 900_000)
-    counts = hits.groupBy("symbol", "window_id").agg(F.count_if(F.col("time_msc") <= F.col("window_start") + 600_000).alias("entry_ticks"), F.count_if(F.col("time_msc") >= F.col("window_end") - 600_000).alias("exit_ticks"))
+    counts = end_ticks(t.select("symbol", "time_msc"), w, 600_000, 2_700_000)
     whole = asof.covered(w, micro.coverage(t, 300_000).select("symbol", "start_msc", "end_msc"), 600_000, DAY * 1000).join(counts, ["symbol", "window_id"], "left").fillna(0, ["entry_ticks", "exit_ticks"])
     return whole.groupBy(asof.coverage_class(whole).alias("coverage_class")).agg(F.count("*").alias("n"))
 
